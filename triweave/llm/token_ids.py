@@ -10,7 +10,7 @@ n_ids, control, data), shards and blocks in ascending document order, and a Parq
 (rank, id).  A block holds whole documents.
 
 Defined results: a null text counts as empty (only the end id); null doc_ids come first; rows that share
-a doc_id keep a fixed order (checksum, then ids) and each stay; extra columns are ignored; an empty table
+a doc_id keep a fixed order (length, then ids) and each stay; extra columns are ignored; an empty table
 gives empty files.
 """
 
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,29 +31,37 @@ from triweave.llm.words import split_words, text_slices
 from triweave.plans.scratch import Scratch
 
 #: Words whose ids a worker remembers, and ids that a block holds before it is closed.
-CACHE_WORDS, BLOCK_IDS = 1_000_000, 1 << 18
+CACHE_WORDS, BLOCK_IDS = 500_000, 1 << 18
+#: Bytes of text that are split at a time.
+SLICE = 4 << 20
 #: Byte lengths of the four ids that a control byte describes.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of unsigned 32-bit numbers."""
-    ranks = np.asarray(ranks, dtype="<u4")
-    lens = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    codes[: len(ranks)] = lens - 1
-    codes = codes.reshape(-1, 4)
+    ranks = np.asarray(ranks, "<u4")
+    n = len(ranks)
+    wider = [np.flatnonzero(ranks >> np.uint32(8 * k)) for k in (1, 2, 3)]
+    more = np.zeros(-(-n // 4) * 4, np.uint8)  # bytes after the first
+    for at in wider:
+        more[at] += 1
+    codes = more.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < lens[:, None]]
+    ends = np.cumsum(more[:n], dtype=np.int64) + np.arange(1, n + 1)
+    starts = ends - more[:n] - 1
+    data = np.empty(ends[-1] if n else 0, np.uint8)
+    data[starts] = ranks.astype(np.uint8)
+    for k, at in enumerate(wider, 1):
+        data[starts[at] + k] = (ranks[at] >> np.uint32(8 * k)).astype(np.uint8)
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` numbers that ``encode_ranks`` coded."""
     lens = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    ends = np.cumsum(lens, dtype=np.int64)
-    starts = ends - lens
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
+    starts = np.cumsum(lens, dtype=np.int64) - lens
+    raw = np.frombuffer(data, np.uint8)
     out = raw[starts].astype(np.uint32)
     for k in (1, 2, 3):
         at = np.flatnonzero(lens > k)
@@ -68,49 +77,83 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-
-    def _encode(self, words: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        # a full stop or comma after letters is a piece of its own
-        stems = {w: w[:-1] for w in words if w[-1] in ".," and w[:-1].isalpha()}
-        fresh = [s for s in {*(w for w in words if w not in stems), *stems.values(), ".", ","} if s not in self.cache]
-        self.cache.update(zip(fresh, self._encode(fresh), strict=True))
-        self.cache.update((w, self.cache[s] + self.cache[w[-1]]) for w, s in stems.items())
+        self.tokenizer = Tokenizer.from_file(path)
+        # a special token between words keeps them apart when many are encoded in one call
+        self.border = next((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items())
+        self.number: dict[str, int] = {}
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.stops = {c: int(self._encode([c])[1][0]) for c in ".,"}
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of words."""
+        content, i = self.border
+        parts = [w for w in words if "<|" in w]
+        if parts:  # may hold a special token
+            own = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.array([len(x) for x in own], np.int64), np.concatenate(own)
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for at in range(0, len(words), 2000):
+            x = np.array(self.tokenizer.encode_batch_fast([content.join(words[at : at + 2000]) + content], add_special_tokens=False)[0].ids, np.uint32)
+            sizes.append(np.diff(np.flatnonzero(x == i), prepend=-1) - 1)
+            ids.append(x[x != i])
+        return np.concatenate(sizes), np.concatenate(ids)
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of new words; a full stop or comma after letters is a piece of its own."""
+        stops = self.stops
+        cut = [w[-1] in stops and w[:-1].isalpha() for w in words]
+        stems = [w[:-1] if c else w for w, c in zip(words, cut, strict=True)]
+        number = {s: i for i, s in enumerate(dict.fromkeys(stems))}
+        sizes, ids = self._encode(list(number))
+        of = np.array([number[s] for s in stems], np.int64)
+        extra = np.array([stops[w[-1]] if c else -1 for w, c in zip(words, cut, strict=True)], np.int64)
+        place, ends = _gather((np.cumsum(sizes) - sizes)[of], sizes[of], extra >= 0)
+        out = np.append(ids, np.uint32(0))[np.minimum(place, len(ids))]
+        out[ends[extra >= 0] - 1] = extra[extra >= 0]
+        return np.diff(ends, prepend=0), out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts."""
-        offsets, codes, vocabulary = split_words(texts)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        self._learn([w for w in vocabulary if w not in self.cache])
-        pieces = [self.cache[w] for w in vocabulary]
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.fromiter((i for p in pieces for i in p), np.uint32, int(sizes.sum()))
-        n = sizes[codes]
-        ends = np.cumsum(n)
-        at = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        return np.concatenate(([0], ends))[offsets], flat[at]
+        special = pc.any(pc.match_substring(texts, "<|")).as_py()  # special tokens keep their case
+        offsets, codes, vocabulary = split_words(texts, lower=not special)
+        get = self.number.get
+        at = np.array([get(w, -1) for w in vocabulary], np.int64)
+        fresh = [vocabulary[i] for i in np.flatnonzero(at < 0).tolist() if vocabulary[i]]
+        new_sizes, new_ids = self._learn(fresh)
+        starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(new_sizes) - new_sizes))
+        sizes, flat = np.concatenate((self.sizes, new_sizes)), np.concatenate((self.flat, new_ids))
+        at[[i for i in np.flatnonzero(at < 0).tolist() if vocabulary[i]]] = len(self.starts) + np.arange(len(fresh))
+        if len(self.number) < CACHE_WORDS:
+            self.number.update(zip(fresh, range(len(self.starts), len(starts)), strict=True))
+            self.starts, self.sizes, self.flat = starts, sizes, flat
+        at = at[codes]
+        place, ends = _gather(starts[at], sizes[at])
+        return np.concatenate(([0], ends))[offsets], flat[place]
+
+
+def _gather(starts: np.ndarray, sizes: np.ndarray, longer: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, ends) of runs of a flat array laid one after another, some ``longer`` by one."""
+    n = sizes + longer
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, int(starts.max(initial=0))) < 1 << 31 else np.int64
+    return np.repeat((starts - (ends - n)).astype(kind), n) + np.arange(total, dtype=kind), ends
+
+
+#: Of this worker process, for its later tasks.
+_TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 def _tokenise(path: str, end_id: int, id_type: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = None
         for batch in batches:
-            for part in text_slices(batch, text):
-                tokenizer = tokenizer or WordTokenizer(path)
+            for part in text_slices(batch, text, SLICE):
+                tokenizer = _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, WordTokenizer(path))
                 offsets, ids = tokenizer(part.column(text))
-                docs = [np.append(ids[a:b], np.uint32(end_id)).astype("<u4") for a, b in zip(offsets, offsets[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([zlib.crc32(d) for d in docs], pa.int64()),
-                        pa.array([d.astype(id_type).tobytes() for d in docs], pa.binary()),
-                    ],
-                    names=["doc_id", "crc", "ids"],
-                )
+                docs = np.insert(ids.astype(id_type), offsets[1:], end_id)
+                ends = (offsets + np.arange(len(offsets))) * docs.itemsize
+                ids_column = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(docs)])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids_column.cast(pa.binary())], names=["doc_id", "ids"])
 
     return run
 
@@ -119,11 +162,12 @@ def _count(id_type: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for value in batch.column("ids"):
-                n = np.bincount(np.frombuffer(value.as_buffer(), id_type))
-                if len(n) > len(total):
-                    total = np.concatenate((total, np.zeros(len(n) - len(total), np.int64)))
-                total[: len(n)] += n
+            ids = batch.column("ids").cast(pa.large_binary())
+            ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+            n = np.bincount(np.frombuffer(ids.buffers()[2], id_type)[ends[0] // np.dtype(id_type).itemsize : ends[-1] // np.dtype(id_type).itemsize])
+            if len(n) > len(total):
+                total = np.concatenate((total, np.zeros(len(n) - len(total), np.int64)))
+            total[: len(n)] += n
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
@@ -172,13 +216,13 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, tokenizer_path: str, e
     """
     id_type = "<u2" if vocab_size <= 1 << 16 else "<u4"
     with Scratch(spark, "token-ids") as s:
-        tokens = s.table(docs.select("doc_id", text).mapInArrow(_tokenise(tokenizer_path, end_id, id_type, text), "doc_id long, crc long, ids binary"))
+        tokens = s.table(docs.select("doc_id", text).mapInArrow(_tokenise(tokenizer_path, end_id, id_type, text), "doc_id long, ids binary"))
         counts = tokens.select("ids").mapInArrow(_count(id_type), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
         order = [r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))]
         rank_of = np.zeros(max(order, default=-1) + 1, np.uint32)
         rank_of[order] = np.arange(len(order), dtype=np.uint32)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ordered = tokens.repartitionByRange(n, "doc_id", "crc").sortWithinPartitions("doc_id", "crc", "ids")
+        ordered = tokens.repartitionByRange(n, "doc_id", F.octet_length("ids")).sortWithinPartitions("doc_id", F.octet_length("ids"), "ids")
         blocks = s.keep(ordered.mapInArrow(_encode(rank_of, id_type), BLOCK_SCHEMA), "blocks")
         ranks = s.keep(spark.createDataFrame(list(enumerate(order)), "rank long, id long").coalesce(1), "ranks")
     return {"blocks": blocks, "ranks": ranks}

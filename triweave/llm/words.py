@@ -34,15 +34,16 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
 
     Vocabulary entries are Python strings, distinct, in order of first appearance.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.ascii_lower(texts)
+    texts = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])  # from offset 0
+    if lower and len(texts):
+        _, ends, data = texts.buffers()  # bytes.lower() is for A-Z only; the Arrow function also changes some other bytes
+        texts = pa.Array.from_buffers(pa.large_string(), len(texts), [None, ends, pa.py_buffer((data or pa.py_buffer(b"")).to_pybytes().lower())], offset=texts.offset)
     lists = pc.ascii_split_whitespace(texts)
     offsets = np.asarray(lists.offsets, dtype=np.int64)
     encoded = lists.values.dictionary_encode()
     codes = np.asarray(encoded.indices)[offsets[0]:offsets[-1]]
     offsets = offsets - offsets[0]
-    vocabulary = encoded.dictionary.to_pylist()
+    vocabulary = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
     if "" in vocabulary[:1] or "" in vocabulary:  # white space at an end of a text splits off an empty piece
         keep = codes != vocabulary.index("")
         offsets = np.concatenate(([0], np.cumsum(keep)))[offsets]
