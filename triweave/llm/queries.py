@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from triweave.llm import mixing, topk_search, url_filter
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,8 +19,54 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_output(spark, _table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triweave.llm.toxicity import score_toxicity
+
+    return score_toxicity(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triweave.llm.ngram_join import similar_groups
+
+    return similar_groups(spark, _table(spark, sf_dir, "documents"), k=3, threshold=(90, 100))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triweave.llm.url_filter import url_verdicts
+
+    return url_verdicts(spark, _table(spark, sf_dir, "pages"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triweave.llm.quality import quality_digest
+
+    return quality_digest(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triweave.llm.mixing import mixing_digest
+
+    return mixing_digest(_table(spark, sf_dir, "documents"))
+
+
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triweave.llm.topk_search import top_k_digest
+
+    return top_k_digest(spark, _table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
+    "op2_toxicity": op2_toxicity,
+    "op3_ngram_join": op3_ngram_join,
+    "op5_url_filter": op5_url_filter,
+    "op6_quality": op6_quality,
+    "op7_mixing": op7_mixing,
+    "op9_topk_search": op9_topk_search,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": url_filter.ORACLE_SQL,
+    "op7_mixing": mixing.ORACLE_SQL,
+    "op9_topk_search": topk_search.ORACLE_SQL,
+}
