@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,11 @@ class Scratch:
     def keep(self, df: DataFrame, name: str = "result") -> DataFrame:
         return self._write(df, f"{self.root}/{name}", compression="zstd")
 
+    def release(self) -> None:
+        """Lets go of finished steps: Spark deletes shuffle files once their handles are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table of this run before its end."""
         for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
