@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from triweave.llm import mixing, topk_search, url_filter
 
@@ -31,6 +32,13 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(spark, _table(spark, sf_dir, "documents"), k=3, threshold=(90, 100))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triweave.llm.decontaminate import benchmark_matches
+
+    matches = benchmark_matches(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return matches.select("doc_id", "item_id", F.round("lcs_share", 6).alias("lcs_share"), F.round("answer_share", 6).alias("answer_share"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from triweave.llm.url_filter import url_verdicts
 
@@ -49,6 +57,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triweave.llm.line_dedup import line_digest
+
+    return line_digest(spark, _table(spark, sf_dir, "documents"))
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from triweave.llm.topk_search import top_k_digest
 
@@ -59,9 +73,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_toxicity": op2_toxicity,
     "op3_ngram_join": op3_ngram_join,
+    "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_topk_search": op9_topk_search,
 }
 
