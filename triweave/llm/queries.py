@@ -69,6 +69,12 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_digest(spark, _table(spark, sf_dir, "embeddings"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triweave.llm.chat import chat_digest
+
+    return chat_digest(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_toxicity": op2_toxicity,
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op9_topk_search": op9_topk_search,
+    "op10_chat": op10_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {
