@@ -12,8 +12,9 @@ Sets of hashed word shingles are joined exactly at a Jaccard threshold t, in cla
    overlap with the union is below t times its size can't be linked to any member, and the group
    is not opened; in an opened one exact intersections are counted.  Links give first components.
 4. The rest: only joint tokens that several components hold can still carry a link between two of them.
-   Their documents are grouped again, a large component on its own, and all groups of a token
-   except those within one component are matched, with the same bound.  The final components follow.
+   A component's documents are dealt into groups once, and groups of different components that share a
+   token are matched once, with the same bound; the lists of tokens that very many groups share are
+   dealt on their own.  The final components follow.
 
 So no list of documents is expanded into pairs within a component, no group grows with its class, and no
 link between different components is lost.  Shingles are compared by 64-bit hashes.
@@ -38,7 +39,7 @@ from triweave.llm.words import mix, split_words, text_slices, word_hashes
 from triweave.operators.graph import connected_components
 from triweave.plans.scratch import Scratch
 
-SPARE, GROUP, CLASS_RATIO = 2, 64, 1.5
+SPARE, GROUP, WIDE, CLASS_RATIO = 2, 64, 16, 1.5
 SIGNATURE_SCHEMA = "doc_id long, n long, set_key binary, sigs array<long>"
 
 
@@ -247,14 +248,40 @@ def _pivot_units(held: DataFrame) -> DataFrame:
     return members.unionByName(queries).select(F.xxhash64("pivot", "g").alias("unit"), "side", "doc_id", F.col("doc_id").alias("comp"))
 
 
-def _rest_units(held: DataFrame, components: DataFrame, scratch: Scratch) -> DataFrame:
-    """Groups by joint tokens that several components hold, matched unless within one component."""
+def _rest_units(held: DataFrame, components: DataFrame, sizes: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Groups of joint tokens that several components hold, matched unless within one component.
+
+    A component's documents are dealt into groups once, whatever the token; pairs of groups that share a
+    token are matched once, and only if some sizes allow a link.  Tokens with more than WIDE groups are
+    dealt on their own.
+    """
     named = held.select("sig", "doc").join(components.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
     named = scratch.table(named)
     h1, h2 = F.xxhash64("doc"), F.xxhash64(F.lit(1), "doc")
     mixed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.bit_xor(h1).alias("x1"), F.bit_xor(h2).alias("x2")).where("lo < hi")
     mixed = mixed.groupBy("n", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig")  # one token for each list of documents
     rest = scratch.table(named.join(mixed, "sig").distinct())
+    own = rest.select("doc", "comp").distinct().join(sizes, "doc")
+    counts = own.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("groups"))
+    dealt = own.join(counts, "comp").select("doc", "comp", "lo", "hi", F.xxhash64("comp", F.pmod(F.xxhash64("doc"), F.col("groups"))).alias("g"))
+    dealt = scratch.table(dealt)
+    lists = scratch.table(rest.select("sig", "doc").join(dealt.select("doc", "comp", "g"), "doc").select("sig", "g", "comp").distinct())
+    width = lists.groupBy("sig").agg(F.count("*").alias("width"))
+    narrow = lists.join(width.where(F.col("width") <= WIDE).select("sig"), "sig")
+    pairs = narrow.join(narrow.toDF("sig", "g2", "comp2"), "sig").where("g < g2 AND comp <> comp2").select("g", "g2").distinct()
+    reach = dealt.groupBy("g").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
+    pairs = pairs.join(reach, "g").join(reach.toDF("g2", "least2", "most2"), "g2")
+    pairs = scratch.table(pairs.where(f"{num} * least <= {den} * most2 AND {num} * least2 <= {den} * most").select("g", "g2"))
+    unit = F.xxhash64("g", "g2").alias("unit")
+    asks = pairs.select("g", unit, F.lit(0).alias("side"))
+    held_by = pairs.select(F.col("g2").alias("g"), unit, F.lit(1).alias("side"))
+    matched = asks.unionByName(held_by).join(dealt, "g").select("unit", "side", F.col("doc").alias("doc_id"), "comp")
+    wide = rest.join(width.where(F.col("width") > WIDE).select("sig"), "sig")
+    return matched.unionByName(_list_units(wide, scratch))
+
+
+def _list_units(rest: DataFrame, scratch: Scratch) -> DataFrame:
+    """Longer lists: groups of the documents of a joint token, matched with each other unless within one large component."""
     sizes = rest.groupBy("sig", "comp").agg(F.count("*").alias("c"))
     small = sizes.where(F.col("c") <= GROUP // 2).groupBy("sig").agg(F.ceil(F.sum("c") / F.lit(GROUP)).alias("smalls"))
     dealt = rest.join(sizes, ["sig", "comp"]).join(small, "sig", "left")
@@ -288,10 +315,13 @@ def similar_groups(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
         multi = postings.groupBy("sig").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last").drop("last")
         held = s.table(postings.join(multi, "sig"))
         s.release()
+        texts = s.table(texts.join(held.select(F.col("doc").alias("doc_id")).distinct(), "doc_id"))  # of possible partners only
+        s.release()
         links = s.table(_opened(_pivot_units(held), texts, k, num, den).unionByName(equal))
         s.release()
+        sizes = signed.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
         first = s.table(connected_components(links, s))
-        rest = s.table(_opened(_rest_units(held, first, s), texts, k, num, den))
+        rest = s.table(_opened(_rest_units(held, first, sizes, num, den, s), texts, k, num, den))
         s.release()
         # the first components are stars already; the rest joins them
         edges = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)
