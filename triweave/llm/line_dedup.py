@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triweave.functions.ranks import ONE_TASK_ROWS, numbered
 from triweave.llm.words import mix, split_words, text_slices, word_hashes
 from triweave.plans.scratch import Scratch
 
 NEAR_WORDS = 5
+#: Ranges of lines whose content is moved one after another, which bounds the disk that it takes at once.
+PASSES = 2
 NO_ID = (1 << 63) - 1
 
 
@@ -59,7 +63,7 @@ def line_keys(offsets: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.nd
     """(whole hash and a second one, half keys) of lines: arrays of 2 and 4 columns.
 
     Half keys are hashes of the first and the last h words for h = floor(m/2), where m is the length of
-    the shorter line of a near-equal pair: n or n - 1.
+    the shorter line of a near-equal pair: n or n - 1.  For odd n both are the same.
     """
     start, end = offsets[:-1], offsets[1:]
     n = end - start
@@ -70,7 +74,7 @@ def line_keys(offsets: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.nd
     halves = []
     for m in (n, np.maximum(n - 1, 0)):
         h = m // 2
-        halves += [closed(ahead[start + h] - ahead[start], m, 1), closed(back[end] - back[end - h], m, 2)]
+        halves += [closed(ahead[start + h] - ahead[start], h, 1), closed(back[end] - back[end - h], h, 2)]
     return whole, np.column_stack(halves)
 
 
@@ -110,7 +114,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets, words = line_words(lines)
             keys, halves = line_keys(offsets, words)
             n = np.diff(offsets)
-            used = np.where(n >= NEAR_WORDS, np.where(n > NEAR_WORDS, 4, 2), 0)  # shorter lines have no near-equal ones
+            used = np.where(n >= NEAR_WORDS, np.where((n > NEAR_WORDS) & (n % 2 == 0), 4, 2), 0)  # shorter lines have no near-equal ones
             rows = np.array([xxhash.xxh3_64_intdigest(t.as_buffer() or b"") >> 1 for t in texts.cast(pa.large_string())], np.int64)
             number = np.arange(len(lines)) - np.repeat(np.cumsum(counts) - counts, counts)
             take = np.repeat(np.arange(len(counts)), counts)
@@ -130,7 +134,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbourhood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, place, h, kind) of the lines in ``content``."""
+    """(n, h, kind) of the lines in ``content``."""
     for batch in batches:
         for part in text_slices(batch, "content", 1 << 18):
             offsets, words = line_words(part.column("content"))
@@ -138,61 +142,85 @@ def _neighbourhood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             take = pa.array(np.repeat(np.arange(len(made)), [len(h) for h, _ in made]))
             h = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in made)]).view(np.int64)
             kind = np.concatenate([np.zeros(0, np.int64), *(k for _, k in made)])
-            yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in ("key", "place")), pa.array(h), pa.array(kind)], names=["key", "place", "h", "kind"])
+            yield pa.RecordBatch.from_arrays([part.column("n").take(take), pa.array(h), pa.array(kind)], names=["n", "h", "kind"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = zip(batch.column("content").to_pylist(), batch.column("other").to_pylist(), strict=True)
         split = [tuple(_words(x) for x in p) for p in pairs]
-        yield batch.filter(pa.array([within_one_edit(a, b) for a, b in split], pa.bool_())).select(["key"])
+        yield batch.filter(pa.array([within_one_edit(a, b) for a, b in split], pa.bool_())).select(["n"])
 
 
 def _words(line: str) -> list[str]:
     return line.encode("utf-8", "surrogatepass").lower().split()
 
 
-PLACE = "struct<d:long,row:long,line:long>"
-
-
-def kept_lines(spark: SparkSession, docs: DataFrame, s: Scratch) -> DataFrame:
-    """(doc_id, row, line, crc, content, keep) of every line of ``docs`` (doc_id, text)."""
+def distinct_lines(spark: SparkSession, docs: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(lines, first): every line of ``docs`` (doc_id, text), and for each distinct one with words (key, p,
+    near): its earliest place p (d, row, line, crc) and whether a near-equal one comes before it."""
     lines = s.table(docs.select("doc_id", "text").mapInArrow(_lines, LINE_SCHEMA))
-    place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "row", "line")
-    first = s.table(lines.where("n_words > 0").groupBy("key").agg(F.min(place).alias("place"), F.min("halves").alias("halves")))
+    place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "row", "line", "crc")
+    first = s.table(lines.where("n_words > 0").groupBy("key").agg(F.min(place).alias("p"), F.min("halves").alias("halves")))
     s.release()
     halves = first.select("key", F.explode("halves").alias("h"))
-    shared = halves.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("h")
+    shared = s.table(halves.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("h"))
+    s.release()
     gated = s.table(halves.join(shared, "h").select("key").distinct())
-    at_first = lines.select("key", place.alias("place"), "content").join(gated.join(first.select("key", "place"), "key"), ["key", "place"]).dropDuplicates(["key"])
-    gated = s.table(at_first)
     s.release()
-    emitted = s.table(gated.mapInArrow(_neighbourhood, f"key binary, place {PLACE}, h long, kind long").withColumn("g", F.greatest("kind", F.lit(0))))
-    mine = F.struct("place", "key")
-    earliest = emitted.groupBy("h", "g").agg(*(F.min(F.when(test, mine)).alias(c) for c, test in (("w", F.col("kind") < 0), ("d", F.col("kind") == 0), ("r", F.col("kind") > 0))), F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
+    # numbers in order of place stand for the lines from here on
+    wanted = numbered(gated.join(first.select("key", "p"), "key"), ["p"], "n", ONE_TASK_ROWS + 1, s)
+    wanted = s.table(wanted)
+    parts = []
+    for i in range(PASSES):
+        some = lines.select("key", place.alias("p"), "content").where(F.pmod(F.xxhash64("key"), F.lit(PASSES)) == i)
+        parts.append(s.table(some.join(wanted, ["key", "p"]).select("n", "content").dropDuplicates(["n"])))
+        s.release()
+    texts = reduce(DataFrame.unionByName, parts)
+    emitted = s.table(texts.mapInArrow(_neighbourhood, "n long, h long, kind long").withColumn("g", F.greatest("kind", F.lit(0))))
+    least = (F.min(F.when(test, F.col("n"))).alias(c) for c, test in (("w", F.col("kind") < 0), ("d", F.col("kind") == 0), ("r", F.col("kind") > 0)))
+    earliest = s.table(emitted.groupBy("h", "g").agg(*least, F.min("n").alias("lo"), F.max("n").alias("hi")).where("lo < hi").drop("lo", "hi"))
+    s.release()
     met = emitted.join(earliest, ["h", "g"]).withColumn("e", F.when(F.col("kind") < 0, F.col("d")).when(F.col("kind") == 0, F.col("w")).otherwise(F.col("r")))
-    claims = met.where("e.place < place").select("key", F.col("e.key").alias("other_key")).distinct()
-    texts = gated.select("key", "content")
-    pairs = claims.join(texts, "key").join(texts.toDF("other_key", "other"), "other_key")
-    near = pairs.select("key", "content", "other").mapInArrow(_verify, "key binary").distinct()
-    fate = s.table(first.select("key", "place").join(near.withColumn("near", F.lit(True)), "key", "left"))
+    claims = s.table(met.where("e < n").select("n", "e").distinct())
     s.release()
-    keep = F.col("place").isNull() | (F.col("near").isNull() & (place == F.col("place")))
-    return lines.join(fate, "key", "left").select("doc_id", "row", "line", "crc", "content", keep.alias("keep"))
+    pairs = claims.join(texts, "n").join(texts.toDF("e", "other"), "e")
+    near = pairs.select("n", "content", "other").mapInArrow(_verify, "n long").distinct().join(wanted.select("n", "key"), "n")
+    fate = s.table(first.select("key", "p").join(near.select("key", F.lit(True).alias("near")), "key", "left"))
+    s.release()
+    return lines, fate
+
+
+def kept_lines(spark: SparkSession, docs: DataFrame, s: Scratch) -> DataFrame:
+    """(doc_id, row, line, content, keep) of every line of ``docs`` (doc_id, text)."""
+    lines, fate = distinct_lines(spark, docs, s)
+    here = (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("p.d")) & (F.col("row") == F.col("p.row")) & (F.col("line") == F.col("p.line"))
+    keep = F.col("p").isNull() | (F.col("near").isNull() & here)
+    return lines.join(fate, "key", "left").select("doc_id", "row", "line", "content", keep.alias("keep"))
 
 
 def line_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_kept, kept_crc) of each document that has lines: kept_crc adds up
-    crc32(line) * (line number from 1) % 1000003 over kept lines."""
+    crc32(line) * (line number from 1) % 1000003 over kept lines.  Equal rows are one document."""
     with Scratch(spark, "line-dedup") as s:
-        lines = kept_lines(spark, docs, s)
-        crc = F.sum(F.when(F.col("keep"), F.col("crc") * (F.col("line") + 1) % 1_000_003))
-        got = lines.groupBy("doc_id", "row").agg(F.count("*").alias("n_lines"), F.sum(F.col("keep").cast("long")).alias("n_kept"), F.coalesce(crc, F.lit(0)).alias("kept_crc"))
+        lines, fate = distinct_lines(spark, docs, s)
+        term = lambda crc, line: F.col(crc) * (F.col(line) + 1) % 1_000_003
+        bare = F.col("n_words") == 0  # such lines stay
+        once = lines.select("doc_id", "row", "line", "n_words", "crc")
+        # a distinct line without words is counted by its place, so equal rows count once
+        whole = once.groupBy("doc_id", "row").agg((F.max("line") + 1).alias("n_lines"))
+        blank = once.where(bare).distinct().groupBy("doc_id", "row").agg(F.count("*").alias("k"), F.sum(term("crc", "line")).alias("c"))
+        kept = fate.where("near IS NULL").select(F.when(F.col("p.d") != NO_ID, F.col("p.d")).alias("doc_id"), F.col("p.row").alias("row"), F.col("p.crc").alias("crc"), F.col("p.line").alias("line"))
+        kept = kept.groupBy("doc_id", "row").agg(F.count("*").alias("k"), F.sum(term("crc", "line")).alias("c"))
+        parts = whole.select("doc_id", "row", "n_lines", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+        for x in (blank, kept):
+            parts = parts.unionByName(x.select("doc_id", "row", F.lit(0).cast("long").alias("n_lines"), "k", "c"))
+        got = parts.groupBy("doc_id", "row").agg(F.sum("n_lines").alias("n_lines"), F.sum("k").alias("n_kept"), F.sum("c").alias("kept_crc"))
         return s.keep(got.select("doc_id", "n_lines", "n_kept", "kept_crc"))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, s: Scratch) -> DataFrame:
     """(doc_id, row, text): the documents, of rows equal in doc_id and text one, with the lines they keep."""
-    lines = kept_lines(spark, docs, s).select("doc_id", "row", "line", "content", "keep").distinct()
+    lines = kept_lines(spark, docs, s).distinct()
     kept = F.sort_array(F.collect_list(F.when(F.col("keep"), F.struct("line", "content"))))
     return lines.groupBy("doc_id", "row").agg(F.array_join(F.transform(kept, lambda x: x["content"]), "\n").alias("text"))
