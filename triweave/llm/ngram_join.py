@@ -4,17 +4,20 @@ Sets of hashed word shingles are joined exactly at a Jaccard threshold t, in cla
 
 1. Equal sets are one node.  A task keeps the signatures of the first document only of each set it meets.
 2. Signatures: linked sets of sizes a and b differ in at most H = (a + b)(1 - t)/(1 + t) shingles.  The
-   hash range is cut into H + 1 + SPARE blocks, so at least 1 + SPARE blocks of two linked sets hold the
-   same shingles: a block with its shingles is a joint token.  Sets of one size class share a cut, as do
-   those near the border of two classes, which no link skips.
+   hash range is cut into H + 1 + spare blocks, so at least 1 + spare blocks of two linked sets hold the
+   same shingles: a block with its shingles is a joint token.  Blocks of few shingles are left out by a
+   set that has at most ``spare`` of them, as another block must then agree too.  Sets of one size class
+   share a cut, as do those near the border of two classes, which no link skips.
 3. Groups: documents that share a joint token with a smaller document are dealt to the smallest such
    pivot, in groups of bounded size.  A group holds the union of its members' shingles; a query whose
    overlap with the union is below t times its size can't be linked to any member, and the group
    is not opened; in an opened one exact intersections are counted.  Links give first components.
+   In ROUNDS more turns, tokens that several components hold get another pivot each, for the documents
+   outside its component.
 4. The rest: only joint tokens that several components hold can still carry a link between two of them.
-   A component's documents are dealt into groups once, and groups of different components that share a
-   token are matched once, with the same bound; the lists of tokens that very many groups share are
-   dealt on their own.  The final components follow.
+   Their documents are dealt into groups once, a large component's on their own, others by their
+   smallest partner; groups that share a token are matched once, unless within one large component,
+   with the same bound; tokens of very many groups are dealt on their own.  Final components follow.
 
 So no list of documents is expanded into pairs within a component, no group grows with its class, and no
 link between different components is lost.  Shingles are compared by 64-bit hashes.
@@ -27,6 +30,7 @@ nothing (component null); extra columns are ignored; an empty table gives an emp
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +39,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triweave.llm.words import mix, split_words, text_slices, word_hashes
+from triweave.llm.words import mix, split_words, text_slices, word_hashes, worker_state
 from triweave.operators.graph import connected_components
 from triweave.plans.scratch import Scratch
 
-SPARE, GROUP, WIDE, CLASS_RATIO = 2, 64, 16, 1.5
+SPARE, SPARE_SHARE, GROUP, WIDE, ROUNDS, PASSES, CLASS_RATIO = 2, 0.15, 128, 32, 1, 3, 1.5
+BUCKETS = 1 << 20
 SIGNATURE_SCHEMA = "doc_id long, n long, set_key binary, sigs array<long>"
 
 
@@ -85,41 +90,55 @@ class Cuts:
     def borders(self, blocks: int) -> np.ndarray:
         return np.array([-(-(i << 64) // blocks) for i in range(1, blocks)], np.uint64)
 
-    def instances(self, n: int) -> list[tuple[int, int]]:
-        """(number, blocks) of the cuts in which a set of this size takes part."""
+    @functools.lru_cache(maxsize=4096)  # noqa: B019
+    def cut(self, differ: int, top: int) -> tuple[int, int, int]:
+        """(blocks, spare, weak): ``differ`` + 1 + ``spare`` blocks for sets of up to ``top`` shingles; blocks of at
+        most ``weak`` shingles, as a Poisson law has them, are fewer than the spare ones in most sets."""
+        spare = max(SPARE, int((differ + 1) * SPARE_SHARE))
+        blocks = differ + 1 + spare
+        mean, weak = 0.8 * top / blocks, 0
+        term = total = math.exp(-mean)
+        while total + term * mean / (weak + 1) <= 0.7 * spare / blocks:
+            term *= mean / (weak + 1)
+            total += term
+            weak += 1
+        return blocks, spare, weak
+
+    def instances(self, n: int) -> list[tuple[int, tuple[int, int, int]]]:
+        """(number, cut) of the cuts in which a set of this size takes part."""
         i = int(np.searchsorted(self.tops_array, n))
         top, out = self.tops[i], []
         if h := self.differ(top, top):
-            out.append((2 * i, h + 1 + SPARE))
+            out.append((2 * i, self.cut(h, top)))
         if n * self.den >= self.num * (top + 1):  # may be linked with a set of the next class
-            out.append((2 * i + 1, self.differ(top, top * self.den // self.num) + 1 + SPARE))
+            out.append((2 * i + 1, self.cut(self.differ(top, top * self.den // self.num), top)))
         if i and n * self.num <= self.den * self.tops[i - 1]:
             below = self.tops[i - 1]
-            out.append((2 * i - 1, self.differ(below, below * self.den // self.num) + 1 + SPARE))
+            out.append((2 * i - 1, self.cut(self.differ(below, below * self.den // self.num), below)))
         return out
 
     def signatures(self, x: np.ndarray) -> np.ndarray:
-        """One hash for each block that holds shingles; for empty ones only where there are more than SPARE."""
+        """One hash for each block of more than ``weak`` shingles; for weak ones only where there are more than ``spare``."""
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(x ^ np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)))
         out = []
-        for number, blocks in self.instances(len(x)):
+        for number, (blocks, spare, weak) in self.instances(len(x)):
             ends = np.concatenate(([0], np.searchsorted(x, self.borders(blocks)), [len(x)]))
-            held = ends[1:] > ends[:-1]
+            strong = ends[1:] - ends[:-1] > weak
             sig = mix((sums[ends[1:]] - sums[ends[:-1]]) ^ mix((np.uint64(number << 40) + np.arange(1, blocks + 1, dtype=np.uint64))))
-            out.append(sig if blocks - held.sum() > SPARE else sig[held])
+            out.append(sig if blocks - strong.sum() > spare else sig[strong])
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def _sign(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, seen = Cuts(num, den), set()
+        cuts, seen = worker_state(("cuts", num, den), lambda: Cuts(num, den)), set()
         for batch in batches:
             for part in text_slices(batch):
                 keys, sizes, sigs = [], [], []
                 for doc_id, x in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), k), strict=True):
                     key = xxhash.xxh3_128_digest(x.tobytes())
                     fresh = len(x) and doc_id is not None and key not in seen
-                    if fresh and len(seen) < 1_000_000:  # beyond, sets may be signed again
+                    if fresh and len(seen) < 200_000:  # beyond, sets may be signed again
                         seen.add(key)
                     keys.append(key)
                     sizes.append(len(x))
@@ -239,41 +258,57 @@ def _opened(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
     return full.select("unit", "side", "doc_id", "comp", "text").mapInArrow(_open(k, num, den), "a long, b long")
 
 
-def _pivot_units(held: DataFrame) -> DataFrame:
-    """Groups of at most about GROUP documents for each pivot, the pivot as their query."""
-    dealt = held.where("doc <> pivot").groupBy("doc").agg(F.min("pivot").alias("pivot"))
+def _pivot_units(dealt: DataFrame) -> DataFrame:
+    """Groups of at most about GROUP documents for each pivot, the pivot as their query: dealt (doc, pivot)."""
     counts = dealt.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("groups"))
     members = dealt.join(counts, "pivot").select("pivot", F.pmod(F.xxhash64("doc"), F.col("groups")).alias("g"), F.lit(1).alias("side"), F.col("doc").alias("doc_id"))
     queries = counts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(0).alias("side"), F.col("pivot").alias("doc_id"))
     return members.unionByName(queries).select(F.xxhash64("pivot", "g").alias("unit"), "side", "doc_id", F.col("doc_id").alias("comp"))
 
 
-def _rest_units(held: DataFrame, components: DataFrame, sizes: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Groups of joint tokens that several components hold, matched unless within one component.
+def _mixed_tokens(held: DataFrame, components: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sig, doc, comp) of the joint tokens that several components hold."""
+    named = scratch.table(held.select("sig", "doc").join(components.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp")))
+    mixed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+    return scratch.table(named.join(mixed, "sig"))
 
-    A component's documents are dealt into groups once, whatever the token; pairs of groups that share a
-    token are matched once, and only if some sizes allow a link.  Tokens with more than WIDE groups are
-    dealt on their own.
+
+def _next_pivots(mixed: DataFrame, turn: int) -> DataFrame:
+    """(doc, pivot): documents whose token's pivot of this turn, now another one, is in another component."""
+    order = F.xxhash64(F.lit(turn), "doc")
+    pivots = mixed.groupBy("sig").agg(F.min(F.struct(order.alias("h"), F.col("doc").alias("pivot"), F.col("comp").alias("pivot_comp"))).alias("p"))
+    met = mixed.join(pivots, "sig").where("comp <> p.pivot_comp")
+    return met.groupBy("doc").agg(F.min("p").alias("p")).select("doc", F.col("p.pivot").alias("pivot"))
+
+
+def _rest_units(mixed: DataFrame, sizes: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Groups of joint tokens that several components hold, matched unless within one large component.
+
+    Documents are dealt into groups once, whatever the token: those of a large component on their own,
+    others with those that share their smallest partner.  Pairs of groups that share a token are matched
+    once, and only if some sizes allow a link.  Tokens with more than WIDE groups are dealt on their own.
     """
-    named = held.select("sig", "doc").join(components.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
-    named = scratch.table(named)
     h1, h2 = F.xxhash64("doc"), F.xxhash64(F.lit(1), "doc")
-    mixed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.bit_xor(h1).alias("x1"), F.bit_xor(h2).alias("x2")).where("lo < hi")
-    mixed = mixed.groupBy("n", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig")  # one token for each list of documents
-    rest = scratch.table(named.join(mixed, "sig").distinct())
-    own = rest.select("doc", "comp").distinct().join(sizes, "doc")
-    counts = own.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("groups"))
-    dealt = own.join(counts, "comp").select("doc", "comp", "lo", "hi", F.xxhash64("comp", F.pmod(F.xxhash64("doc"), F.col("groups"))).alias("g"))
-    dealt = scratch.table(dealt)
-    lists = scratch.table(rest.select("sig", "doc").join(dealt.select("doc", "comp", "g"), "doc").select("sig", "g", "comp").distinct())
+    once = mixed.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(h1).alias("x1"), F.bit_xor(h2).alias("x2"))
+    once = once.groupBy("n", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig")  # one token for each list of documents
+    rest = scratch.table(mixed.join(once, "sig").distinct())
+    heads = mixed.groupBy("sig").agg(F.min("doc").alias("head"))
+    near = mixed.join(heads, "sig").groupBy("doc", "comp").agg(F.min("head").alias("head"))
+    counts = near.groupBy("comp").agg(F.count("*").alias("c"))
+    near = scratch.table(near.join(counts, "comp").join(sizes, "doc"))
+    large = F.col("c") > GROUP // 2
+    smalls = near.where(~large).groupBy("head").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("groups"))
+    place = F.when(large, F.xxhash64(F.lit("comp"), "comp", F.pmod(F.xxhash64("doc"), F.ceil(F.col("c") / F.lit(GROUP))))).otherwise(F.xxhash64(F.lit("head"), "head", F.pmod(F.xxhash64("comp"), F.col("groups"))))
+    dealt = scratch.table(near.join(smalls, "head", "left").select("doc", "comp", "lo", "hi", F.when(large, F.col("comp")).alias("own"), place.alias("g")))
+    lists = scratch.table(rest.select("sig", "doc").join(dealt.select("doc", "own", "g"), "doc").select("sig", "g", "own").distinct())
     width = lists.groupBy("sig").agg(F.count("*").alias("width"))
     narrow = lists.join(width.where(F.col("width") <= WIDE).select("sig"), "sig")
-    pairs = narrow.join(narrow.toDF("sig", "g2", "comp2"), "sig").where("g < g2 AND comp <> comp2").select("g", "g2").distinct()
+    pairs = narrow.join(narrow.toDF("sig", "g2", "own2"), "sig").where("g <= g2 AND NOT (own IS NOT NULL AND own <=> own2)").select("g", "g2").distinct()
     reach = dealt.groupBy("g").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
     pairs = pairs.join(reach, "g").join(reach.toDF("g2", "least2", "most2"), "g2")
     pairs = scratch.table(pairs.where(f"{num} * least <= {den} * most2 AND {num} * least2 <= {den} * most").select("g", "g2"))
     unit = F.xxhash64("g", "g2").alias("unit")
-    asks = pairs.select("g", unit, F.lit(0).alias("side"))
+    asks = pairs.where("g <> g2").select("g", unit, F.lit(0).alias("side"))
     held_by = pairs.select(F.col("g2").alias("g"), unit, F.lit(1).alias("side"))
     matched = asks.unionByName(held_by).join(dealt, "g").select("unit", "side", F.col("doc").alias("doc_id"), "comp")
     wide = rest.join(width.where(F.col("width") > WIDE).select("sig"), "sig")
@@ -312,17 +347,37 @@ def similar_groups(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
         copies = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
         equal = signed.where("n > 0").select("doc_id", "set_key").join(copies, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
         postings = signed.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))
-        multi = postings.groupBy("sig").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last").drop("last")
-        held = s.table(postings.join(multi, "sig"))
+        parts = []
+        for i in range(PASSES):  # by ranges of tokens, which bounds the disk that the shuffles take at once
+            some = postings.where(F.pmod("sig", F.lit(PASSES)) == i)
+            multi = s.table(some.groupBy("sig").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last").drop("last"))
+            s.release()
+            parts.append(s.table(some.join(multi, "sig")))
+            s.release()
+        held = functools.reduce(DataFrame.unionByName, parts)
+        ids = s.table(held.select(F.col("doc").alias("doc_id")).distinct())
+        # of possible partners only: most others fail a filter of at most BUCKETS numbers before they are moved
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("bucket")
+        near = texts.select("doc_id", "text", bucket).join(F.broadcast(ids.select(bucket).distinct()), "bucket", "left_semi")
+        texts = s.table(near.select("doc_id", "text").join(ids, "doc_id"))
         s.release()
-        texts = s.table(texts.join(held.select(F.col("doc").alias("doc_id")).distinct(), "doc_id"))  # of possible partners only
-        s.release()
-        links = s.table(_opened(_pivot_units(held), texts, k, num, den).unionByName(equal))
+        dealt = held.where("doc <> pivot").groupBy("doc").agg(F.min("pivot").alias("pivot"))
+        links = s.table(_opened(_pivot_units(dealt), texts, k, num, den).unionByName(equal))
         s.release()
         sizes = signed.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
         first = s.table(connected_components(links, s))
-        rest = s.table(_opened(_rest_units(held, first, sizes, num, den, s), texts, k, num, den))
-        s.release()
+        mixed = _mixed_tokens(held, first, s)
+        for turn in range(ROUNDS):
+            links = s.table(_opened(_pivot_units(_next_pivots(mixed, turn)), texts, k, num, den))
+            stars = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            first = s.table(connected_components(stars.unionByName(links), s))
+            mixed = _mixed_tokens(mixed, first, s)
+        units = s.table(_rest_units(mixed, sizes, num, den, s))
+        parts = []
+        for i in range(PASSES):
+            parts.append(s.table(_opened(units.where(F.pmod("unit", F.lit(PASSES)) == i), texts, k, num, den)))
+            s.release()
+        rest = functools.reduce(DataFrame.unionByName, parts)
         # the first components are stars already; the rest joins them
         edges = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)
         final = connected_components(edges, s)
