@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triweave.llm.words import split_words, text_slices, word_hashes
+from triweave.llm.words import split_words, text_slices, word_hashes, worker_state
 from triweave.plans.scratch import Scratch
 
 PASSAGE, HOP, RANK, EXTRA, ITEMS, BUCKETS = 32, 16, 128, 16, 2000, 1 << 18
@@ -60,6 +60,7 @@ class Vocabulary:
 
 def _code(vocabulary: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("plain", dict)
         for batch in batches:
             for part in text_slices(batch):
                 offsets, codes, words = split_words(part.column("text"))
@@ -265,7 +266,7 @@ def candidates(offsets: np.ndarray, codes: np.ndarray, items: Items, basis: np.n
                 yield int(d), numbers[i], ids[i], int(start), int(min(start + width * HOP, offsets[d + 1])), float(near[h, i])
 
 
-MATCH_SCHEMA = "doc_id long, item_id long, lcs_share double, answer_share double, cosine double"
+MATCH_SCHEMA = "doc_id long, text_hash long, item_id long, lcs_share double, answer_share double, cosine double"
 
 
 def _scan(shared, size: int):
@@ -278,23 +279,24 @@ def _scan(shared, size: int):
                 if found and found > best.get((d, number), ((0.0, 0.0),))[0]:
                     best[d, number] = found, item_id, cosine
             ids = doc_ids.to_pylist()
-            rows = [(ids[d], item_id, *found, cosine) for (d, _), (found, item_id, cosine) in sorted(best.items())]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "lcs_share", "answer_share", "cosine"])
+            rows = [(ids[d]["doc_id"], ids[d]["text_hash"], item_id, *found, cosine) for (d, _), (found, item_id, cosine) in sorted(best.items())]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "text_hash", "item_id", "lcs_share", "answer_share", "cosine"])
 
     return run
 
 
 def benchmark_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, lcs_share, answer_share, cosine) of each document and each item that it holds."""
+    """(doc_id, text_hash, item_id, lcs_share, answer_share, cosine) of each document and each item that it holds."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     with Scratch(spark, "decontaminate") as s:
         words = items.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).distinct()
         vocabulary = Vocabulary({normal(r.w) for r in words.toLocalIterator()})
         if not vocabulary.size:
             return s.keep(spark.createDataFrame([], MATCH_SCHEMA))
-        codes = s.table(docs.select("doc_id", "text").mapInArrow(_code(vocabulary), "doc_id long, codes binary"))
+        keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).alias("doc_id"), "text")
+        codes = s.table(keyed.mapInArrow(_code(vocabulary), "doc_id struct<doc_id:long,text_hash:long>, codes binary"))
         blocks = -(-items.count() // ITEMS)
         parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text") for b in range(blocks)]
         known = [np.unique(x[x >= 0]) for p in parts for x in (vocabulary.codes(r.text.split()) for r in p.collect() if r.text.split())]
@@ -311,5 +313,6 @@ def benchmark_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item."""
-    leaks = benchmark_matches(spark, docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    leaks = benchmark_matches(spark, docs, benchmark).select(F.col("doc_id").alias("_leak"), F.col("text_hash").alias("_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(leaks["_leak"]) & (F.xxhash64(docs["text"]) == leaks["_hash"])  # the row itself, whatever shares its id
+    return docs.join(leaks, same, "left_anti").select(docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triweave.llm.features import BITS, Sparse, labelled_sample, sigmoid, sums, text_features
-from triweave.llm.words import text_slices
+from triweave.llm.words import text_slices, worker_state
 
 MOST, GRADES, KEEP_GRADE, KEEP_TAIL, L1, STEPS = 20_000, 3, 1, 0.5, 5e-5, 120
 
@@ -95,6 +95,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Ordin
 
 def _score(shared, columns: list[str], keep_grade: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("plain", dict)
         columns_of, weights, thresholds = shared.value
         model = OrdinalModel(np.zeros(1 << BITS), thresholds)
         model.weights[columns_of] = weights

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triweave.llm.words import split_words, text_slices
+from triweave.llm.words import split_words, text_slices, worker_state
 from triweave.plans.scratch import Scratch
 
 #: Words whose ids a worker remembers, and ids that a block holds before it is closed.
@@ -140,15 +140,11 @@ def _gather(starts: np.ndarray, sizes: np.ndarray, longer: np.ndarray | int = 0)
     return np.repeat((starts - (ends - n)).astype(kind), n) + np.arange(total, dtype=kind), ends
 
 
-#: Of this worker process, for its later tasks.
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
 def _tokenise(path: str, end_id: int, id_type: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, text, SLICE):
-                tokenizer = _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, WordTokenizer(path))
+                tokenizer = worker_state(("tokenizer", path), lambda: WordTokenizer(path))
                 offsets, ids = tokenizer(part.column(text))
                 docs = np.insert(ids.astype(id_type), offsets[1:], end_id)
                 ends = (offsets + np.arange(len(offsets))) * docs.itemsize

@@ -168,7 +168,7 @@ def _block(spark: SparkSession, candidates: DataFrame, rows: pa.Table, most: flo
         by_length[q.shape[1]] = np.arange(at, at + len(q)), q_ids, q
         ids.append(q_ids)
         at += len(q)
-        bound += [min(int(x * most) + 1, HIGH) if x * most < 2.0**62 else HIGH for x in np.abs(q).sum(axis=1)]
+        bound += [int(x * most) + 1 if x < 2.0**62 / max(most, 1.0) else HIGH for x in np.minimum(np.abs(q), 2.0**900).sum(axis=1)]
     block = {"by_length": by_length, "ids": np.concatenate([np.zeros(0, np.int64), *ids])}
     lo, hi, need = [-b for b in bound], list(bound), [k] * at
     width = [1] * at

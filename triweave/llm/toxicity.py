@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triweave.llm.features import BITS, Sparse, labelled_sample, sigmoid, sums, text_features
-from triweave.llm.words import text_slices, word_hashes
+from triweave.llm.words import text_slices, word_hashes, worker_state
 
 MOST, FOLDS, L1, STEPS, FLAG_AT = 20_000, 3, 5e-5, 120, 0.5
 SEEDS = {
@@ -123,6 +123,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Chai
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("plain", dict)
         model = ChainModel(links=shared.value[1], intercepts=shared.value[2])
         for at, w in shared.value[0]:
             full = np.zeros(1 << BITS)
