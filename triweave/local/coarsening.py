@@ -15,23 +15,25 @@ def neighborhood_pairs(p: Local, keep: int = 16, least: float = 0.02) -> list[tu
     """(q, l, r, affinity) of levels that share a neighbour in a pair marginal, in one component."""
     out = []
     for q in range(3):
-        total: dict[tuple[int, int], float] = {}
+        keys, overlaps = [np.zeros(0, np.int64)], [np.zeros(0)]
         for o in (x for x in range(3) if x != q):
-            cell, inverse = np.unique(p.keys[:, [o, q]], axis=0, return_inverse=True)
-            w = np.bincount(inverse.ravel(), p.w)
-            order = np.lexsort((cell[:, 1], -w, cell[:, 0]))
-            cell, w = cell[order], w[order]
-            starts = np.concatenate(([0], np.flatnonzero(np.diff(cell[:, 0])) + 1, [len(cell)]))
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                ids, ws = cell[a : min(b, a + keep), 1], w[a : min(b, a + keep)]
-                for i in range(len(ids)):
-                    for j in range(i + 1, len(ids)):
-                        key = (int(min(ids[i], ids[j])), int(max(ids[i], ids[j])))
-                        total[key] = total.get(key, 0.0) + min(ws[i], ws[j])
+            cell, inverse = np.unique(p.keys[:, o] * p.sizes[q] + p.keys[:, q], return_inverse=True)
+            row, level, w = cell // p.sizes[q], cell % p.sizes[q], np.bincount(inverse, p.w)
+            order = np.lexsort((level, -w, row))
+            row, level, w = row[order], level[order], w[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, level, w = row[place < keep], level[place < keep], w[place < keep]
+            for k in range(1, keep):
+                at = np.flatnonzero(row[k:] == row[:-k])
+                left, right = np.minimum(level[at], level[at + k]), np.maximum(level[at], level[at + k])
+                keys.append(left * p.sizes[q] + right)
+                overlaps.append(np.minimum(w[at], w[at + k]))
+        pair, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        left, right = pair // p.sizes[q], pair % p.sizes[q]
         d = 2 * p.diag[p.offsets[q] : p.offsets[q + 1]]
-        for (left, right), overlap in total.items():
-            if (affinity := min(overlap / np.sqrt(d[left] * d[right]), 1.0)) >= least:
-                out.append((q, left, right, float(affinity)))
+        affinity = np.minimum(np.bincount(inverse, np.concatenate(overlaps), len(pair)) / np.sqrt(d[left] * d[right]), 1.0)
+        good = affinity >= least
+        out += [(q, int(i), int(j), float(v)) for i, j, v in zip(left[good], right[good], affinity[good], strict=True)]
     return out
 
 
@@ -195,7 +197,7 @@ def hierarchy_maps(p: Local, terminal: int = MOST, most: int = 64) -> list[np.nd
             return None
         parent = match(level, neighborhood_pairs(level))
         coarse = level.coarsen(parent)
-        if coarse.dim >= level.dim or len(coarse.w) > len(level.w):
+        if coarse.dim > DIMENSION_RATIO * level.dim or len(coarse.w) > (1 - TUPLE_REDUCTION) * len(level.w):
             return None
         maps.append(parent)
         level = coarse
