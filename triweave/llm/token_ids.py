@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triweave.llm.words import split_words, text_slices, worker_state
+from triweave.llm.words import split_words, text_slices, tidy, worker_state
 from triweave.plans.scratch import Scratch
 
 #: Words whose ids a worker remembers, and ids that a block holds before it is closed.
@@ -219,12 +219,12 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, tokenizer_path: str, e
         rank_of[order] = np.arange(len(order), dtype=np.uint32)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         ordered = tokens.repartitionByRange(n, "doc_id", F.octet_length("ids")).sortWithinPartitions("doc_id", F.octet_length("ids"), "ids")
-        blocks = s.keep(ordered.mapInArrow(_encode(rank_of, id_type), BLOCK_SCHEMA), "blocks")
+        blocks = s.keep(ordered.mapInArrow(tidy(_encode(rank_of, id_type)), BLOCK_SCHEMA), "blocks")
         ranks = s.keep(spark.createDataFrame(list(enumerate(order)), "rank long, id long").coalesce(1), "ranks")
     return {"blocks": blocks, "ranks": ranks}
 
 
-def _decode(starts: dict[int, int], id_of: np.ndarray):
+def _decode(starts: dict[int, int], id_of: np.ndarray, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -238,28 +238,25 @@ def _decode(starts: dict[int, int], id_of: np.ndarray):
                         row["doc_ids"].values,
                         pa.array(first + ends - lens, pa.int64()),
                         pa.array(lens, pa.int64()),
-                        pa.array([ids[e - n : e].tobytes() for e, n in zip(ends, lens, strict=True)], pa.binary()),
+                        pa.array([zlib.crc32(ids[e - n : e]) for e, n in zip(ends, lens, strict=True)], pa.int64())
+                        if digest
+                        else pa.array([ids[e - n : e].tobytes() for e, n in zip(ends, lens, strict=True)], pa.binary()),
                     ],
-                    names=["doc_id", "start", "n_tokens", "ids"],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"],
                 )
 
     return run
 
 
-def read_token_ids(spark: SparkSession, blocks: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids: little-endian unsigned 32-bit integers) of every document, from the files."""
+def read_token_ids(spark: SparkSession, blocks: DataFrame, ranks: DataFrame, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids: little-endian unsigned 32-bit integers) of every document, from the files;
+    with ``digest`` the ids' crc32 instead, so they need not leave the task."""
     id_of = np.array([r.id for r in sorted(ranks.collect(), key=lambda r: r.rank)], "<u4")
     starts, at = {}, 0
     for r in sorted(blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect(), key=lambda r: r.shard):  # a row for each file
         starts[r.shard] = at
         at += r.n
-    return blocks.mapInArrow(_decode(starts, id_of), "doc_id long, start long, n_tokens long, ids binary")
-
-
-def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        crc = [zlib.crc32(v.as_buffer()) for v in batch.column("ids")]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    return blocks.mapInArrow(_decode(starts, id_of, digest), f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
 
 
 def token_id_output(spark: SparkSession, docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 1, vocab_size: int = 49_408) -> DataFrame:
@@ -269,4 +266,4 @@ def token_id_output(spark: SparkSession, docs: DataFrame, tokenizer_path: str |
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
     files = write_token_ids(spark, docs, tokenizer_path, end_id, vocab_size)
-    return read_token_ids(spark, files["blocks"], files["ranks"]).mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_ids(spark, files["blocks"], files["ranks"], digest=True)
