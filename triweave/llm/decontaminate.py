@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triweave.llm.words import split_words, text_slices, word_hashes, worker_state
+from triweave.llm.words import split_words, text_slices, tidy, word_hashes, worker_state
 from triweave.plans.scratch import Scratch
 
 PASSAGE, HOP, RANK, EXTRA, ITEMS, BUCKETS = 32, 16, 128, 16, 2000, 1 << 18
@@ -175,7 +175,7 @@ def latent_basis(spark: SparkSession, codes: DataFrame, size: int, items: list[n
     idf = inverse_frequencies(df, counts.get(size, 0), items)
     width = RANK + EXTRA
     shared = spark.sparkContext.broadcast(idf)
-    parts = codes.mapInArrow(_sketch(shared, size, width), "block long, z binary").groupBy("block").applyInArrow(_add, "block long, z binary").collect()
+    parts = codes.mapInArrow(tidy(_sketch(shared, size, width)), "block long, z binary").groupBy("block").applyInArrow(_add, "block long, z binary").collect()
     z = np.zeros((-(-size // 256) * 256, width))
     for p in parts:
         x = np.frombuffer(p.z, np.float64).reshape(-1, width)
@@ -296,7 +296,7 @@ def benchmark_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
         if not vocabulary.size:
             return s.keep(spark.createDataFrame([], MATCH_SCHEMA))
         keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).alias("doc_id"), "text")
-        codes = s.table(keyed.mapInArrow(_code(vocabulary), "doc_id struct<doc_id:long,text_hash:long>, codes binary"))
+        codes = s.table(keyed.mapInArrow(tidy(_code(vocabulary)), "doc_id struct<doc_id:long,text_hash:long>, codes binary"))
         blocks = -(-items.count() // ITEMS)
         parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text") for b in range(blocks)]
         known = [np.unique(x[x >= 0]) for p in parts for x in (vocabulary.codes(r.text.split()) for r in p.collect() if r.text.split())]
@@ -306,7 +306,7 @@ def benchmark_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
         for p in parts:
             block = Items([(r.item_id, r.text) for r in p.collect()], vocabulary, basis, used)
             shared = spark.sparkContext.broadcast((block, basis, used))
-            part = codes.mapInArrow(_scan(shared, vocabulary.size), MATCH_SCHEMA)
+            part = codes.mapInArrow(tidy(_scan(shared, vocabulary.size)), MATCH_SCHEMA)
             found = part if found is None else found.unionByName(part)
         return s.keep(found)
 

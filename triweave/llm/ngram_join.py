@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triweave.llm.words import mix, split_words, text_slices, word_hashes, worker_state
+from triweave.llm.words import mix, split_words, text_slices, tidy, word_hashes, worker_state
 from triweave.operators.graph import connected_components
 from triweave.plans.scratch import Scratch
 
@@ -255,7 +255,7 @@ def _opened(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
     """Links of the units in ``rows`` (unit, side, doc_id, comp)."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     full = rows.join(texts, "doc_id").repartition(n, "unit").sortWithinPartitions("unit", "side", "doc_id")
-    return full.select("unit", "side", "doc_id", "comp", "text").mapInArrow(_open(k, num, den), "a long, b long")
+    return full.select("unit", "side", "doc_id", "comp", "text").mapInArrow(tidy(_open(k, num, den)), "a long, b long")
 
 
 def _pivot_units(dealt: DataFrame) -> DataFrame:
@@ -343,7 +343,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
     num, den = threshold
     texts = docs.select("doc_id", "text")
     with Scratch(spark, "ngram-join") as s:
-        signed = s.table(texts.mapInArrow(_sign(k, num, den), SIGNATURE_SCHEMA))
+        signed = s.table(texts.mapInArrow(tidy(_sign(k, num, den)), SIGNATURE_SCHEMA))
         copies = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
         equal = signed.where("n > 0").select("doc_id", "set_key").join(copies, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
         postings = signed.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triweave.llm.features import BITS, Sparse, labelled_sample, sigmoid, sums, text_features
-from triweave.llm.words import text_slices, worker_state
+from triweave.llm.words import text_slices, tidy, worker_state
 
 MOST, GRADES, KEEP_GRADE, KEEP_TAIL, L1, STEPS = 20_000, 3, 1, 0.5, 5e-5, 120
 
@@ -115,7 +115,7 @@ def score_quality(spark: SparkSession, docs: DataFrame, model: OrdinalModel, kee
     shared = spark.sparkContext.broadcast((used, model.weights[used], model.thresholds))
     plain = docs.toDF(*[f"c{i}" if c != "text" else c for i, c in enumerate(docs.columns)])
     schema = ", ".join(f"{c} {t}" for c, t in plain.dtypes) + ", expected_grade double, tail_probability double, has_words boolean"
-    scored = plain.mapInArrow(_score(shared, plain.columns, keep_grade), schema)
+    scored = plain.mapInArrow(tidy(_score(shared, plain.columns, keep_grade)), schema)
     return scored.toDF(*docs.columns, "expected_grade", "tail_probability", "has_words")
 
 

@@ -7,6 +7,9 @@ many rows or how long texts an Arrow batch holds (one text is never cut).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +20,21 @@ import xxhash
 SLICE_BYTES = 2 << 20
 
 
+def tidy(run):
+    """``run`` over Arrow batches, after which the worker gives memory back, as it may idle beside others."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 _STATE: dict = {}
 
 
