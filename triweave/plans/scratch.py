@@ -26,6 +26,10 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of an Arrow batch within a run; texts may be long, so fewer than Spark's default.
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 class Scratch:
     """A folder for one run of an operator: ``table`` for intermediates, ``keep`` for what outlives the run.
 
@@ -38,9 +42,12 @@ class Scratch:
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def __enter__(self) -> Scratch:
+        self.rows_before = self.spark.conf.get(ARROW_ROWS)
+        self.spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
         return self
 
     def __exit__(self, *_) -> None:
+        self.spark.conf.set(ARROW_ROWS, self.rows_before)
         delete(self.spark, f"{self.root}/scratch")
 
     def _write(self, df: DataFrame, path: str, **options: str) -> DataFrame:
