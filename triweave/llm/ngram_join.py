@@ -258,6 +258,15 @@ def _opened(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
     return full.select("unit", "side", "doc_id", "comp", "text").mapInArrow(tidy(_open(k, num, den)), "a long, b long")
 
 
+def _links(units: DataFrame, texts: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of all units, opened in PASSES parts, which bounds the disk that their texts take at once."""
+    units, parts = scratch.table(units), []
+    for i in range(PASSES):
+        parts.append(scratch.table(_opened(units.where(F.pmod("unit", F.lit(PASSES)) == i), texts, k, num, den)))
+        scratch.release()
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def _pivot_units(dealt: DataFrame) -> DataFrame:
     """Groups of at most about GROUP documents for each pivot, the pivot as their query: dealt (doc, pivot)."""
     counts = dealt.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("groups"))
@@ -362,22 +371,17 @@ def similar_groups(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
         texts = s.table(near.select("doc_id", "text").join(ids, "doc_id"))
         s.release()
         dealt = held.where("doc <> pivot").groupBy("doc").agg(F.min("pivot").alias("pivot"))
-        links = s.table(_opened(_pivot_units(dealt), texts, k, num, den).unionByName(equal))
+        links = s.table(_links(_pivot_units(dealt), texts, k, num, den, s).unionByName(equal))
         s.release()
         sizes = signed.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
         first = s.table(connected_components(links, s))
         mixed = _mixed_tokens(held, first, s)
         for turn in range(ROUNDS):
-            links = s.table(_opened(_pivot_units(_next_pivots(mixed, turn)), texts, k, num, den))
+            links = _links(_pivot_units(_next_pivots(mixed, turn)), texts, k, num, den, s)
             stars = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
             first = s.table(connected_components(stars.unionByName(links), s))
             mixed = _mixed_tokens(mixed, first, s)
-        units = s.table(_rest_units(mixed, sizes, num, den, s))
-        parts = []
-        for i in range(PASSES):
-            parts.append(s.table(_opened(units.where(F.pmod("unit", F.lit(PASSES)) == i), texts, k, num, den)))
-            s.release()
-        rest = functools.reduce(DataFrame.unionByName, parts)
+        rest = _links(_rest_units(mixed, sizes, num, den, s), texts, k, num, den, s)
         # the first components are stars already; the rest joins them
         edges = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)
         final = connected_components(edges, s)
