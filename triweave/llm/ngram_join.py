@@ -44,7 +44,7 @@ from triweave.operators.graph import connected_components
 from triweave.plans.scratch import Scratch
 
 SPARE, SPARE_SHARE, GROUP, WIDE, ROUNDS, PASSES, CLASS_RATIO = 2, 0.15, 128, 32, 1, 3, 1.5
-BUCKETS = 1 << 20
+BUCKETS, PART_ROWS = 1 << 20, 150_000
 SIGNATURE_SCHEMA = "doc_id long, n long, set_key binary, sigs array<long>"
 
 
@@ -259,10 +259,11 @@ def _opened(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
 
 
 def _links(units: DataFrame, texts: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) of all units, opened in PASSES parts, which bounds the disk that their texts take at once."""
+    """Links (a, b) of all units, opened in PASSES parts or more, which bounds the disk that their texts take at once."""
     units, parts = scratch.table(units), []
-    for i in range(PASSES):
-        parts.append(scratch.table(_opened(units.where(F.pmod("unit", F.lit(PASSES)) == i), texts, k, num, den)))
+    n = min(max(PASSES, units.count() // PART_ROWS), 4 * PASSES)
+    for i in range(n):
+        parts.append(scratch.table(_opened(units.where(F.pmod("unit", F.lit(n)) == i), texts, k, num, den)))
         scratch.release()
     return functools.reduce(DataFrame.unionByName, parts)
 
@@ -352,10 +353,11 @@ def similar_groups(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
     num, den = threshold
     texts = docs.select("doc_id", "text")
     with Scratch(spark, "ngram-join") as s:
-        signed = s.table(texts.mapInArrow(tidy(_sign(k, num, den)), SIGNATURE_SCHEMA))
+        signatures = s.table(texts.mapInArrow(tidy(_sign(k, num, den)), SIGNATURE_SCHEMA))
+        signed = s.table(signatures.drop("sigs"))
         copies = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
         equal = signed.where("n > 0").select("doc_id", "set_key").join(copies, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-        postings = signed.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))
+        postings = signatures.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))
         parts = []
         for i in range(PASSES):  # by ranges of tokens, which bounds the disk that the shuffles take at once
             some = postings.where(F.pmod("sig", F.lit(PASSES)) == i)
@@ -364,6 +366,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
             parts.append(s.table(some.join(multi, "sig")))
             s.release()
         held = functools.reduce(DataFrame.unionByName, parts)
+        s.drop(signatures)  # the largest table; from here on only shared tokens count
         ids = s.table(held.select(F.col("doc").alias("doc_id")).distinct())
         # of possible partners only: most others fail a filter of at most BUCKETS numbers before they are moved
         bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("bucket")
