@@ -225,6 +225,53 @@ def test_decontamination_finds_paraphrases(spark, docs, nothing):
     assert decontaminate.without_benchmark(spark, docs, bench).columns == docs.columns
 
 
+def planted(n_items, lengths, seed, tail=1.1, head=3000):
+    """(documents, items, planted pairs): verbatim items in long documents of Zipf-distributed benchmark and other words."""
+    rng = np.random.default_rng(seed)
+    weights = 1 / np.arange(1, head + 1) ** tail
+    words = lambda n: [f"w{x}" for x in rng.choice(head, n, p=weights / weights.sum())]
+    items = [(i, words(lengths[i % len(lengths)])) for i in range(n_items)]
+    rows, pairs = [], set()
+    for d in range(2 * n_items):
+        text, i = words(160 + d % 90), d % n_items
+        at = int(rng.integers(len(text)))
+        text[at:at] = items[i][1]
+        rows.append((d, " ".join(text)))
+        pairs.add((d, i))
+    return rows, [(i, " ".join(x)) for i, x in items], pairs
+
+
+def test_decontamination_finds_every_verbatim_item(spark):
+    rows, items, pairs = planted(60, [6, 12, 16, 25, 40], 3)
+    rows.append((1000, "one - two , three - four ( five ) six - seven - eight nine ten"))
+    items += [(100, "one two - three four five six seven eight nine ten"), (101, "three - four - five"), (102, "the")]
+    rows.append((1001, "so the end"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.benchmark_matches(spark, frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): (r.lcs_share, r.answer_share) for r in found}
+    assert pairs | {(1000, 100), (1000, 101), (1001, 102)} <= set(got)
+    assert all(got[p] == (1.0, 1.0) for p in pairs)
+
+
+def test_exact_candidates_hold_every_window_that_passes(monkeypatch):
+    monkeypatch.setattr(decontaminate, "PAIRS", 50)
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(-1, 25, n) for n in (0, 1, 15, 16, 17, 90, 400, 33)]
+    rows = [(n, " ".join(f"w{x}" for x in rng.integers(0, 25, n))) for n in (1, 2, 5, 7, 8, 9, 16, 17, 30)]
+    vocabulary = decontaminate.Vocabulary({f"w{i}" for i in range(25)})
+    offsets, codes = np.concatenate(([0], np.cumsum([len(t) for t in texts]))), np.concatenate(texts)
+    items = decontaminate.Items(rows, vocabulary, np.zeros((25, 0), np.float32), np.zeros(25, bool), np.bincount(codes[codes >= 0], minlength=25))
+    want = {
+        (d, i, int(a), int(min(a + items.hops[i] * decontaminate.HOP, end)))
+        for d, (begin, end) in enumerate(zip(offsets[:-1], offsets[1:], strict=True))
+        for i in range(len(rows))
+        for a in range(begin, end, decontaminate.HOP)
+        if items.check(i, codes[a : min(a + items.hops[i] * decontaminate.HOP, end)].tolist())
+    }
+    got = list(decontaminate.exact_candidates(offsets, codes, items))
+    assert want and want <= set(got) and len(got) == len(set(got))
+
+
 def test_lcs():
     masks = {}
     for i, c in enumerate("abcbdab"):

@@ -1,16 +1,22 @@
 """Operator 4, benchmark decontamination by latent semantic retrieval.
 
 1. Words (lower-cased, outer punctuation trimmed) become numbers of the benchmark's vocabulary; other words
-   are gaps that keep their place.  The texts are read and split once; their codes are kept as a table.
+   are gaps that keep their place, and punctuation that stands alone is none.  The texts are read and split
+   once; their codes are kept as a table.
 2. Passages are spans of PASSAGE words of a document.  Document frequencies of the terms over all passages
    give idf weights; one more pass adds up the sketch Z = A'(A R) of the TF-IDF passage matrix A with a
    random R, a matrix of vocabulary by sketch width, and Z gives the leading right singular vectors.
 3. Every window of a document, a step of HOP words apart and long enough to hold an item whole wherever it
    starts, is compared with the items of that length by cosine in the latent space.
-4. Candidates are checked: the longest common subsequence with the item must reach LCS_SHARE of its words,
+4. The cosine loses items among other benchmark words, so windows are also retrieved exactly: a match keeps
+   all but m of an item's places, so of its m + r rarest places at least r have their word in the window.
+   Every window that passes the checks below does so, verbatim items of any length among them.
+5. Candidates are checked: the longest common subsequence with the item must reach LCS_SHARE of its words,
    and its answer, the words of its last sentence or its last ANSWER words, must be there by ANSWER_SHARE.
    Items under LEAST words must occur word for word.
 
+The cosine of a match is null where the latent space would have lost its best window.
+
 Defined results: null and empty texts match nothing, null and empty items neither; items of one text each
 match; repeated documents each match; extra columns are ignored; with an empty table there are no matches.
 Items come to the driver in blocks of bounded size, a scan of the codes for each.
@@ -31,6 +37,8 @@ from triweave.plans.scratch import Scratch
 
 PASSAGE, HOP, RANK, EXTRA, ITEMS, BUCKETS = 32, 16, 128, 16, 2000, 1 << 18
 COMMON, TERMS = 0.02, 3
+#: Of an item's rarest places, how many more than the checks demand must be in a window; pairs of words and items opened at once.
+HITS, PAIRS = 4, 1 << 21
 COSINE, LCS_SHARE, ANSWER, ANSWER_SHARE, LEAST = 0.5, 0.6, 8, 0.5, 8
 PUNCTUATION = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»“”„‘’…–—¡¿"
 SLICE = 1 << 19
@@ -49,13 +57,14 @@ class Vocabulary:
         keys = sorted({self._key(w) for w in words})
         self.number = dict(zip(keys, range(len(keys)), strict=True))
         self.size = len(keys)
+        self.number[None] = -2  # no word: punctuation alone
 
     def _key(self, word: str):
         return int(word_hashes([word])[0]) % BUCKETS if self.hashed else word
 
     def codes(self, words: list[str]) -> np.ndarray:
         get = self.number.get
-        return np.array([get(self._key(normal(w)), -1) for w in words] if self.hashed else [get(normal(w), -1) for w in words], np.int32)
+        return np.array([get(self._key(n) if n else None, -1) for n in map(normal, words)] if self.hashed else [get(normal(w) or None, -1) for w in words], np.int32)
 
 
 def _code(vocabulary: Vocabulary):
@@ -65,6 +74,8 @@ def _code(vocabulary: Vocabulary):
             for part in text_slices(batch):
                 offsets, codes, words = split_words(part.column("text"))
                 flat = vocabulary.codes(words)[codes].astype("<i4") if len(words) else np.zeros(0, "<i4")
+                offsets = np.concatenate(([0], np.cumsum(flat > -2)))[offsets]
+                flat = flat[flat > -2]
                 if vocabulary.size < 1 << 15:
                     flat = flat.astype("<i2")
                 ends = pa.py_buffer((offsets * flat.itemsize).astype(np.int64))
@@ -168,8 +179,8 @@ def inverse_frequencies(df: np.ndarray, passages: int, items: list[np.ndarray])
     return rare if all((rare[x] > 0).sum() >= min(TERMS, len(x)) for x in items) else idf
 
 
-def latent_basis(spark: SparkSession, codes: DataFrame, size: int, items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(idf, singular vectors) of the TF-IDF passages of all documents, for each term of the vocabulary."""
+def latent_basis(spark: SparkSession, codes: DataFrame, size: int, items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passages, idf, singular vectors) of the TF-IDF passages of all documents, for each term of the vocabulary."""
     counts = {r.term: r.n for r in codes.mapInArrow(_frequencies(size), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row a term
     df = np.array([counts.get(t, 0) for t in range(size)], float)
     idf = inverse_frequencies(df, counts.get(size, 0), items)
@@ -180,7 +191,7 @@ def latent_basis(spark: SparkSession, codes: DataFrame, size: int, items: list[n
     for p in parts:
         x = np.frombuffer(p.z, np.float64).reshape(-1, width)
         z[p.block * 256 : p.block * 256 + len(x)] = x
-    return idf, singular_vectors(z[:size], random_matrix(size, width), RANK)
+    return df, idf, singular_vectors(z[:size], random_matrix(size, width), RANK)
 
 
 def lcs(masks: dict[int, int], words: list[int]) -> int:
@@ -195,9 +206,10 @@ def lcs(masks: dict[int, int], words: list[int]) -> int:
 class Items:
     """Benchmark items with their latent vectors, by the number of hops of the windows they are compared with."""
 
-    def __init__(self, rows: list[tuple[int, str]], vocabulary: Vocabulary, basis: np.ndarray, used: np.ndarray):
+    def __init__(self, rows: list[tuple[int, str]], vocabulary: Vocabulary, basis: np.ndarray, used: np.ndarray, df: np.ndarray):
         self.terms = TERMS
-        self.words, self.masks, self.answers, groups = [], [], [], {}
+        self.ids, self.words, self.masks, self.answers, groups = [], [], [], [], {}
+        hops, need, postings = [], [], []
         for item_id, text in rows:
             pieces = (text or "").split()
             codes = [int(c) for c in vocabulary.codes(pieces)] if pieces else []
@@ -207,17 +219,28 @@ class Items:
             if not codes:
                 continue
             v = basis[codes].sum(axis=0)
-            self.terms = min(self.terms, int(used[codes].sum()))
-            if not (norm := float(np.linalg.norm(v))):
-                continue
+            if norm := float(np.linalg.norm(v)):
+                self.terms = min(self.terms, int(used[codes].sum()))
+                groups.setdefault(-(-len(codes) // HOP) + 1, []).append((len(self.words), item_id, v / norm))
+            least = len(codes) if len(codes) < LEAST else next(k for k in range(1, len(codes) + 1) if k / len(codes) >= LCS_SHARE)
+            hits = min(HITS, least)
+            rarest, times = np.unique(sorted(codes, key=lambda c: (df[c], c))[: len(codes) - least + hits], return_counts=True)
+            postings += [(c, len(self.words), t) for c, t in zip(rarest.tolist(), times.tolist(), strict=True)]
+            hops.append(-(-len(codes) // HOP) + 1)
+            need.append(hits)
             masks: dict[int, int] = {}
             for i, c in enumerate(codes):
                 masks[c] = masks.get(c, 0) | 1 << i
-            groups.setdefault(-(-len(codes) // HOP) + 1, []).append((len(self.words), item_id, v / norm))
+            self.ids.append(item_id)
             self.words.append(codes)
             self.masks.append(masks)
             self.answers.append(answer or codes)
         self.groups = {h: ([n for n, _, _ in g], [i for _, i, _ in g], np.array([v for _, _, v in g], np.float32)) for h, g in groups.items()}
+        self.hops, self.need = np.array(hops, np.int64), np.array(need, np.int64)
+        table = np.array(sorted(postings), np.int64).reshape(-1, 3)
+        self.post_item, self.post_times = table[:, 1], table[:, 2]
+        self.posted = np.bincount(table[:, 0], minlength=vocabulary.size)
+        self.post_start = np.cumsum(self.posted) - self.posted
 
     def check(self, number: int, window: list[int]) -> tuple[float, float] | None:
         """(share of the item in the longest common subsequence, share of the answer's words) of a match."""
@@ -266,6 +289,47 @@ def candidates(offsets: np.ndarray, codes: np.ndarray, items: Items, basis: np.n
                 yield int(d), numbers[i], ids[i], int(start), int(min(start + width * HOP, offsets[d + 1])), float(near[h, i])
 
 
+def exact_candidates(offsets: np.ndarray, codes: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item number, first word, end) of every window that holds enough of an item's rarest places to pass the checks."""
+    if not len(items.hops):
+        return
+    hop, first = _spans(offsets, HOP)
+    known = np.flatnonzero(codes >= 0)
+    known = known[items.posted[codes[known]] > 0]
+    if not len(known):
+        return
+    # a hop's words count once each
+    size = len(items.posted)
+    at, word = np.divmod(np.unique(hop[known] * size + codes[known]), size)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    widest, n_items = int(items.hops.max()), len(items.hops)
+    opened = np.concatenate(([0], np.cumsum(np.bincount(at, items.posted[word], minlength=first[-1]))))
+    begin = 0
+    while begin < first[-1]:  # windows that start in [begin, stop)
+        stop = max(begin + widest, int(np.searchsorted(opened, opened[begin] + PAIRS, "right")) - 1)
+        stop = min(stop, int(first[-1]))
+        a, b = np.searchsorted(at, (begin, stop + widest - 1))
+        times = items.posted[word[a:b]]
+        entry = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(items.post_start[word[a:b]], times)
+        place, item = np.repeat(at[a:b], times), items.post_item[entry]
+        keys = []
+        for j in range(widest):
+            start = place - j
+            good = np.flatnonzero((j < items.hops[item]) & (start >= np.maximum(first[doc[place]], begin)) & (start < stop))
+            keys.append(((start[good] * n_items + item[good]) * len(items.post_item) + entry[good]))
+        keys = np.unique(np.concatenate(keys))  # a window's words count once each
+        if len(keys):
+            pair, entry = np.divmod(keys, len(items.post_item))
+            heads = np.flatnonzero(np.diff(pair, prepend=-1))
+            start, item = np.divmod(pair[heads], n_items)
+            enough = np.add.reduceat(items.post_times[entry], heads) >= items.need[item]
+            for h, i in zip(start[enough].tolist(), item[enough].tolist(), strict=True):
+                d = int(doc[h])
+                word_at = int(offsets[d] + (h - first[d]) * HOP)
+                yield d, i, word_at, int(min(word_at + items.hops[i] * HOP, offsets[d + 1]))
+        begin = stop
+
+
 MATCH_SCHEMA = "doc_id long, text_hash long, item_id long, lcs_share double, answer_share double, cosine double"
 
 
@@ -274,10 +338,15 @@ def _scan(shared, size: int):
         items, basis, used = shared.value
         for doc_ids, offsets, codes in _coded(batches, size):
             best: dict[tuple[int, int], tuple] = {}
+            checked: dict[tuple[int, int], tuple | None] = {}
             for d, number, item_id, start, end, cosine in candidates(offsets, codes, items, basis, used):
-                found = items.check(number, codes[start:end].tolist())
+                found = checked[number, start] = items.check(number, codes[start:end].tolist())
                 if found and found > best.get((d, number), ((0.0, 0.0),))[0]:
                     best[d, number] = found, item_id, cosine
+            for d, number, start, end in exact_candidates(offsets, codes, items):
+                found = None if (number, start) in checked else items.check(number, codes[start:end].tolist())
+                if found and found > best.get((d, number), ((0.0, 0.0),))[0]:
+                    best[d, number] = found, items.ids[number], None
             ids = doc_ids.to_pylist()
             rows = [(ids[d]["doc_id"], ids[d]["text_hash"], item_id, *found, cosine) for (d, _), (found, item_id, cosine) in sorted(best.items())]
             columns = list(zip(*rows, strict=True)) or [()] * 6
@@ -300,11 +369,11 @@ def benchmark_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
         blocks = -(-items.count() // ITEMS)
         parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text") for b in range(blocks)]
         known = [np.unique(x[x >= 0]) for p in parts for x in (vocabulary.codes(r.text.split()) for r in p.collect() if r.text.split())]
-        idf, vectors = latent_basis(spark, codes, vocabulary.size, [x for x in known if len(x)])
+        df, idf, vectors = latent_basis(spark, codes, vocabulary.size, [x for x in known if len(x)])
         basis, used = vectors * idf[:, None], idf > 0
         found = None
         for p in parts:
-            block = Items([(r.item_id, r.text) for r in p.collect()], vocabulary, basis, used)
+            block = Items([(r.item_id, r.text) for r in p.collect()], vocabulary, basis, used, df)
             shared = spark.sparkContext.broadcast((block, basis, used))
             part = codes.mapInArrow(tidy(_scan(shared, vocabulary.size)), MATCH_SCHEMA)
             found = part if found is None else found.unionByName(part)
