@@ -253,6 +253,23 @@ def test_decontamination_finds_every_verbatim_item(spark):
     assert all(got[p] == (1.0, 1.0) for p in pairs)
 
 
+def test_short_items_do_not_change_the_weights_of_others(spark):
+    rows, items, pairs = planted(60, [16, 25, 40], 5, tail=0.8)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    short = [(200 + i, text) for i, text in enumerate(["w0 w1 w2", "w1", "w3 w0", "w2 w2 w1 w0"])]
+    cosines = []
+    for bench in (items, items + short):
+        found = decontaminate.benchmark_matches(spark, frame, spark.createDataFrame(bench, "item_id long, text string")).collect()
+        cosines.append({(r.doc_id, r.item_id): r.cosine for r in found if r.item_id < 200})
+        assert pairs <= set(cosines[-1])
+    plain, mixed = cosines
+    assert plain == {p: c if c is None else pytest.approx(c, abs=1e-3) for p, c in mixed.items()}
+    assert sum(c is not None for c in plain.values()) > 0.5 * len(plain)
+    texts = {d: f" {text} " for d, text in rows}
+    for i, text in short:
+        assert {r.doc_id for r in found if r.item_id == i} == {d for d, t in texts.items() if f" {text} " in t}
+
+
 def test_exact_candidates_hold_every_window_that_passes(monkeypatch):
     monkeypatch.setattr(decontaminate, "PAIRS", 50)
     rng = np.random.default_rng(0)

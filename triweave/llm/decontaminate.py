@@ -7,7 +7,8 @@
    give idf weights; one more pass adds up the sketch Z = A'(A R) of the TF-IDF passage matrix A with a
    random R, a matrix of vocabulary by sketch width, and Z gives the leading right singular vectors.
 3. Every window of a document, a step of HOP words apart and long enough to hold an item whole wherever it
-   starts, is compared with the items of that length by cosine in the latent space.
+   starts, is compared with the items of that length by cosine in the latent space.  Items with fewer than
+   TERMS terms that weigh anything have no part in this.
 4. The cosine loses items among other benchmark words, so windows are also retrieved exactly: a match keeps
    all but m of an item's places, so of its m + r rarest places at least r have their word in the window.
    Every window that passes the checks below does so, verbatim items of any length among them.
@@ -171,19 +172,18 @@ def singular_vectors(z: np.ndarray, r: np.ndarray, rank: int) -> np.ndarray:
     return v[:, : min(rank, int((s > s[0] * 1e-6).sum()))].astype(np.float32)
 
 
-def inverse_frequencies(df: np.ndarray, passages: int, items: list[np.ndarray]) -> np.ndarray:
-    """Squared log(passages / df).  Terms in more than COMMON of the passages weigh nothing, unless that
-    would leave an item with fewer than TERMS terms; then they weigh the little that the formula gives."""
+def inverse_frequencies(df: np.ndarray, passages: int) -> np.ndarray:
+    """Squared log(passages / df).  Terms in more than COMMON of the passages weigh nothing, whatever the
+    items: one with fewer than TERMS other terms is left to the exact retrieval and changes no other's."""
     idf = (np.log1p(passages / np.maximum(df, 1)) ** 2).astype(np.float32)
-    rare = np.where(df > COMMON * passages, 0, idf).astype(np.float32)
-    return rare if all((rare[x] > 0).sum() >= min(TERMS, len(x)) for x in items) else idf
+    return np.where(df > COMMON * passages, 0, idf).astype(np.float32)
 
 
-def latent_basis(spark: SparkSession, codes: DataFrame, size: int, items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def latent_basis(spark: SparkSession, codes: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(passages, idf, singular vectors) of the TF-IDF passages of all documents, for each term of the vocabulary."""
     counts = {r.term: r.n for r in codes.mapInArrow(_frequencies(size), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row a term
     df = np.array([counts.get(t, 0) for t in range(size)], float)
-    idf = inverse_frequencies(df, counts.get(size, 0), items)
+    idf = inverse_frequencies(df, counts.get(size, 0))
     width = RANK + EXTRA
     shared = spark.sparkContext.broadcast(idf)
     parts = codes.mapInArrow(tidy(_sketch(shared, size, width)), "block long, z binary").groupBy("block").applyInArrow(_add, "block long, z binary").collect()
@@ -207,7 +207,6 @@ class Items:
     """Benchmark items with their latent vectors, by the number of hops of the windows they are compared with."""
 
     def __init__(self, rows: list[tuple[int, str]], vocabulary: Vocabulary, basis: np.ndarray, used: np.ndarray, df: np.ndarray):
-        self.terms = TERMS
         self.ids, self.words, self.masks, self.answers, groups = [], [], [], [], {}
         hops, need, postings = [], [], []
         for item_id, text in rows:
@@ -218,9 +217,8 @@ class Items:
             codes, answer = [c for c in codes if c >= 0], [c for c in answer if c >= 0]
             if not codes:
                 continue
-            v = basis[codes].sum(axis=0)
-            if norm := float(np.linalg.norm(v)):
-                self.terms = min(self.terms, int(used[codes].sum()))
+            v, terms = basis[codes].sum(axis=0), len({c for c in codes if used[c]})
+            if terms >= TERMS and (norm := float(np.linalg.norm(v))):
                 groups.setdefault(-(-len(codes) // HOP) + 1, []).append((len(self.words), item_id, v / norm))
             least = len(codes) if len(codes) < LEAST else next(k for k in range(1, len(codes) + 1) if k / len(codes) >= LCS_SHARE)
             hits = min(HITS, least)
@@ -274,7 +272,7 @@ def candidates(offsets: np.ndarray, codes: np.ndarray, items: Items, basis: np.n
     here = np.arange(first[-1])
     for width, (numbers, ids, vectors) in items.groups.items():
         held = sum(np.where(here + j < end, terms[np.minimum(here + j, len(here) - 1)], 0) for j in range(width))
-        some = np.flatnonzero(held >= items.terms)
+        some = np.flatnonzero(held >= TERMS)
         for at in range(0, len(some), 4096):
             w = some[at : at + 4096]
             total = hops[w]
@@ -368,8 +366,7 @@ def benchmark_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
         codes = s.table(keyed.mapInArrow(tidy(_code(vocabulary)), "doc_id struct<doc_id:long,text_hash:long>, codes binary"))
         blocks = -(-items.count() // ITEMS)
         parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text") for b in range(blocks)]
-        known = [np.unique(x[x >= 0]) for p in parts for x in (vocabulary.codes(r.text.split()) for r in p.collect() if r.text.split())]
-        df, idf, vectors = latent_basis(spark, codes, vocabulary.size, [x for x in known if len(x)])
+        df, idf, vectors = latent_basis(spark, codes, vocabulary.size)
         basis, used = vectors * idf[:, None], idf > 0
         found = None
         for p in parts:
