@@ -429,6 +429,42 @@ def test_chat_links_orders_and_validates(spark):
     assert chat.chat_digest(frame.limit(0)).count() == 0
 
 
+def test_chat_follows_references(spark):
+    call = lambda i, *refs: f"<tool_call>{json.dumps({'id': i, 'name': 'fetch', 'arguments': {'url': 'u', 'headers': {str(k): {'$ref': r} for k, r in enumerate(refs)}}})}</tool_call>"
+    result = lambda i: f'<tool_result id="{i}">{i}</tool_result>'
+    needs = {"a": ["b"], "b": ["c", "d"], "c": [], "d": ["e"], "e": ["none"], "p": ["q", "a"], "q": ["p"], "r": ["q", "s"], "s": ["t"], "t": ["s"], "u": ["u"], "v": ["w"], "w": [], "x": ["t", "z"], "z": []}
+    text = "".join(call(i, *refs) for i, refs in needs.items())
+    results = "".join(result(i) for i in needs if i != "w")
+    turns = [
+        (k, turn, "assistant", t)
+        for k in (1, None)
+        for turn, t in [(1, result("d") + text), (2, results), (3, call("a", "late")), (4, call("late")), (6, result("late"))]
+    ]
+    turns += [(2, 20 - i, "assistant", call(f"k{i}", *([f"k{i - 1}"] if i else []))) for i in range(12)] + [(2, 30, "tool", "".join(result(f"k{i}") for i in range(12)))]
+    turns += [(3, 1, "assistant", call("m") + call("n", "m")), (3, 2, "tool", result("m") + result("n"))]
+    rows = chat.chat_digest(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    for conv in (1, 2, 3, None):
+        order, status, first = sorted((r for r in rows if r.conv_id == conv), key=lambda r: (r.level, r.step, r.turn, r.part)), {}, {}
+        assert len({(r.level, r.step, r.turn, r.part) for r in order}) == len(order)
+        for at, r in enumerate(order):
+            m = json.loads(r.json)
+            key = (r.kind, m["tool_call"]["id"] if r.kind == "call" else m["tool_call_id"])
+            if r.status != "duplicate":
+                first[key], status[key] = at, r.status
+            if r.status == "duplicate" and key == ("call", "a"):
+                again = at
+        assert all(first["call", i] < at for (kind, i), at in first.items() if kind == "result")
+        if conv in (1, None):
+            assert {i for i in needs if status["call", i] == "unresolved"} == {"e", "p", "q", "s", "t", "u", "v"}
+            rings = [{"p", "q"}, {"s", "t"}, {"u"}]
+            assert all(first["call", i] > first["result", j] for i, refs in needs.items() for j in refs if ("result", j) in first and not any({i, j} <= x for x in rings))
+            assert again > first["result", "late"]
+        elif conv == 2:
+            assert all(first["call", f"k{i}"] > first["result", f"k{i - 1}"] for i in range(1, 12)) and set(status.values()) == {"ok"}
+        else:
+            assert first["call", "n"] > first["result", "m"] and set(status.values()) == {"ok"}
+
+
 def test_schema_errors():
     s = {"type": "object", "properties": {"a": {"type": "array", "items": {"type": "number", "maximum": 3}}, "b": {"enum": [1, "x"]}}, "additionalProperties": False}
     assert chat.schema_error({"a": [1, 2.5], "b": "x"}, s) is None and chat.schema_error({"a": {"$ref": "k"}}, s) is None

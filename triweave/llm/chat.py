@@ -7,9 +7,13 @@ identifier; a result stands after its call and a call after the results that its
 ``{"$ref": id}``.  Arguments are validated against the tools' schemas, and each message is serialised as
 canonical JSON: keys in code-point order, no spaces, UTF-8, whole numbers without a fraction.
 
-Order: a message's depth is its turn; a result before its call's turn moves behind it.  A call whose
-references form a cycle or name no earlier call is marked ``unresolved``.  Messages are rows (conv_id,
-turn, part, kind, depth, sub, json), so no conversation is collected in a task, however long it is.
+Order: messages stand in order of conv_id, level, step, turn, part.  A message's level is its turn and its
+step 0, unless something that it needs comes later: then it has the level of what it needs and a step more,
+the latest of all that it needs.  Levels follow from joins on (conv_id, id), repeated while calls move.  A
+call on a cycle of references, or with one that names no call with a result, is marked ``unresolved``; it
+still follows what it needs outside the cycle.  ``depth`` and ``sub`` tell turns only: a result before its
+call's turn has that turn and sub 1.  Messages are rows (conv_id, turn, part, kind, depth, sub, level,
+step, status, json), so no conversation is collected in a task, however long it is.
 
 Defined results: null texts are empty messages; null roles become ``unknown``; null conv_ids and turns are
 kept, and their calls are linked within the null conversation; equal rows are one message; of calls with
@@ -161,13 +165,81 @@ def _serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == "call":
                 message["answered"] = result
             out.append(canonical(message))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "part", "kind", "depth", "sub", "status")), pa.array(out, pa.string())], names=["conv_id", "turn", "part", "kind", "depth", "sub", "status", "json"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "part", "kind", "depth", "sub", "level", "step", "status")), pa.array(out, pa.string())], names=["conv_id", "turn", "part", "kind", "depth", "sub", "level", "step", "status", "json"])
+
+
+def _behind(last, own):
+    """(level, step, t, part): the place of what stands at ``own`` by itself and needs what is at ``last``."""
+    return F.when(last >= own, F.struct(last["level"].alias("level"), (last["step"] + 1).alias("step"), own["t"].alias("t"), own["part"].alias("part"))).otherwise(own)
+
+
+def _place(at):
+    return F.struct(at["t"].alias("level"), F.lit(0).alias("step"), at["t"].alias("t"), at["part"].alias("part"))
+
+
+def _farthest(links: DataFrame, s: Scratch) -> DataFrame:
+    """(conv, id, far): the greatest id from which (conv, a, b) links lead to each id, or its own."""
+    far = s.table(links.select("conv", F.col("a").alias("id")).union(links.select("conv", "b")).distinct().withColumn("far", F.col("id")))
+    fresh = far
+    while not fresh.isEmpty():
+        sent = links.join(fresh.withColumnRenamed("id", "a"), ["conv", "a"]).groupBy("conv", F.col("b").alias("id")).agg(F.max("far").alias("new"))
+        now = s.table(far.join(sent, ["conv", "id"], "left").select("conv", "id", F.greatest("far", "new").alias("far"), (F.col("new") > F.col("far")).alias("moved")))
+        far, fresh = now.drop("moved"), now.where("moved").drop("moved")
+    return far
+
+
+def _cycles(links: DataFrame, s: Scratch) -> DataFrame:
+    """The (conv, a, b) links within cycles: at the end, both ends of each are led to by, and lead to, the same greatest ids."""
+    count = links.count()
+    while count:
+        for way in (("a", "b"), ("b", "a")):
+            far = _farthest(links.select("conv", F.col(way[0]).alias("a"), F.col(way[1]).alias("b")), s)
+            x, y = (far.select("conv", F.col("id").alias(c), F.col("far").alias(f"far_{c}")) for c in ("a", "b"))
+            links = s.table(links.join(x, ["conv", "a"]).join(y, ["conv", "b"]).where("far_a = far_b").select("conv", "a", "b"))
+        before, count = count, links.count()
+        if count == before:
+            break
+    return links
+
+
+def call_places(named: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(conv, id, at, place) of the calls that move, and (conv, id) of those on cycles, from (conv, id, at,
+    first, ref, call_at, result_at) of references that name a call with a result; ``first`` tells the call
+    that counts of an identifier.  ``conv`` is not null."""
+    nowhere = named.where("false").select("conv", "id")
+    if named.isEmpty():
+        return named.where("false").select("conv", "id", "at", _place(F.col("at")).alias("place")), nowhere
+    back = named.where("first AND call_at >= at").select("conv").distinct()  # a cycle has a link back
+    links = s.table(named.where("first").join(back, "conv", "left_semi").select("conv", F.col("ref").alias("a"), F.col("id").alias("b")).distinct())
+    ring = _cycles(links, s)
+    bad = s.table(ring.select("conv", F.col("b").alias("id")).distinct())
+    cut = ring.select("conv", F.col("a").alias("ref"), F.col("b").alias("id"), F.lit(True).alias("first"))
+    free = s.table(named.join(cut, ["conv", "ref", "id", "first"], "left_anti"))
+    # what moves is joined with the calls that name it, until nothing moves
+    calls = free.select("conv", "ref", "id", "at", "first", "result_at", _place(F.col("call_at")).alias("from"))
+    places = None
+    while True:
+        last = _behind(F.col("from"), _place(F.col("result_at")))
+        new = calls.groupBy("conv", "id", "at", "first").agg(F.max(last).alias("last"))
+        own = _place(F.col("at"))
+        new = new.where(F.col("last") >= own).select("conv", "id", "at", "first", _behind(F.col("last"), own).alias("place"))
+        if places is None:
+            places = fresh = s.table(new)
+        else:
+            both = places.withColumnRenamed("place", "old").join(new, ["conv", "id", "at", "first"], "full")
+            now = s.table(both.select("conv", "id", "at", "first", F.greatest("old", "place").alias("place"), (F.col("old").isNull() | (F.col("place") > F.col("old"))).alias("moved")))
+            places, fresh = now.drop("moved"), now.where("moved").drop("moved")
+        if fresh.isEmpty():
+            return places.select("conv", "id", "at", "place"), bad
+        sent = fresh.where("first").select("conv", F.col("id").alias("ref"), F.col("place").alias("from"))
+        calls = free.join(sent, ["conv", "ref"]).select("conv", "ref", "id", "at", "first", "result_at", "from")
 
 
 def chat_messages(turns: DataFrame, scratch: Scratch, schemas: dict | None = None) -> DataFrame:
-    """(conv_id, turn, part, kind, depth, sub, status, json) of every message; in order of conv_id, depth, sub, turn, part.
+    """(conv_id, turn, part, kind, depth, sub, level, step, status, json) of every message; in order of
+    conv_id, level, step, turn, part.
 
-    Within a turn ``sub`` is 0 for what stays in place; results that moved behind their call have 1.
+    ``sub`` is 0 for what stays in its turn; results that moved to their call's turn have 1.
     """
     schemas = SCHEMAS if schemas is None else schemas
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").distinct()
@@ -182,25 +254,34 @@ def chat_messages(turns: DataFrame, scratch: Scratch, schemas: dict | None = Non
     heads = scratch.table(heads)
     same = lambda a, b: F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id"))
     joined = linked.alias("p").join(heads.alias("h"), same("p", "h") & (F.col("p.id") == F.col("h.id"))).select("p.*", "h.call_at", "h.result_at")
-    # references: the named call comes earlier and has a result
-    named = joined.where("kind = 'call'").select("conv_id", "turn", "part", "body", "at", F.explode("refs").alias("ref"))
+    # references that name a call with a result order the calls; others and cycles are unresolved
+    named = joined.where("kind = 'call'").select("conv_id", "id", "at", "call_at", F.explode("refs").alias("ref"))
     targets = heads.select("conv_id", "id", "call_at", "result_at")
     met = named.alias("n").join(targets.alias("t"), same("n", "t") & (F.col("n.ref") == F.col("t.id")), "left")
-    bad = met.where(F.col("t.call_at").isNull() | F.col("t.result_at").isNull() | (F.col("t.call_at") >= F.col("n.at")))
-    bad = bad.select(F.col("n.conv_id").alias("conv_id"), F.col("n.at").alias("at")).distinct().withColumn("unresolved", F.lit(True))
-    told = joined.alias("j").join(bad.alias("b"), same("j", "b") & (F.col("j.at") == F.col("b.at")) & (F.col("j.kind") == "call"), "left").select("j.*", "b.unresolved")
+    conv = F.coalesce(F.col("n.conv_id").cast("string"), F.lit("")).alias("conv")
+    met = scratch.table(met.select(conv, "n.id", "n.at", (F.col("n.at") == F.col("n.call_at")).alias("first"), "ref", "t.call_at", "t.result_at").distinct())
+    missing = F.col("call_at").isNull() | F.col("result_at").isNull()
+    places, ring = call_places(met.where(~missing), scratch)
+    ring = met.where("first").join(ring, ["conv", "id"], "left_semi").select("conv", "id", "at")
+    bad = met.where(missing).select("conv", "id", "at").union(ring).distinct().withColumn("unresolved", F.lit(True))
+    moves = places.join(bad, ["conv", "id", "at"], "full")
+    # a call has its own place; a result stands behind that of its call
+    keyed = joined.withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).withColumn("of", F.when(F.col("kind") == "call", F.col("at")).otherwise(F.col("call_at")))
+    told = keyed.join(moves.withColumnRenamed("at", "of"), ["conv", "id", "of"], "left")
+    its = F.coalesce("place", _place(F.col("of")))
+    told = told.withColumn("place", F.when((F.col("kind") == "result") & F.col("call_at").isNotNull(), _behind(its, _place(F.col("at")))).when(F.col("kind") == "call", its).otherwise(_place(F.col("at"))))
     status = (
         F.when((F.col("kind") == "call") & (F.col("at") > F.col("call_at")), "duplicate")
         .when((F.col("kind") == "result") & F.col("call_at").isNull(), "no call")
         .when((F.col("kind") == "result") & (F.col("at") > F.col("result_at")), "duplicate")
         .when(F.col("error").isNotNull(), F.concat(F.lit("invalid: "), F.col("error")))
-        .when(F.col("unresolved"), "unresolved")
+        .when((F.col("kind") == "call") & F.col("unresolved"), "unresolved")
         .otherwise("ok")
     )
     moved = F.coalesce((F.col("kind") == "result") & (F.coalesce("turn", F.lit(-1)) < F.col("call_at.t")), F.lit(False))
-    tools = told.select("conv_id", "turn", "part", "kind", "id", "name", "body", status.alias("status"), F.when(moved, F.col("call_at.t")).otherwise(F.coalesce("turn", F.lit(-1))).alias("depth"), moved.cast("int").alias("sub"), F.col("result_at").isNotNull().alias("result"))
-    texts = parts.where("kind = 'text'").select("conv_id", "turn", "part", "kind", "id", "name", "body", F.coalesce("error", F.lit("ok")).alias("status"), F.coalesce("turn", F.lit(-1)).alias("depth"), F.lit(0).alias("sub"), F.lit(False).alias("result"))
-    schema = "conv_id long, turn long, part int, kind string, depth long, sub int, status string, json string"
+    tools = told.select("conv_id", "turn", "part", "kind", "id", "name", "body", status.alias("status"), F.when(moved, F.col("call_at.t")).otherwise(F.coalesce("turn", F.lit(-1))).alias("depth"), moved.cast("int").alias("sub"), F.col("place.level").alias("level"), F.col("place.step").alias("step"), F.col("result_at").isNotNull().alias("result"))
+    texts = parts.where("kind = 'text'").select("conv_id", "turn", "part", "kind", "id", "name", "body", F.coalesce("error", F.lit("ok")).alias("status"), F.coalesce("turn", F.lit(-1)).alias("depth"), F.lit(0).alias("sub"), F.coalesce("turn", F.lit(-1)).alias("level"), F.lit(0).alias("step"), F.lit(False).alias("result"))
+    schema = "conv_id long, turn long, part int, kind string, depth long, sub int, level long, step int, status string, json string"
     return texts.unionByName(tools).mapInArrow(_serialise, schema)
 
 
