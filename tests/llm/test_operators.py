@@ -477,6 +477,7 @@ def test_schema_errors():
 def test_feature_shapes():
     assert features.shape("THE!!") == "A!" and features.shape("it's") == "a'a" and features.shape("12.50") == "0.0"
     assert features.text_features(pa.array([None, "", "a"]))[0].size == 0
+    assert features.shape("a" * 30 + "1%" * 2) == "a0%0%" and features.shape("http://example.org/some/page?q=12#END") == "a:/a.a/a/a?a=0#A"
 
 
 # the pipeline

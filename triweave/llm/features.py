@@ -25,7 +25,7 @@ _FOLD = str.maketrans({**{chr(c): "0" for c in range(48, 58)}})
 
 def shape(word: str) -> str:
     """THE!! -> A!, word, -> a, and 12.5 -> 0.0, say."""
-    folded = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:24])
+    folded = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return _RUNS.sub(r"\1", folded)
 
 
