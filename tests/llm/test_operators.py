@@ -183,6 +183,13 @@ def test_ngram_join_on_odd_tables(spark, docs, nothing):
     assert ngram_join.one_of_each(spark, nothing).count() == 0
 
 
+def test_one_of_each_tells_texts_of_one_doc_id_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, a + " end"), (2, b), (2, b), (3, c), (3, a), (None, b), (None, b), (None, "of its own words here"), (None, "of its own words here"), (4, None), (None, None)]
+    kept = ngram_join.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, ""), (0, "of its own words here"), (1, a), (2, b), (3, c), (4, "")]
+
+
 # 4
 
 

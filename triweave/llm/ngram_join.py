@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triweave.functions.ranks import numbered
 from triweave.llm.words import mix, split_words, text_slices, tidy, word_hashes, worker_state
 from triweave.operators.graph import connected_components
 from triweave.plans.scratch import Scratch
@@ -393,12 +394,19 @@ def similar_groups(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The documents without those that a smaller doc_id's document stands for; of rows with one doc_id, one stays."""
-    groups = similar_groups(spark, docs, k, threshold)
-    gone = groups.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    """The documents without those that an earlier one stands for, in order of doc_id, null last, and the
+    text's hash; of rows with one doc_id and one text, one stays, and other texts of that doc_id are other documents."""
+    repeated = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
     if repeated.isEmpty():
-        return kept.select(docs.columns)
-    twice = kept.join(repeated, "doc_id", "left_semi")
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(twice.dropDuplicates(["doc_id"]).select(docs.columns))
+        gone = similar_groups(spark, docs, k, threshold).where("component_id < doc_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    with Scratch(spark, "one-of-each") as s:
+        # 128 bits, so other texts of a doc_id are not taken for one
+        keyed = docs.withColumn("_h", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_null", F.col("doc_id").isNull())
+        key = ["_null", "_id", "_h"]
+        nodes = s.table(numbered(keyed.select(key).distinct(), key, "_node", scratch=s))
+        rows = s.table(keyed.join(nodes, key))
+        single = rows.select(F.col("_node").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+        gone = similar_groups(spark, single, k, threshold).where("component_id < doc_id").select(F.col("doc_id").alias("_node"))
+        kept = rows.join(gone, "_node", "left_anti")
+        return s.keep(kept.dropDuplicates(["_node"]).select(docs.columns))
