@@ -347,6 +347,15 @@ def test_mixing(spark, docs, nothing):
     assert all(abs(t - k) < 0.03 * k for k, t in taken.items())
 
 
+def test_rows_without_ids_meet_their_target(spark):
+    many = spark.createDataFrame([(None, f"s{i % 3}", f"w{i} " * (1 + i % 9)) for i in range(8000)] + [(None, None, None)], "doc_id long, source string, text string")
+    target = {r.source: r.t for r in mixing.mix(many).groupBy("source").agg({"mix_target": "max"}).withColumnRenamed("max(mix_target)", "t").collect()}
+    taken = collections.Counter()
+    for r in mixing.mixed_documents(many).collect():
+        taken[r.source] += len(split(r.text))
+    assert all(abs(taken[s] - t) <= 0.03 * t for s, t in target.items())
+
+
 # 8
 
 

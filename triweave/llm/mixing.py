@@ -7,7 +7,8 @@ floor(rate) times, and once more when its hash, uniform in [0, 1), is below the
 
 Defined results: a null text has size 0; the null source is a source; documents without words are
 emitted like others of their source and add no words; sources without words have target 0; rows that
-share a doc_id take the same draw; extra columns stay; an empty table gives an empty result.  The table
+share a doc_id take the same draw; those without one take a draw by source and text in the mix itself, and
+one draw in the digest, as its SQL does; extra columns stay; an empty table gives an empty result.  The table
 of sources has one row for each source after partial aggregation; Spark joins it by broadcast only when
 its measured size allows.
 """
@@ -58,20 +59,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return fixed.select("source", "source_size", F.when(capped, (cap * F.col("source_size")).cast("double")).otherwise(F.col("by_weight") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, seed: int = 7) -> DataFrame:
-    """The columns of ``docs`` and mix_size, mix_source_size, mix_target, mix_copies."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, seed: int = 7, key: Column | None = None) -> DataFrame:
+    """The columns of ``docs`` and mix_size, mix_source_size, mix_target, mix_copies; rows of one ``key``, doc_id if none is given, take the same draw."""
     sized = docs.withColumn("mix_size", word_count(F.col("text")))
     targets = source_targets(sized.select("source", F.col("mix_size").alias("size")), weights, cap)
     targets = targets.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     rate = F.when(F.col("mix_source_size") > 0, F.least(F.col("mix_target") / F.col("mix_source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
-    extra = (uniform(seed, F.col("doc_id")) < rate - F.floor(rate)).cast("long")
+    extra = (uniform(seed, F.col("doc_id") if key is None else key) < rate - F.floor(rate)).cast("long")
     return joined.withColumn("mix_copies", F.floor(rate) + extra)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, seed: int = 7) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    taken = mix(docs, weights, cap, seed).where("mix_copies > 0")
+    parts = (F.coalesce(F.length(c), F.lit(-1)).cast("string") for c in ("source", "text"))
+    own = F.concat_ws(":", F.lit("null"), *parts, "source", "text")  # lengths first, so no two rows read the same
+    taken = mix(docs, weights, cap, seed, F.coalesce(F.col("doc_id").cast("string"), own)).where("mix_copies > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(docs.columns)
 
 
