@@ -1,6 +1,7 @@
 """The ten operators against brute force, round trips and held-out accuracy, and on odd tables."""
 
 import collections
+import itertools
 import json
 import random
 import re
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from triweave.llm import chat, decontaminate, features, line_dedup, mixing, ngram_join, quality, token_ids, topk_search, toxicity, url_filter, words
+from triweave.llm import chat, decontaminate, features, line_dedup, mixing, ngram_join, quality, shingles, token_ids, topk_search, toxicity, url_filter, words
 from triweave.plans.scratch import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -157,20 +158,40 @@ def test_ngram_join_equals_brute_force(spark, k, num):
     assert got == jaccard_groups(texts, k, num, 100)
 
 
-def test_ngram_join_of_a_large_group_by_list_units(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "GROUP", 4)
-    monkeypatch.setattr(ngram_join, "WIDE", 1)
+def test_ngram_join_across_small_groups_and_doubled_rows(spark, monkeypatch):
     rng = random.Random(1)
     base = [f"w{i}" for i in range(80)]
     texts = {}
-    for i in range(60):
+    for i in range(70):
         text = list(base)
-        for _ in range(rng.randrange(4)):
+        for _ in range(rng.randrange(7)):
             text[rng.randrange(80)] = f"x{rng.randrange(1000)}"
         texts[i] = " ".join(text)
-    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(spark, frame, 3, (90, 100)).collect()}
-    assert got == jaccard_groups(texts, 3, 90, 100)
+    want = jaccard_groups(texts, 3, 90, 100)
+    assert len({c for _, c in want.values()}) > 5
+    for docs, queries in ((4, 3), (16, 4096)):
+        monkeypatch.setattr(ngram_join, "DOCS", docs)
+        monkeypatch.setattr(ngram_join, "QUERIES", queries)
+        monkeypatch.setattr(ngram_join, "HOT", 2)
+        frame = spark.createDataFrame([*texts.items(), *texts.items()], "doc_id long, text string").repartition(6)
+        got = ngram_join.similar_groups(spark, frame, 3, (90, 100)).collect()
+        assert len(got) == 2 * len(want) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_near_pairs_keep_every_link():
+    rng = np.random.default_rng(3)
+    for num in (50, 80, 90):
+        sets, pool = [], rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+        for n in (1, 5, 30, 31, 33, 200, 900):
+            base = rng.choice(pool, n, replace=False)
+            sets += [np.unique(np.where(rng.random(n) < p, rng.choice(pool, n), base)) for p in (0, 0.02, 0.05, 0.1, 0.2, 0.4)]
+        comp, member = np.arange(len(sets)), rng.random(len(sets)) < 0.5
+        pairs = {frozenset(p) for p in zip(*(x.tolist() for x in shingles.near_pairs([len(x) for x in sets], [shingles.bitmap(x) for x in sets], member, comp, True, num, 100)), strict=True)}
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            assert shingles.shared(sets[i], sets[j]) == both
+            if 100 * both >= num * (len(sets[i]) + len(sets[j]) - both) and (member[i] or member[j]):
+                assert frozenset((i, j)) in pairs
 
 
 def test_ngram_join_on_odd_tables(spark, docs, nothing):

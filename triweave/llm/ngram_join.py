@@ -8,19 +8,19 @@ Sets of hashed word shingles are joined exactly at a Jaccard threshold t, in cla
    same shingles: a block with its shingles is a joint token.  Blocks of few shingles are left out by a
    set that has at most ``spare`` of them, as another block must then agree too.  Sets of one size class
    share a cut, as do those near the border of two classes, which no link skips.
-3. Groups: documents that share a joint token with a smaller document are dealt to the smallest such
-   pivot, in groups of bounded size.  A group holds the union of its members' shingles; a query whose
-   overlap with the union is below t times its size can't be linked to any member, and the group
-   is not opened; in an opened one exact intersections are counted.  Links give first components.
-   In ROUNDS more turns, tokens that several components hold get another pivot each, for the documents
-   outside its component.
-4. The rest: only joint tokens that several components hold can still carry a link between two of them.
-   Their documents are dealt into groups once, a large component's on their own, others by their
-   smallest partner; groups that share a token are matched once, unless within one large component,
-   with the same bound; tokens of very many groups are dealt on their own.  Final components follow.
-
-So no list of documents is expanded into pairs within a component, no group grows with its class, and no
-link between different components is lost.  Shingles are compared by 64-bit hashes.
+3. Groups: a document's head is the least document within two steps over joint tokens, and documents of
+   one head are a group, cut into groups of at most about DOCS documents and SHINGLES shingles.  Each text
+   is moved to its group once; the heads come along as queries to groups that they are not in.
+4. A group holds the union of its members' shingles: a query whose overlap with the union is below t times
+   its size can't be linked to a member and is not compared.  Of the others, parity bitmaps bound how many
+   shingles two sets differ in from below, and pairs that may still be linked are intersected exactly.
+5. Joint tokens that several components and several groups hold make queries to other groups.  Bitmaps
+   alone, of a few bits a shingle, go to those groups first, and only texts of pairs that they allow are
+   moved: once for a spanning forest of the likeliest links, then for all that are left.
+
+So no list of documents is expanded into pairs, no task's group grows with its class, texts move a bounded
+number of times but for near misses, and no link between different components is lost.  Shingles are
+compared by 64-bit hashes.
 
 Defined results: texts that are null or hold no word have an empty set and are linked with nothing;
 fewer than ``k`` words are one shingle; rows with one doc_id are one node, null doc_ids are linked with
@@ -30,383 +30,159 @@ nothing (component null); extra columns are ignored; an empty table gives an emp
 from __future__ import annotations
 
 import functools
-import math
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triweave.functions.ranks import numbered
-from triweave.llm.words import mix, split_words, text_slices, tidy, word_hashes, worker_state
+from triweave.llm.shingles import NOMINATED_SCHEMA, OPENED_SCHEMA, SIGNATURE_SCHEMA, nominate, open_groups, sign
+from triweave.llm.words import tidy
 from triweave.operators.graph import connected_components
 from triweave.plans.scratch import Scratch
 
-SPARE, SPARE_SHARE, GROUP, WIDE, ROUNDS, PASSES, CLASS_RATIO = 2, 0.15, 128, 32, 1, 3, 1.5
-BUCKETS, PART_ROWS = 1 << 20, 150_000
-SIGNATURE_SCHEMA = "doc_id long, n long, set_key binary, sigs array<long>"
-
-
-def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    offsets, codes, vocabulary = split_words(texts)
-    h = word_hashes(vocabulary)[codes]
-    sizes = np.diff(offsets)
-    long = h[: max(len(h) - k + 1, 0)]
-    for j in range(1, k):
-        long = mix(long) + h[j : j + len(long)]
-    long = mix(long)
-    out = []
-    for start, n in zip(offsets[:-1].tolist(), sizes.tolist(), strict=True):
-        if n >= k:
-            x = np.sort(long[start : start + n - k + 1])
-            out.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
-        elif n:
-            x = np.uint64(n)
-            for y in h[start : start + n]:
-                x = mix(np.array([x], np.uint64))[0] ^ y
-            out.append(mix(np.array([x], np.uint64)))
-        else:
-            out.append(h[:0])
-    return out
-
-
-class Cuts:
-    """Size classes of a threshold num/den and the block borders of a set's signatures."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.tops = [4]
-        while self.tops[-1] < 1 << 40:
-            self.tops.append(max(self.tops[-1] + 1, int(self.tops[-1] * max(CLASS_RATIO, den / num * 1.05))))
-        self.tops_array = np.array(self.tops)
-
-    def differ(self, a: int, b: int) -> int:
-        """The most shingles in which linked sets of at most these sizes differ."""
-        return (a + b) * (self.den - self.num) // (self.den + self.num)
-
-    @functools.lru_cache(maxsize=1024)  # noqa: B019
-    def borders(self, blocks: int) -> np.ndarray:
-        return np.array([-(-(i << 64) // blocks) for i in range(1, blocks)], np.uint64)
-
-    @functools.lru_cache(maxsize=4096)  # noqa: B019
-    def cut(self, differ: int, top: int) -> tuple[int, int, int]:
-        """(blocks, spare, weak): ``differ`` + 1 + ``spare`` blocks for sets of up to ``top`` shingles; blocks of at
-        most ``weak`` shingles, as a Poisson law has them, are fewer than the spare ones in most sets."""
-        spare = max(SPARE, int((differ + 1) * SPARE_SHARE))
-        blocks = differ + 1 + spare
-        mean, weak = 0.8 * top / blocks, 0
-        term = total = math.exp(-mean)
-        while total + term * mean / (weak + 1) <= 0.7 * spare / blocks:
-            term *= mean / (weak + 1)
-            total += term
-            weak += 1
-        return blocks, spare, weak
-
-    def instances(self, n: int) -> list[tuple[int, tuple[int, int, int]]]:
-        """(number, cut) of the cuts in which a set of this size takes part."""
-        i = int(np.searchsorted(self.tops_array, n))
-        top, out = self.tops[i], []
-        if h := self.differ(top, top):
-            out.append((2 * i, self.cut(h, top)))
-        if n * self.den >= self.num * (top + 1):  # may be linked with a set of the next class
-            out.append((2 * i + 1, self.cut(self.differ(top, top * self.den // self.num), top)))
-        if i and n * self.num <= self.den * self.tops[i - 1]:
-            below = self.tops[i - 1]
-            out.append((2 * i - 1, self.cut(self.differ(below, below * self.den // self.num), below)))
-        return out
-
-    def signatures(self, x: np.ndarray) -> np.ndarray:
-        """One hash for each block of more than ``weak`` shingles; for weak ones only where there are more than ``spare``."""
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(x ^ np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)))
-        out = []
-        for number, (blocks, spare, weak) in self.instances(len(x)):
-            ends = np.concatenate(([0], np.searchsorted(x, self.borders(blocks)), [len(x)]))
-            strong = ends[1:] - ends[:-1] > weak
-            sig = mix((sums[ends[1:]] - sums[ends[:-1]]) ^ mix((np.uint64(number << 40) + np.arange(1, blocks + 1, dtype=np.uint64))))
-            out.append(sig if blocks - strong.sum() > spare else sig[strong])
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def _sign(k: int, num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, seen = worker_state(("cuts", num, den), lambda: Cuts(num, den)), set()
-        for batch in batches:
-            for part in text_slices(batch):
-                keys, sizes, sigs = [], [], []
-                for doc_id, x in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), k), strict=True):
-                    key = xxhash.xxh3_128_digest(x.tobytes())
-                    fresh = len(x) and doc_id is not None and key not in seen
-                    if fresh and len(seen) < 200_000:  # beyond, sets may be signed again
-                        seen.add(key)
-                    keys.append(key)
-                    sizes.append(len(x))
-                    sigs.append(cuts.signatures(x).view(np.int64) if fresh else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array(sizes, pa.int64()),
-                        pa.array(keys, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sigs]))), pa.int32()), pa.array(np.concatenate(sigs))),
-                    ],
-                    names=["doc_id", "n", "set_key", "sigs"],
-                )
-
-    return run
-
-
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """The matrix of intersection sizes; shingles of one set only, and columns beyond a bound at a time, need no room."""
-    n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(times > 1)
-    rank = np.full(len(values), -1)
-    rank[shared] = np.arange(len(shared))
-    column = rank[column]
-    owner, column = owner[column >= 0], column[column >= 0]
-    out = np.zeros((n, n), np.int64)
-    step = max(1, (1 << 22) // n)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    for at in range(0, len(shared), step):
-        lo, hi = np.searchsorted(column, (at, at + step))
-        m = np.zeros((n, min(step, len(shared) - at)), np.float32)
-        m[owner[lo:hi], column[lo:hi] - at] = 1
-        out += np.rint(m @ m.T).astype(np.int64)
-    return out
-
-
-def group_links(ids: list[int], sides: list[int], sets: list[np.ndarray], comps: list[int], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between queries (side 0) and a group's members (side 1).
-
-    With members only, each is a query of its own group.  Nodes of one component need no link.
-    """
-    members = [i for i, s in enumerate(sides) if s == 1]
-    queries = [i for i, s in enumerate(sides) if s == 0] or members
-    union = np.unique(np.concatenate([sets[i] for i in members])) if members else np.zeros(0, np.uint64)
-    opened = []
-    for q in queries:
-        x = sets[q]
-        at = np.minimum(np.searchsorted(union, x), max(len(union) - 1, 0))
-        if len(union) and den * int((union[at] == x).sum()) >= num * len(x):
-            opened.append(q)
-    if not opened:
-        return []
-    use = sorted({*opened, *members})
-    sizes = np.array([len(sets[i]) for i in use])
-    both = intersections([sets[i] for i in use])
-    linked = den * both >= num * (sizes[:, None] + sizes[None, :] - both)
-    root: dict[int, int] = {}
+#: Bounds of a group; queries that a group's copy answers; ranges of joint tokens handled one after the other.
+DOCS, SHINGLES, QUERIES, PASSES = 1024, 1 << 20, 4096, 4
+#: Numbers of the filters that spare most rows a shuffle; a set that so large a share of all rows have is joined by broadcast.
+BUCKETS, HOT = 1 << 20, 4096
 
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
 
-    out = []
-    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-        a, b = use[i], use[j]
-        ra, rb = find(comps[a]), find(comps[b])
-        if ra != rb and ids[a] != ids[b]:
-            root[max(ra, rb)] = min(ra, rb)
-            out.append((ids[a], ids[b]))
-    return out
+def _some(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is in ``keys``; most others fail a filter of at most BUCKETS numbers before they are moved."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_bucket")
+    near = rows.join(F.broadcast(keys.select(bucket).distinct()), bucket == F.col("_bucket"), "left_semi")
+    return near.join(keys, key)
 
 
-def _open(k: int, num: int, den: int):
-    """Links within runs of rows (unit, side, doc_id, comp, text) of one unit."""
+def _copies(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): documents with the least one of equal set, where that is another."""
+    rows = signed.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("a"), "set_key")
+    keys = scratch.table(rows.groupBy("set_key").agg(F.min("a").alias("b"), F.max("a").alias("last"), F.count("*").alias("c")).where("b < last"))
+    hot = F.col("c") * HOT >= signed.count()  # at most HOT sets
+    marked = rows.join(F.broadcast(keys.where(hot).select("set_key", "b")), "set_key", "left")
+    others = marked.where("b IS NULL").drop("b").join(keys.where(~hot).select("set_key", "b"), "set_key")
+    return marked.where("b IS NOT NULL").select("a", "b").unionByName(others.select("a", "b")).where("a <> b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, rows = None, []
-        found: list[tuple[int, int]] = []
 
-        def close() -> None:
-            if len(rows) > 1:
-                ids, sides, comps, sets = (list(c) for c in zip(*rows, strict=True))
-                found.extend(group_links(ids, sides, sets, comps, num, den))
-            rows.clear()
+def _held(signatures: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sig, doc) of joint tokens that several documents hold; ``gone``: documents that another stands for."""
+    postings, parts = signatures.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc")), []
+    for i in range(PASSES):  # by ranges of tokens, which bounds the disk that the shuffles take at once
+        some = postings.where(F.pmod("sig", F.lit(PASSES)) == i)
+        shared = scratch.table(some.groupBy("sig").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("sig"))
+        scratch.release()
+        parts.append(scratch.table(_some(some, "sig", shared)))
+        scratch.release()
+    held = scratch.table(functools.reduce(DataFrame.unionByName, parts).join(gone, "doc", "left_anti"))
+    shared = held.groupBy("sig").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("sig")
+    return scratch.table(held.join(shared, "sig").select("sig", "doc"))
 
-        for batch in batches:
-            for part in text_slices(batch):
-                sets = shingle_sets(part.column("text"), k)
-                for u, side, doc_id, comp, x in zip(*(part.column(c).to_pylist() for c in ("unit", "side", "doc_id", "comp")), sets, strict=True):
-                    if u != unit:
-                        close()
-                        unit = u
-                    if len(x):
-                        rows.append((doc_id, side, comp, x))
-            if len(found) > 10_000:
-                yield _pairs(found)
-                found = []
-        close()
-        yield _pairs(found)
 
-    return run
+def _heads(held: DataFrame, label: DataFrame | None, name: str) -> DataFrame:
+    """(doc, name): the least label, or document, of those that share a joint token with a document."""
+    rows = held.select("sig", "doc", F.col("doc").alias("label")) if label is None else held.join(label.toDF("doc", "label"), "doc")
+    least = rows.groupBy("sig").agg(F.min("label").alias("label"))
+    return held.join(least, "sig").groupBy("doc").agg(F.min("label").alias(name))
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*found, strict=True) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _dealt(held: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, g, near, head): each document's group and the heads within one and two steps."""
+    one = scratch.table(_heads(held, None, "near"))
+    rows = scratch.table(one.join(_heads(held, one, "head"), "doc").join(sizes, "doc"))
+    parts = F.ceil(F.greatest(F.col("c") / F.lit(DOCS), F.col("s") / F.lit(SHINGLES)))
+    clusters = rows.groupBy("head", "near").agg(F.count("*").alias("c"), F.sum("n").alias("s")).withColumn("parts", parts)
+    whole = clusters.where("parts <= 1").groupBy("head").agg(F.sum("c").alias("c"), F.sum("s").alias("s")).select("head", F.ceil(2 * F.greatest(F.col("c") / F.lit(DOCS), F.col("s") / F.lit(SHINGLES)) - 0.5).alias("bins"))
+    places = clusters.select("head", "near", "parts").join(whole, "head", "left")
+    own = F.xxhash64("head", "near", F.pmod(F.xxhash64("doc"), F.col("parts")))
+    shared = F.xxhash64("head", F.pmod(F.xxhash64("near"), F.greatest("bins", F.lit(1))))
+    return scratch.table(rows.join(places, ["head", "near"]).select("doc", F.when(F.col("parts") > 1, own).otherwise(shared).alias("g"), "near", "head"))
 
 
-def _opened(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links of the units in ``rows`` (unit, side, doc_id, comp)."""
+def _opened(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int, inner: bool) -> DataFrame:
+    """Links, and with ``inner`` bitmaps, of the units in ``rows`` (unit, side, doc_id, comp)."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     full = rows.join(texts, "doc_id").repartition(n, "unit").sortWithinPartitions("unit", "side", "doc_id")
-    return full.select("unit", "side", "doc_id", "comp", "text").mapInArrow(tidy(_open(k, num, den)), "a long, b long")
-
-
-def _links(units: DataFrame, texts: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) of all units, opened in PASSES parts or more, which bounds the disk that their texts take at once."""
-    units, parts = scratch.table(units), []
-    n = min(max(PASSES, units.count() // PART_ROWS), 4 * PASSES)
-    for i in range(n):
-        parts.append(scratch.table(_opened(units.where(F.pmod("unit", F.lit(n)) == i), texts, k, num, den)))
-        scratch.release()
-    return functools.reduce(DataFrame.unionByName, parts)
-
-
-def _pivot_units(dealt: DataFrame) -> DataFrame:
-    """Groups of at most about GROUP documents for each pivot, the pivot as their query: dealt (doc, pivot)."""
-    counts = dealt.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("groups"))
-    members = dealt.join(counts, "pivot").select("pivot", F.pmod(F.xxhash64("doc"), F.col("groups")).alias("g"), F.lit(1).alias("side"), F.col("doc").alias("doc_id"))
-    queries = counts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(0).alias("side"), F.col("pivot").alias("doc_id"))
-    return members.unionByName(queries).select(F.xxhash64("pivot", "g").alias("unit"), "side", "doc_id", F.col("doc_id").alias("comp"))
-
-
-def _mixed_tokens(held: DataFrame, components: DataFrame, scratch: Scratch) -> DataFrame:
-    """(sig, doc, comp) of the joint tokens that several components hold."""
-    named = scratch.table(held.select("sig", "doc").join(components.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp")))
-    mixed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    return scratch.table(named.join(mixed, "sig"))
-
-
-def _next_pivots(mixed: DataFrame, turn: int) -> DataFrame:
-    """(doc, pivot): documents whose token's pivot of this turn, now another one, is in another component."""
-    order = F.xxhash64(F.lit(turn), "doc")
-    pivots = mixed.groupBy("sig").agg(F.min(F.struct(order.alias("h"), F.col("doc").alias("pivot"), F.col("comp").alias("pivot_comp"))).alias("p"))
-    met = mixed.join(pivots, "sig").where("comp <> p.pivot_comp")
-    return met.groupBy("doc").agg(F.min("p").alias("p")).select("doc", F.col("p.pivot").alias("pivot"))
-
-
-def _rest_units(mixed: DataFrame, sizes: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Groups of joint tokens that several components hold, matched unless within one large component.
-
-    Documents are dealt into groups once, whatever the token: those of a large component on their own,
-    others with those that share their smallest partner.  Pairs of groups that share a token are matched
-    once, and only if some sizes allow a link.  Tokens with more than WIDE groups are dealt on their own.
-    """
-    h1, h2 = F.xxhash64("doc"), F.xxhash64(F.lit(1), "doc")
-    once = mixed.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(h1).alias("x1"), F.bit_xor(h2).alias("x2"))
-    once = once.groupBy("n", "x1", "x2").agg(F.min("sig").alias("sig")).select("sig")  # one token for each list of documents
-    rest = scratch.table(mixed.join(once, "sig").distinct())
-    heads = mixed.groupBy("sig").agg(F.min("doc").alias("head"))
-    near = mixed.join(heads, "sig").groupBy("doc", "comp").agg(F.min("head").alias("head"))
-    counts = near.groupBy("comp").agg(F.count("*").alias("c"))
-    near = scratch.table(near.join(counts, "comp").join(sizes, "doc"))
-    large = F.col("c") > GROUP // 2
-    smalls = near.where(~large).groupBy("head").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("groups"))
-    place = F.when(large, F.xxhash64(F.lit("comp"), "comp", F.pmod(F.xxhash64("doc"), F.ceil(F.col("c") / F.lit(GROUP))))).otherwise(F.xxhash64(F.lit("head"), "head", F.pmod(F.xxhash64("comp"), F.col("groups"))))
-    dealt = scratch.table(near.join(smalls, "head", "left").select("doc", "comp", "lo", "hi", F.when(large, F.col("comp")).alias("own"), place.alias("g")))
-    lists = scratch.table(rest.select("sig", "doc").join(dealt.select("doc", "own", "g"), "doc").select("sig", "g", "own").distinct())
-    width = lists.groupBy("sig").agg(F.count("*").alias("width"))
-    narrow = lists.join(width.where(F.col("width") <= WIDE).select("sig"), "sig")
-    pairs = narrow.join(narrow.toDF("sig", "g2", "own2"), "sig").where("g <= g2 AND NOT (own IS NOT NULL AND own <=> own2)").select("g", "g2").distinct()
-    reach = dealt.groupBy("g").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
-    pairs = pairs.join(reach, "g").join(reach.toDF("g2", "least2", "most2"), "g2")
-    pairs = scratch.table(pairs.where(f"{num} * least <= {den} * most2 AND {num} * least2 <= {den} * most").select("g", "g2"))
-    unit = F.xxhash64("g", "g2").alias("unit")
-    asks = pairs.where("g <> g2").select("g", unit, F.lit(0).alias("side"))
-    held_by = pairs.select(F.col("g2").alias("g"), unit, F.lit(1).alias("side"))
-    matched = asks.unionByName(held_by).join(dealt, "g").select("unit", "side", F.col("doc").alias("doc_id"), "comp")
-    wide = rest.join(width.where(F.col("width") > WIDE).select("sig"), "sig")
-    return matched.unionByName(_list_units(wide, scratch))
-
-
-def _list_units(rest: DataFrame, scratch: Scratch) -> DataFrame:
-    """Longer lists: groups of the documents of a joint token, matched with each other unless within one large component."""
-    sizes = rest.groupBy("sig", "comp").agg(F.count("*").alias("c"))
-    small = sizes.where(F.col("c") <= GROUP // 2).groupBy("sig").agg(F.ceil(F.sum("c") / F.lit(GROUP)).alias("smalls"))
-    dealt = rest.join(sizes, ["sig", "comp"]).join(small, "sig", "left")
-    large = F.col("c") > GROUP // 2
-    dealt = dealt.select(
-        "sig",
-        "doc",
-        "comp",
-        F.when(large, F.col("comp")).alias("own"),
-        F.when(large, F.xxhash64("comp", F.pmod(F.xxhash64("doc"), F.ceil(F.col("c") / F.lit(GROUP))))).otherwise(F.pmod(F.xxhash64("comp"), F.col("smalls"))).alias("g"),
-    )
-    dealt = scratch.table(dealt)
-    groups = dealt.select("sig", "g", "own").distinct()
-    other = groups.select("sig", F.col("g").alias("g2"), F.col("own").alias("own2"))
-    matched = groups.join(other, "sig").where("g <= g2 AND NOT (own <=> own2 AND own IS NOT NULL)")
-    unit = F.xxhash64("sig", "g", "g2").alias("unit")
-    left = matched.where("g <> g2").select("sig", "g", F.lit(0).alias("side"), unit)
-    right = matched.select("sig", F.col("g2").alias("g"), F.lit(1).alias("side"), unit)
-    return left.unionByName(right).join(dealt, ["sig", "g"]).select("unit", "side", F.col("doc").alias("doc_id"), "comp")
+    return full.select("unit", "side", "doc_id", "comp", "text").mapInArrow(tidy(open_groups(k, num, den, inner)), OPENED_SCHEMA)
+
+
+def _asked(held: DataFrame, place: DataFrame, scratch: Scratch) -> DataFrame:
+    """(unit, side, doc_id, comp): queries to groups with which a joint token is shared, of other components, and those groups."""
+    tokens = held.join(place, "doc")
+    several = tokens.groupBy("sig").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    mixed = scratch.table(tokens.join(several.where("g1 < g2 AND c1 < c2").select("sig"), "sig"))
+    groups = mixed.groupBy("sig", "g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).withColumnRenamed("g", "to")
+    asks = scratch.table(mixed.join(groups, "sig").where("g > to AND NOT (lo = hi AND lo = comp)").select("doc", "comp", "to").distinct())
+    counts = scratch.table(asks.groupBy("to").agg(F.ceil(F.count("*") / F.lit(QUERIES)).alias("parts")))
+    unit = F.xxhash64("to", "part").alias("unit")
+    queries = asks.join(counts, "to").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).select(unit, F.lit(0).alias("side"), F.col("doc").alias("doc_id"), "comp")
+    members = place.withColumnRenamed("g", "to").join(counts, "to").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return scratch.table(queries.unionByName(members.select(unit, F.lit(1).alias("side"), F.col("doc").alias("doc_id"), "comp")))
+
+
+def _cross_links(held: DataFrame, dealt: DataFrame, components: DataFrame, bits: DataFrame, texts: DataFrame, k: int, num: int, den: int, forest: bool, scratch: Scratch) -> DataFrame | None:
+    """Links between groups, (a, b), or None where no joint token is left to ask for."""
+    place = scratch.table(dealt.join(components.toDF("doc", "component"), "doc", "left").select("doc", "g", F.coalesce("component", "doc").alias("comp")))
+    asked = _asked(held, place, scratch)
+    if asked.isEmpty():
+        return None
+    n = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = asked.join(bits, "doc_id").repartition(n, "unit").sortWithinPartitions("unit", "side", "doc_id")
+    named = scratch.table(rows.select("unit", "side", "doc_id", "comp", "n", "bits").mapInArrow(tidy(nominate(num, den, forest)), NOMINATED_SCHEMA).distinct())
+    scratch.release()
+    return scratch.table(_opened(named, texts, k, num, den, False).select("a", "b"))
 
 
 def similar_groups(spark: SparkSession, docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text); linked: intersection/union >= threshold."""
     num, den = threshold
-    texts = docs.select("doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Scratch(spark, "ngram-join") as s:
-        signatures = s.table(texts.mapInArrow(tidy(_sign(k, num, den)), SIGNATURE_SCHEMA))
+        signatures = s.table(texts.mapInArrow(tidy(sign(k, num, den)), SIGNATURE_SCHEMA))
         signed = s.table(signatures.drop("sigs"))
-        copies = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
-        equal = signed.where("n > 0").select("doc_id", "set_key").join(copies, "set_key").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-        postings = signatures.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))
-        parts = []
-        for i in range(PASSES):  # by ranges of tokens, which bounds the disk that the shuffles take at once
-            some = postings.where(F.pmod("sig", F.lit(PASSES)) == i)
-            multi = s.table(some.groupBy("sig").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot < last").drop("last"))
-            s.release()
-            parts.append(s.table(some.join(multi, "sig")))
-            s.release()
-        held = functools.reduce(DataFrame.unionByName, parts)
+        equal = s.table(_copies(signed, s))
+        sizes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("doc")).agg(F.max("n").alias("n"), (F.min("set_key") < F.max("set_key")).alias("several"))
+        gone = equal.select(F.col("a").alias("doc")).distinct().join(sizes.where("several").select("doc"), "doc", "left_anti")
+        held = _held(signatures, gone, s)
         s.drop(signatures)  # the largest table; from here on only shared tokens count
-        ids = s.table(held.select(F.col("doc").alias("doc_id")).distinct())
-        # of possible partners only: most others fail a filter of at most BUCKETS numbers before they are moved
-        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("bucket")
-        near = texts.select("doc_id", "text", bucket).join(F.broadcast(ids.select(bucket).distinct()), "bucket", "left_semi")
-        texts = s.table(near.select("doc_id", "text").join(ids, "doc_id"))
+        dealt = _dealt(held, sizes.select("doc", "n"), s)
+        texts = s.table(_some(texts, "doc_id", dealt.select(F.col("doc").alias("doc_id"))))
         s.release()
-        dealt = held.where("doc <> pivot").groupBy("doc").agg(F.min("pivot").alias("pivot"))
-        links = s.table(_links(_pivot_units(dealt), texts, k, num, den, s).unionByName(equal))
+        own = dealt.select(F.col("g").alias("unit"), F.lit(1).alias("side"), F.col("doc").alias("doc_id"))
+        heads = dealt.select(F.col("g").alias("unit"), F.explode(F.array("near", "head")).alias("doc_id")).distinct().join(own.drop("side"), ["unit", "doc_id"], "left_anti")
+        rows = own.unionByName(heads.withColumn("side", F.lit(0))).withColumn("comp", F.col("doc_id"))
+        first = s.table(_opened(rows, texts, k, num, den, True))
         s.release()
-        sizes = signed.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("doc")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-        first = s.table(connected_components(links, s))
-        mixed = _mixed_tokens(held, first, s)
-        for turn in range(ROUNDS):
-            links = _links(_pivot_units(_next_pivots(mixed, turn)), texts, k, num, den, s)
-            stars = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            first = s.table(connected_components(stars.unionByName(links), s))
-            mixed = _mixed_tokens(mixed, first, s)
-        rest = _links(_rest_units(mixed, sizes, num, den, s), texts, k, num, den, s)
-        # the first components are stars already; the rest joins them
-        edges = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)
-        final = connected_components(edges, s)
-        rows = signed.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        return s.keep(rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
+        bits = first.where("kind = 1").select(F.col("a").alias("doc_id"), "n", "bits")
+        components = s.table(connected_components(first.where("kind = 0").select("a", "b").unionByName(equal), s))
+        for forest in (True, False):
+            links = _cross_links(held, dealt.select("doc", "g"), components, bits, texts, k, num, den, forest, s)
+            if links is None:
+                break
+            stars = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            components = s.table(connected_components(stars.unionByName(links), s))
+            s.release()
+        signed = signed.select("doc_id", F.col("n").alias("n_shingles"))
+        known = signed.where("doc_id IS NOT NULL").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        known = known.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        return s.keep(known.unionByName(signed.where("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("long"))))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """The documents without those that an earlier one stands for, in order of doc_id, null last, and the
-    text's hash; of rows with one doc_id and one text, one stays, and other texts of that doc_id are other documents."""
+    text's hash; of rows with one doc_id and one text, the one whose other columns sort first as JSON stays, and
+    other texts of that doc_id are other documents.  Columns may have any other names."""
     repeated = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL")
     if repeated.isEmpty():
         gone = similar_groups(spark, docs, k, threshold).where("component_id < doc_id").select("doc_id")
         return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     with Scratch(spark, "one-of-each") as s:
         # 128 bits, so other texts of a doc_id are not taken for one
-        keyed = docs.withColumn("_h", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_null", F.col("doc_id").isNull())
-        key = ["_null", "_id", "_h"]
-        nodes = s.table(numbered(keyed.select(key).distinct(), key, "_node", scratch=s))
-        rows = s.table(keyed.join(nodes, key))
-        single = rows.select(F.col("_node").alias("doc_id"), "text").dropDuplicates(["doc_id"])
-        gone = similar_groups(spark, single, k, threshold).where("component_id < doc_id").select(F.col("doc_id").alias("_node"))
-        kept = rows.join(gone, "_node", "left_anti")
-        return s.keep(kept.dropDuplicates(["_node"]).select(docs.columns))
+        doc_id, text = F.col("row.doc_id").cast("long"), F.col("row.text")
+        keyed = docs.select(F.struct(*docs.columns).alias("row")).select(
+            doc_id.isNull().alias("absent"), F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("id"), F.coalesce(F.md5(text.cast("binary")), F.lit("")).alias("h"), "row"
+        )
+        key = ["absent", "id", "h"]
+        rows = s.table(keyed.groupBy(key).agg(F.min_by("row", F.to_json("row")).alias("row")))
+        nodes = s.table(numbered(rows.select(key), key, "node", scratch=s))
+        rows = s.table(rows.join(nodes, key).select("node", "row"))
+        gone = similar_groups(spark, rows.select(F.col("node").alias("doc_id"), "row.text"), k, threshold).where("component_id < doc_id").select(F.col("doc_id").alias("node"))
+        return s.keep(rows.join(gone, "node", "left_anti").select("row.*"))
