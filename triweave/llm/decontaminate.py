@@ -1,6 +1,8 @@
 """Operator 4, benchmark decontamination by latent semantic retrieval.
 
-1. Words (lower-cased, outer punctuation trimmed) become numbers of the benchmark's vocabulary; other words
+The benchmark is taken in blocks of items of about BLOCK_WORDS words, each on its own:
+
+1. Words (lower-cased, outer punctuation trimmed) become numbers of the block's vocabulary; other words
    are gaps that keep their place, and punctuation that stands alone is none.  The texts are read and split
    once; their codes are kept as a table.
 2. Passages are spans of PASSAGE words of a document.  Document frequencies of the terms over all passages
@@ -8,7 +10,7 @@
    random R, a matrix of vocabulary by sketch width, and Z gives the leading right singular vectors.
 3. Every window of a document, a step of HOP words apart and long enough to hold an item whole wherever it
    starts, is compared with the items of that length by cosine in the latent space.  Items with fewer than
-   TERMS terms that weigh anything have no part in this.
+   TERMS terms that weigh anything, or without a share in the leading vectors, are left to step 4.
 4. The cosine loses items among other benchmark words, so windows are also retrieved exactly: a match keeps
    all but m of an item's places, so of its m + r rarest places at least r have their word in the window.
    Every window that passes the checks below does so, verbatim items of any length among them.
@@ -20,11 +22,13 @@ The cosine of a match is null where the latent space would have lost its best wi
 
 Defined results: null and empty texts match nothing, null and empty items neither; items of one text each
 match; repeated documents each match; extra columns are ignored; with an empty table there are no matches.
-Items come to the driver in blocks of bounded size, a scan of the codes for each.
+A block's items, vocabulary and basis are what the driver holds and broadcasts at a time.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,16 +37,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triweave.llm.words import split_words, text_slices, tidy, word_hashes, worker_state
+from triweave.llm.words import split_words, text_slices, tidy, worker_state
 from triweave.plans.scratch import Scratch
 
-PASSAGE, HOP, RANK, EXTRA, ITEMS, BUCKETS = 32, 16, 128, 16, 2000, 1 << 18
+PASSAGE, HOP, RANK, EXTRA, BLOCK_WORDS = 32, 16, 128, 16, 1 << 17
 COMMON, TERMS = 0.02, 3
 #: Of an item's rarest places, how many more than the checks demand must be in a window; pairs of words and items opened at once.
 HITS, PAIRS = 4, 1 << 21
 COSINE, LCS_SHARE, ANSWER, ANSWER_SHARE, LEAST = 0.5, 0.6, 8, 0.5, 8
 PUNCTUATION = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»“”„‘’…–—¡¿"
-SLICE = 1 << 19
+SLICE, LONG = 1 << 19, 64
+SPACE = r"[\x20\x09-\x0D]+"
+
+
+def pieces_of(text: str | None) -> list[str]:
+    return [w for w in re.split(SPACE, text or "") if w]
 
 
 def normal(word: str) -> str:
@@ -50,27 +59,23 @@ def normal(word: str) -> str:
 
 
 class Vocabulary:
-    """Numbers from 0 for the benchmark's words; beyond BUCKETS words, hash buckets are shared."""
+    """Numbers from 0 for a block's words."""
 
     def __init__(self, words: set[str]):
-        words = words - {""}
-        self.hashed = len(words) > BUCKETS
-        keys = sorted({self._key(w) for w in words})
+        keys = sorted(words - {""})
         self.number = dict(zip(keys, range(len(keys)), strict=True))
         self.size = len(keys)
         self.number[None] = -2  # no word: punctuation alone
 
-    def _key(self, word: str):
-        return int(word_hashes([word])[0]) % BUCKETS if self.hashed else word
-
     def codes(self, words: list[str]) -> np.ndarray:
         get = self.number.get
-        return np.array([get(self._key(n) if n else None, -1) for n in map(normal, words)] if self.hashed else [get(normal(w) or None, -1) for w in words], np.int32)
+        return np.array([get(normal(w) or None, -1) for w in words], np.int32)
 
 
-def _code(vocabulary: Vocabulary):
+def _code(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("plain", dict)
+        vocabulary = shared.value
         for batch in batches:
             for part in text_slices(batch):
                 offsets, codes, words = split_words(part.column("text"))
@@ -129,6 +134,33 @@ def _frequencies(size: int):
     return run
 
 
+def run_sums(rows: np.ndarray, index: np.ndarray, weight: np.ndarray | None, starts: np.ndarray) -> np.ndarray:
+    """The sums of ``rows[index] * weight`` over the runs of ``index`` that begin at ``starts``: the first of all
+    runs, then the second of those that have one, and so on; long runs as products of their own."""
+    times = np.diff(starts, append=len(index))
+    order = np.argsort(-times, kind="stable")
+    begin, times = starts[order], times[order]
+
+    def place(at: np.ndarray) -> np.ndarray:
+        x = np.take(rows, index[at], axis=0)
+        return x if weight is None else x * weight[at][:, None]
+
+    long = int(np.searchsorted(-times, -LONG, "left"))  # runs of more than LONG rows
+    out = np.empty((len(starts), rows.shape[1]), rows.dtype)
+    for r in range(long):
+        span = slice(begin[r], begin[r] + times[r])
+        ones = np.ones(times[r], rows.dtype) if weight is None else weight[span]
+        out[order[r]] = ones @ np.take(rows, index[span], axis=0)
+    begin, times = begin[long:], times[long:]
+    if len(begin):
+        total = place(begin)
+        for j in range(1, int(times[0])):
+            m = int(np.searchsorted(-times, -j, "left"))
+            total[:m] += place(begin[:m] + j)
+        out[order[long:]] = total
+    return out
+
+
 def random_matrix(size: int, width: int, seed: int = 4) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((size, width)).astype(np.float32)
 
@@ -144,11 +176,11 @@ def _sketch(shared, size: int, width: int):
                 continue
             tf = tf.astype(np.float32)
             starts = np.flatnonzero(np.diff(passage, prepend=-1))
-            y = np.add.reduceat(weighted[term] * tf[:, None], starts)
+            y = run_sums(weighted, term, tf, starts)
             own = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(term)))
             order = np.argsort(term, kind="stable")
             ends = np.flatnonzero(np.diff(term[order], prepend=-1))
-            z[term[order][ends]] += np.add.reduceat(y[own[order]] * tf[order][:, None], ends)
+            z[term[order][ends]] += run_sums(y, own[order], tf[order], ends)
         z *= idf[:, None]
         blocks = range(0, size, 256)
         yield pa.RecordBatch.from_arrays([pa.array([b // 256 for b in blocks], pa.int64()), pa.array([z[b : b + 256].tobytes() for b in blocks], pa.binary())], names=["block", "z"])
@@ -210,7 +242,7 @@ class Items:
         self.ids, self.words, self.masks, self.answers, groups = [], [], [], [], {}
         hops, need, postings = [], [], []
         for item_id, text in rows:
-            pieces = (text or "").split()
+            pieces = pieces_of(text)
             codes = [int(c) for c in vocabulary.codes(pieces)] if pieces else []
             last = max((i + 1 for i, p in enumerate(pieces[:-1]) if p[-1] in ".?!"), default=0)
             answer = codes[max(last, len(codes) - ANSWER) if len(codes) - last >= 2 else -ANSWER :]
@@ -219,7 +251,7 @@ class Items:
                 continue
             v, terms = basis[codes].sum(axis=0), len({c for c in codes if used[c]})
             if terms >= TERMS and (norm := float(np.linalg.norm(v))):
-                groups.setdefault(-(-len(codes) // HOP) + 1, []).append((len(self.words), item_id, v / norm))
+                groups.setdefault(-(-len(codes) // HOP) + 1, []).append((len(self.words), v / norm))
             least = len(codes) if len(codes) < LEAST else next(k for k in range(1, len(codes) + 1) if k / len(codes) >= LCS_SHARE)
             hits = min(HITS, least)
             rarest, times = np.unique(sorted(codes, key=lambda c: (df[c], c))[: len(codes) - least + hits], return_counts=True)
@@ -233,7 +265,7 @@ class Items:
             self.words.append(codes)
             self.masks.append(masks)
             self.answers.append(answer or codes)
-        self.groups = {h: ([n for n, _, _ in g], [i for _, i, _ in g], np.array([v for _, _, v in g], np.float32)) for h, g in groups.items()}
+        self.groups = {h: (np.array([n for n, _ in g]), np.array([v for _, v in g], np.float32)) for h, g in groups.items()}
         self.hops, self.need = np.array(hops, np.int64), np.array(need, np.int64)
         table = np.array(sorted(postings), np.int64).reshape(-1, 3)
         self.post_item, self.post_times = table[:, 1], table[:, 2]
@@ -257,20 +289,21 @@ class Items:
         return (share, there) if there >= ANSWER_SHARE else None
 
 
-def candidates(offsets: np.ndarray, codes: np.ndarray, items: Items, basis: np.ndarray, used: np.ndarray) -> Iterator[tuple[int, int, int, int, int, float]]:
-    """(document, item number, item id, first word, end, cosine) of the windows near an item in the latent space."""
+def candidates(offsets: np.ndarray, codes: np.ndarray, items: Items, basis: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(documents, item numbers, first words, ends, cosines) of the windows near an item in the latent space."""
+    found = [[], [], [], [], []]
     hop, first = _spans(offsets, HOP)
     hops = np.zeros((first[-1] + 1, basis.shape[1]), np.float32)
     known = np.flatnonzero((codes >= 0) & used[codes])
     if not len(known):
-        return
+        return _joined(found)
     starts = np.flatnonzero(np.diff(hop[known], prepend=-1))
-    hops[hop[known][starts]] = np.add.reduceat(basis[codes[known]], starts)
+    hops[hop[known][starts]] = run_sums(basis, codes[known], None, starts)
     terms = np.bincount(hop[known], minlength=first[-1] + 1)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     end = first[1:][doc]  # no window crosses a document's end
     here = np.arange(first[-1])
-    for width, (numbers, ids, vectors) in items.groups.items():
+    for width, (numbers, vectors) in items.groups.items():
         held = sum(np.where(here + j < end, terms[np.minimum(here + j, len(here) - 1)], 0) for j in range(width))
         some = np.flatnonzero(held >= TERMS)
         for at in range(0, len(some), 4096):
@@ -281,21 +314,45 @@ def candidates(offsets: np.ndarray, codes: np.ndarray, items: Items, basis: np.n
                 total[inside] += hops[w[inside] + j]
             total /= np.maximum(np.linalg.norm(total, axis=1), 1e-12)[:, None]
             near = total @ vectors.T
-            for h, i in zip(*np.nonzero(near >= COSINE), strict=True):
-                d = doc[w[h]]
-                start = offsets[d] + (w[h] - first[d]) * HOP
-                yield int(d), numbers[i], ids[i], int(start), int(min(start + width * HOP, offsets[d + 1])), float(near[h, i])
-
-
-def exact_candidates(offsets: np.ndarray, codes: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int]]:
-    """(document, item number, first word, end) of every window that holds enough of an item's rarest places to pass the checks."""
+            h, i = np.nonzero(near >= COSINE)
+            d = doc[w[h]]
+            start = offsets[d] + (w[h] - first[d]) * HOP
+            for column, x in zip(found, (d, numbers[i], start, np.minimum(start + width * HOP, offsets[d + 1]), near[h, i]), strict=True):
+                column.append(x)
+    return _joined(found)
+
+
+def _joined(columns: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns)
+
+
+def promising(codes: np.ndarray, items: Items, size: int, number: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which windows hold enough words of the item to pass the checks, whatever their order."""
+    out, mark = np.zeros(len(number), bool), np.zeros(size + 1, bool)  # the last place: words of no item
+    order = np.argsort(number, kind="stable")
+    for run in np.split(order, np.flatnonzero(np.diff(number[order])) + 1) if len(order) else ():
+        words = items.words[number[run[0]]]
+        mark[words] = True
+        width = int((end[run] - start[run]).max())
+        for at in range(0, len(run), 1 << 14):
+            part = run[at : at + (1 << 14)]
+            place = start[part][:, None] + np.arange(width)
+            held = mark[codes[np.minimum(place, len(codes) - 1)]] & (place < end[part][:, None])
+            out[part] = held.sum(axis=1) >= (len(words) if len(words) < LEAST else LCS_SHARE * len(words))
+        mark[words] = False
+    return out
+
+
+def exact_candidates(offsets: np.ndarray, codes: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
+    """(documents, item numbers, first words, ends) of every window that holds enough of an item's rarest places to pass the checks."""
+    found = [[], [], [], []]
     if not len(items.hops):
-        return
+        return _joined(found)
     hop, first = _spans(offsets, HOP)
     known = np.flatnonzero(codes >= 0)
     known = known[items.posted[codes[known]] > 0]
     if not len(known):
-        return
+        return _joined(found)
     # a hop's words count once each
     size = len(items.posted)
     at, word = np.divmod(np.unique(hop[known] * size + codes[known]), size)
@@ -321,11 +378,13 @@ def exact_candidates(offsets: np.ndarray, codes: np.ndarray, items: Items) -> It
             heads = np.flatnonzero(np.diff(pair, prepend=-1))
             start, item = np.divmod(pair[heads], n_items)
             enough = np.add.reduceat(items.post_times[entry], heads) >= items.need[item]
-            for h, i in zip(start[enough].tolist(), item[enough].tolist(), strict=True):
-                d = int(doc[h])
-                word_at = int(offsets[d] + (h - first[d]) * HOP)
-                yield d, i, word_at, int(min(word_at + items.hops[i] * HOP, offsets[d + 1]))
+            h, i = start[enough], item[enough]
+            d = doc[h]
+            word_at = offsets[d] + (h - first[d]) * HOP
+            for column, x in zip(found, (d, i, word_at, np.minimum(word_at + items.hops[i] * HOP, offsets[d + 1])), strict=True):
+                column.append(x)
         begin = stop
+    return _joined(found)
 
 
 MATCH_SCHEMA = "doc_id long, text_hash long, item_id long, lcs_share double, answer_share double, cosine double"
@@ -333,18 +392,21 @@ MATCH_SCHEMA = "doc_id long, text_hash long, item_id long, lcs_share double, ans
 
 def _scan(shared, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("plain", dict)
         items, basis, used = shared.value
         for doc_ids, offsets, codes in _coded(batches, size):
             best: dict[tuple[int, int], tuple] = {}
-            checked: dict[tuple[int, int], tuple | None] = {}
-            for d, number, item_id, start, end, cosine in candidates(offsets, codes, items, basis, used):
-                found = checked[number, start] = items.check(number, codes[start:end].tolist())
-                if found and found > best.get((d, number), ((0.0, 0.0),))[0]:
-                    best[d, number] = found, item_id, cosine
-            for d, number, start, end in exact_candidates(offsets, codes, items):
-                found = None if (number, start) in checked else items.check(number, codes[start:end].tolist())
-                if found and found > best.get((d, number), ((0.0, 0.0),))[0]:
-                    best[d, number] = found, items.ids[number], None
+            checked: set[tuple[int, int]] = set()
+            near = candidates(offsets, codes, items, basis, used)
+            for latent, (d, number, start, end, *cosine) in ((True, near), (False, exact_candidates(offsets, codes, items))):
+                good = np.flatnonzero(promising(codes, items, size, number, start, end))
+                for at, n, x, y, c in zip(*(v[good].tolist() for v in (d, number, start, end, cosine[0] if latent else start)), strict=True):
+                    if latent or (n, x) not in checked:
+                        result = items.check(n, codes[x:y].tolist())
+                        if result and result > best.get((at, n), ((0.0, 0.0),))[0]:
+                            best[at, n] = result, items.ids[n], c if latent else None
+                    if latent:
+                        checked.add((n, x))
             ids = doc_ids.to_pylist()
             rows = [(ids[d]["doc_id"], ids[d]["text_hash"], item_id, *found, cosine) for (d, _), (found, item_id, cosine) in sorted(best.items())]
             columns = list(zip(*rows, strict=True)) or [()] * 6
@@ -357,24 +419,24 @@ def _scan(shared, size: int):
 def benchmark_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item_id, lcs_share, answer_share, cosine) of each document and each item that it holds."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
+    keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).alias("doc_id"), "text")
+    blocks = -(-(items.agg(F.sum(F.size(F.split("text", SPACE)))).first()[0] or 0) // BLOCK_WORDS)
     with Scratch(spark, "decontaminate") as s:
-        words = items.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w")).distinct()
-        vocabulary = Vocabulary({normal(r.w) for r in words.toLocalIterator()})
-        if not vocabulary.size:
-            return s.keep(spark.createDataFrame([], MATCH_SCHEMA))
-        keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).alias("doc_id"), "text")
-        codes = s.table(keyed.mapInArrow(tidy(_code(vocabulary)), "doc_id struct<doc_id:long,text_hash:long>, codes binary"))
-        blocks = -(-items.count() // ITEMS)
-        parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text") for b in range(blocks)]
-        df, idf, vectors = latent_basis(spark, codes, vocabulary.size)
-        basis, used = vectors * idf[:, None], idf > 0
-        found = None
-        for p in parts:
-            block = Items([(r.item_id, r.text) for r in p.collect()], vocabulary, basis, used, df)
-            shared = spark.sparkContext.broadcast((block, basis, used))
-            part = codes.mapInArrow(tidy(_scan(shared, vocabulary.size)), MATCH_SCHEMA)
-            found = part if found is None else found.unionByName(part)
-        return s.keep(found)
+        found = [s.table(_block_matches(spark, keyed, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b), s)) for b in range(blocks)]
+        return s.keep(functools.reduce(DataFrame.unionByName, found, spark.createDataFrame([], MATCH_SCHEMA)))
+
+
+def _block_matches(spark: SparkSession, keyed: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
+    rows = [(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()]  # about BLOCK_WORDS words
+    vocabulary = Vocabulary({normal(w) for _, text in rows for w in pieces_of(text)})
+    if not vocabulary.size:
+        return spark.createDataFrame([], MATCH_SCHEMA)
+    known = spark.sparkContext.broadcast(vocabulary)
+    codes = scratch.table(keyed.mapInArrow(tidy(_code(known)), "doc_id struct<doc_id:long,text_hash:long>, codes binary"))
+    df, idf, vectors = latent_basis(spark, codes, vocabulary.size)
+    basis, used = vectors * idf[:, None], idf > 0
+    shared = spark.sparkContext.broadcast((Items(rows, vocabulary, basis, used, df), basis, used))
+    return codes.mapInArrow(tidy(_scan(shared, vocabulary.size)), MATCH_SCHEMA)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
