@@ -10,7 +10,7 @@ n_ids, control, data), shards and blocks in ascending document order, and a Parq
 (rank, id).  A block holds whole documents.
 
 Defined results: a null text counts as empty (only the end id); null doc_ids come first; rows that share
-a doc_id keep a fixed order (length, then ids) and each stay; extra columns are ignored; an empty table
+a doc_id keep a fixed order (length, a hash of the ids, then the ids) and each stay; extra columns are ignored; an empty table
 gives empty files.
 """
 
@@ -33,7 +33,7 @@ from triweave.plans.scratch import Scratch
 #: Words whose ids a worker remembers, and ids that a block holds before it is closed.
 CACHE_WORDS, BLOCK_IDS = 500_000, 1 << 18
 #: Bytes of text that are split at a time.
-SLICE = 4 << 20
+SLICE = 8 << 20
 #: Byte lengths of the four ids that a control byte describes.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -69,9 +69,26 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def lowered(texts: pa.Array) -> pa.Array:
+    """``texts`` with A-Z in lower case where that changes no ids: not before a byte of another script, which may
+    be a mark that composes with the capital first, and not in texts that may hold special tokens."""
+    texts = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])  # from offset 0
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: ends[-1]].copy() if len(texts) else np.zeros(0, np.uint8)
+    if not len(data):
+        return texts
+    capital = data - np.uint8(65) < 26
+    capital[:-1] &= data[1:] < 128
+    for i in np.flatnonzero(np.asarray(pc.match_substring(texts, "<|"))).tolist():
+        capital[ends[i] : ends[i + 1]] = False
+    data += capital.view(np.uint8) << np.uint8(5)
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, texts.buffers()[1], pa.py_buffer(data)])
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer that drops white space and splits there first, so that each piece
-    between ASCII white space can be encoded once and remembered.  Same ids as for the whole text."""
+    between ASCII white space can be encoded once and remembered.  Same ids as for the whole text: only pieces
+    of ASCII characters are lower-cased here or parted from a stop."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -87,8 +104,7 @@ class WordTokenizer:
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(sizes, ids) of words."""
         content, i = self.border
-        parts = [w for w in words if "<|" in w]
-        if parts:  # may hold a special token
+        if any("<|" in w for w in words):  # may hold a special token
             own = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             return np.array([len(x) for x in own], np.int64), np.concatenate(own)
         sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
@@ -99,23 +115,29 @@ class WordTokenizer:
         return np.concatenate(sizes), np.concatenate(ids)
 
     def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(sizes, ids) of new words; a full stop or comma after letters is a piece of its own."""
+        """(sizes, ids) of new words; a full stop or comma after ASCII letters is a piece of its own."""
         stops = self.stops
-        cut = [w[-1] in stops and w[:-1].isalpha() for w in words]
-        stems = [w[:-1] if c else w for w, c in zip(words, cut, strict=True)]
+        plain = [w.lower() if w.isascii() and "<|" not in w else w for w in words]
+        cut = [w[-1] in stops and w.isascii() and w[:-1].isalpha() for w in plain]
+        stems = [w[:-1] if c else w for w, c in zip(plain, cut, strict=True)]
         number = {s: i for i, s in enumerate(dict.fromkeys(stems))}
-        sizes, ids = self._encode(list(number))
-        of = np.array([number[s] for s in stems], np.int64)
+        special = ["<|" in w for w in number]
+        order = sorted(range(len(number)), key=special.__getitem__)  # those that may hold special tokens last
+        forms, n = list(number), len(number) - sum(special)
+        parts = [self._encode([forms[i] for i in some]) for some in (order[:n], order[n:]) if some]
+        sizes, ids = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+        rank = np.empty(len(number), np.int64)
+        rank[order] = np.arange(len(number))
+        of = rank[np.array([number[s] for s in stems], np.int64)]
         extra = np.array([stops[w[-1]] if c else -1 for w, c in zip(words, cut, strict=True)], np.int64)
         place, ends = _gather((np.cumsum(sizes) - sizes)[of], sizes[of], extra >= 0)
-        out = np.append(ids, np.uint32(0))[np.minimum(place, len(ids))]
+        out = np.append(ids, np.uint32(0))[np.minimum(place, len(ids))].astype(np.uint32)
         out[ends[extra >= 0] - 1] = extra[extra >= 0]
         return np.diff(ends, prepend=0), out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts."""
-        special = pc.any(pc.match_substring(texts, "<|")).as_py()  # special tokens keep their case
-        offsets, codes, vocabulary = split_words(texts, lower=not special)
+        offsets, codes, vocabulary = split_words(lowered(texts), lower=False)
         get = self.number.get
         at = np.array([get(w, -1) for w in vocabulary], np.int64)
         fresh = [vocabulary[i] for i in np.flatnonzero(at < 0).tolist() if vocabulary[i]]
@@ -214,13 +236,14 @@ def write_token_ids(spark: SparkSession, docs: DataFrame, tokenizer_path: str, e
     with Scratch(spark, "token-ids") as s:
         tokens = s.table(docs.select("doc_id", text).mapInArrow(_tokenise(tokenizer_path, end_id, id_type, text), "doc_id long, ids binary"))
         counts = tokens.select("ids").mapInArrow(_count(id_type), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-        order = [r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))]
-        rank_of = np.zeros(max(order, default=-1) + 1, np.uint32)
-        rank_of[order] = np.arange(len(order), dtype=np.uint32)
+        by_rank = [r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))]
+        rank_of = np.zeros(max(by_rank, default=-1) + 1, np.uint32)
+        rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ordered = tokens.repartitionByRange(n, "doc_id", F.octet_length("ids")).sortWithinPartitions("doc_id", F.octet_length("ids"), "ids")
+        order = "doc_id", F.octet_length("ids"), F.xxhash64("ids")  # the hash parts the rows of one doc_id, null above all
+        ordered = tokens.repartitionByRange(n, *order).sortWithinPartitions(*order, "ids")
         blocks = s.keep(ordered.mapInArrow(tidy(_encode(rank_of, id_type)), BLOCK_SCHEMA), "blocks")
-        ranks = s.keep(spark.createDataFrame(list(enumerate(order)), "rank long, id long").coalesce(1), "ranks")
+        ranks = s.keep(spark.createDataFrame(list(enumerate(by_rank)), "rank long, id long").coalesce(1), "ranks")
     return {"blocks": blocks, "ranks": ranks}
 
 
