@@ -63,6 +63,22 @@ def test_rank_code_round_trip(n):
     assert len(control) == -(-n // 4) and (token_ids.decode_ranks(control, data, n) == ranks).all()
 
 
+def test_word_ids_of_odd_strings_equal_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, words_of = Tokenizer.from_file(path), token_ids.WordTokenizer(path)
+    marks = "\u0308\u0331\u030a\u030c\u0301\u0338\u0307"
+    alphabet = [*"abThWJIiSs'.,-09<|>!?&", *marks, *"\u0130\u0131\u00df\u1e9e\u03a3\u212a\u00e9\u00c9\u4e2d\U0001f600\u00a0\x85\x1c\u01c5\ufb01\x00", "<|endoftext|>", "<|ENDOFTEXT|>", " ", " ", "\n", "'S"]
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(14))) for _ in range(20_000)]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        offsets, ids = words_of(pa.array([*part, None]))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in [*part, ""]]
+
+
 def test_token_ids_equal_the_library(spark, docs, nothing, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -232,7 +248,7 @@ def test_decontamination_finds_paraphrases(spark, docs, nothing):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([*items, (90, None), (91, ""), (92, "...")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.benchmark_matches(spark, frame, bench).collect()}
-    exact = set()  # brute force: the checks on every window of every document
+    exact, spans = set(), set()  # brute force: the checks on every window of every document, and on spans of an item's length one word apart
     for d, text in rows:
         w = [decontaminate.normal(x) for x in text.split()]
         for i, item in items:
@@ -246,6 +262,11 @@ def test_decontamination_finds_paraphrases(spark, docs, nothing):
                 window = w[s : s + hops * decontaminate.HOP]
                 if decontaminate.lcs(masks, window) >= decontaminate.LCS_SHARE * len(q) and sum(x in set(window) for x in answer) >= decontaminate.ANSWER_SHARE * len(answer):
                     exact.add((d, i))
+            for s in range(0, len(w), 1) if sum(x in masks for x in w) >= decontaminate.LCS_SHARE * len(q) else ():
+                span = w[s : s + len(q)]
+                if sum(x in masks for x in span) >= decontaminate.LCS_SHARE * len(q) and decontaminate.lcs(masks, span) >= decontaminate.LCS_SHARE * len(q) and sum(x in set(span) for x in answer) >= decontaminate.ANSWER_SHARE * len(answer):
+                    spans.add((d, i))
+    assert spans and spans <= got
     assert leaks & exact == leaks or len(leaks & exact) >= 0.95 * len(leaks)
     assert len(got & exact) >= 0.9 * len(exact) and got <= exact  # recall and no others
     assert decontaminate.benchmark_matches(spark, nothing, bench).count() == 0
@@ -313,7 +334,7 @@ def test_exact_candidates_hold_every_window_that_passes(monkeypatch):
         for a in range(begin, end, decontaminate.HOP)
         if items.check(i, codes[a : min(a + items.hops[i] * decontaminate.HOP, end)].tolist())
     }
-    got = list(decontaminate.exact_candidates(offsets, codes, items))
+    got = list(zip(*(x.tolist() for x in decontaminate.exact_candidates(offsets, codes, items)), strict=True))
     assert want and want <= set(got) and len(got) == len(set(got))
 
 
@@ -370,7 +391,7 @@ def test_mixing(spark, docs, nothing):
 
 def test_rows_without_ids_meet_their_target(spark):
     many = spark.createDataFrame([(None, f"s{i % 3}", f"w{i} " * (1 + i % 9)) for i in range(8000)] + [(None, None, None)], "doc_id long, source string, text string")
-    target = {r.source: r.t for r in mixing.mix(many).groupBy("source").agg({"mix_target": "max"}).withColumnRenamed("max(mix_target)", "t").collect()}
+    target = {r.source: r.t for r in mixing.mix(many).groupBy("row.source").agg({"target": "max"}).withColumnRenamed("max(target)", "t").collect()}
     taken = collections.Counter()
     for r in mixing.mixed_documents(many).collect():
         taken[r.source] += len(split(r.text))
@@ -380,6 +401,38 @@ def test_rows_without_ids_meet_their_target(spark):
 # 8
 
 
+def test_columns_named_as_those_used_inside_come_back(spark, monkeypatch):
+    names = ["mix_size", "mix_copies", "mix_target", "_mix_source", "_copy", "copy", "copies", "row", "size", "target", "source_size", "has_words", "expected_grade", "tail_probability", "c0", "h", "id", "absent", "node", "json", "component_id", "_node"]
+    rows = [(i, f"word{i} and some more plain words of text {i}", "ab"[i % 2], *(f"{n}{i}" for n in names)) for i in (1, 2, 3, 3)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    monkeypatch.setattr(mixing, "RANGE", 1)
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for got in (mixing.mixed_documents(docs), quality.keep_good(spark, docs, labels), ngram_join.one_of_each(spark, docs), decontaminate.without_benchmark(spark, docs, spark.createDataFrame([(1, "none of it")], "item_id long, text string"))):
+        assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= set(rows)
+    assert ngram_join.one_of_each(spark, docs).count() == 3 and quality.keep_good(spark, docs, labels).count() == 4
+
+
+def test_targets_by_ranges_equal_a_direct_fill(spark, monkeypatch):
+    rng = random.Random(4)
+    sizes = {f"s{i:02}": rng.choice([0, 1, 5, 40, 1000, 90_000]) for i in range(40)} | {None: 77}
+    frame = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    weight = {n: i % 3 + 1.0 for i, n in enumerate([*sorted(n for n in sizes if n), None])}
+    target, free = {}, set(sizes)
+    while True:  # fills by weight, caps what is above, and again
+        rest = sum(sizes.values()) - sum(target.values())
+        share = {n: rest * weight[n] / sum(weight[m] for m in free) for n in free}
+        over = {n for n in free if share[n] > 3 * sizes[n]}
+        if not over:
+            break
+        target |= {n: 3.0 * sizes[n] for n in over}
+        free -= over
+    target |= share
+    for width in (3, 1 << 20):
+        monkeypatch.setattr(mixing, "RANGE", width)
+        got = {r.source: r.target for r in mixing.source_targets(frame).collect()}
+        assert got == pytest.approx(target)
+
+
 def near(a, b):
     return line_dedup.within_one_edit(a, b)
 

@@ -8,9 +8,9 @@ floor(rate) times, and once more when its hash, uniform in [0, 1), is below the
 Defined results: a null text has size 0; the null source is a source; documents without words are
 emitted like others of their source and add no words; sources without words have target 0; rows that
 share a doc_id take the same draw; those without one take a draw by source and text in the mix itself, and
-one draw in the digest, as its SQL does; extra columns stay; an empty table gives an empty result.  The table
-of sources has one row for each source after partial aggregation; Spark joins it by broadcast only when
-its measured size allows.
+one draw in the digest, as its SQL does; extra columns stay, whatever their names; an empty table gives an
+empty result.  The table of sources has one row for each source after partial aggregation and is written once;
+Spark joins it by broadcast only when its size allows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-WEIGHTS = (1, 2, 3)
+from triweave.functions.ranks import numbered
+from triweave.plans.scratch import Scratch
+
+WEIGHTS, RANGE = (1, 2, 3), 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -35,52 +38,60 @@ def uniform(seed: int, key: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3) -> DataFrame:
-    """(source, source_size, target) from (source, size): one row for each source.
+    """(source, source_size, target) from (source, size): one row for each source, a table in the shared folder.
 
     In order of size over weight, the capped sources come first; the first source whose share of what
-    those before it leave is within its cap fixes the share by weight of itself and all after it.
+    those before it leave is within its cap fixes the share by weight of itself and all after it.  Places
+    and sums before a source are taken by ranges of sources, so no task holds more than RANGE of them.
     """
-    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    weighed = sums.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("double"))
-    all_sources = W.partitionBy()
-    order = W.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    filled = weighed.select(
-        "source",
-        "source_size",
-        "weight",
-        F.row_number().over(order).alias("at"),
-        ((F.sum("source_size").over(all_sources) - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / (F.sum("weight").over(all_sources) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))).alias("share"),
-    )
-    within = F.col("share") * F.col("weight") <= F.lit(cap) * F.col("source_size")
-    fixed = filled.withColumn("by_weight", F.min_by("share", F.when(within, F.col("at"))).over(all_sources)).withColumn("first", F.min(F.when(within, F.col("at"))).over(all_sources))
-    capped = F.col("first").isNull() | (F.col("at") < F.col("first"))
-    return fixed.select("source", "source_size", F.when(capped, (cap * F.col("source_size")).cast("double")).otherwise(F.col("by_weight") * F.col("weight")).alias("target"))
-
-
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, seed: int = 7, key: Column | None = None) -> DataFrame:
-    """The columns of ``docs`` and mix_size, mix_source_size, mix_target, mix_copies; rows of one ``key``, doc_id if none is given, take the same draw."""
-    sized = docs.withColumn("mix_size", word_count(F.col("text")))
-    targets = source_targets(sized.select("source", F.col("mix_size").alias("size")), weights, cap)
-    targets = targets.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    rate = F.when(F.col("mix_source_size") > 0, F.least(F.col("mix_target") / F.col("mix_source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
-    extra = (uniform(seed, F.col("doc_id") if key is None else key) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("mix_copies", F.floor(rate) + extra)
+    spark = sizes.sparkSession
+    with Scratch(spark, "mixing") as s:
+        sums = s.table(sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("absent", F.col("source").isNull()))
+        place = numbered(sums, ["absent", "source"], "place", scratch=s)
+        weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("double")
+        ratio = F.col("source_size") / F.col("weight")
+        weighed = s.table(numbered(place.withColumn("weight", weight).withColumn("ratio", ratio), ["ratio", "absent", "source"], "at", scratch=s).withColumn("range", F.floor(F.col("at") / F.lit(RANGE))))
+        ranges = weighed.groupBy("range").agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).orderBy("range").collect()  # a row for RANGE sources
+        offsets, all_size, all_weight = [], 0, 0.0
+        for r in ranges:
+            offsets.append((r.range, all_size, all_weight))
+            all_size, all_weight = all_size + r["size"], all_weight + r.weight
+        before = W.partitionBy("range").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+        left = F.lit(all_size) - cap * (F.col("size0") + F.coalesce(F.sum("source_size").over(before), F.lit(0)))
+        filled = weighed.join(F.broadcast(spark.createDataFrame(offsets, "range long, size0 long, weight0 double")), "range")
+        filled = filled.withColumn("share", left / (F.lit(all_weight) - (F.col("weight0") + F.coalesce(F.sum("weight").over(before), F.lit(0.0)))))
+        first = filled.where(F.col("share") * F.col("weight") <= F.lit(cap) * F.col("source_size")).orderBy("at").limit(1).collect()
+        capped, by_weight = (F.col("at") < first[0].at, first[0].share) if first else (F.lit(True), 0.0)
+        target = F.when(capped, (cap * F.col("source_size")).cast("double")).otherwise(F.lit(by_weight) * F.col("weight"))
+        return s.keep(weighed.select("source", "source_size", target.alias("target")))
+
+
+def _taken(docs: DataFrame, weights: tuple[int, ...], cap: int, seed: int, key: Column | None) -> DataFrame:
+    """(row, size, source_size, target, copies): ``docs`` as one column, so no name of theirs meets one of these."""
+    sized = docs.select(F.struct(*docs.columns).alias("row")).withColumn("size", word_count(F.col("row.text")))
+    targets = source_targets(sized.select("row.source", "size"), weights, cap)
+    joined = sized.join(targets, F.col("row.source").eqNullSafe(F.col("source"))).drop("source")
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
+    extra = (uniform(seed, F.col("row.doc_id") if key is None else key) < rate - F.floor(rate)).cast("long")
+    return joined.withColumn("copies", F.floor(rate) + extra)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, seed: int = 7) -> DataFrame:
+    """(row, size, source_size, target, copies) of every document, ``row`` being a struct of its columns; rows of one doc_id take the same draw."""
+    return _taken(docs, weights, cap, seed, None)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, seed: int = 7) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    parts = (F.coalesce(F.length(c), F.lit(-1)).cast("string") for c in ("source", "text"))
-    own = F.concat_ws(":", F.lit("null"), *parts, "source", "text")  # lengths first, so no two rows read the same
-    taken = mix(docs, weights, cap, seed, F.coalesce(F.col("doc_id").cast("string"), own)).where("mix_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(docs.columns)
+    parts = (F.coalesce(F.length(c), F.lit(-1)).cast("string") for c in ("row.source", "row.text"))
+    own = F.concat_ws(":", F.lit("null"), *parts, "row.source", "row.text")  # lengths first, so no two rows read the same
+    taken = _taken(docs, weights, cap, seed, F.coalesce(F.col("row.doc_id").cast("string"), own)).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def mixing_digest(docs: DataFrame) -> DataFrame:
     mixed = mix(docs.select("doc_id", "text", "source"))
-    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 ORACLE_SQL = r"""

@@ -91,7 +91,7 @@ def _dealt(held: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
     parts = F.ceil(F.greatest(F.col("c") / F.lit(DOCS), F.col("s") / F.lit(SHINGLES)))
     clusters = rows.groupBy("head", "near").agg(F.count("*").alias("c"), F.sum("n").alias("s")).withColumn("parts", parts)
     whole = clusters.where("parts <= 1").groupBy("head").agg(F.sum("c").alias("c"), F.sum("s").alias("s")).select("head", F.ceil(2 * F.greatest(F.col("c") / F.lit(DOCS), F.col("s") / F.lit(SHINGLES)) - 0.5).alias("bins"))
-    places = clusters.select("head", "near", "parts").join(whole, "head", "left")
+    places = scratch.table(clusters.select("head", "near", "parts").join(whole, "head", "left"))  # so a large cluster's join can be split
     own = F.xxhash64("head", "near", F.pmod(F.xxhash64("doc"), F.col("parts")))
     shared = F.xxhash64("head", F.pmod(F.xxhash64("near"), F.greatest("bins", F.lit(1))))
     return scratch.table(rows.join(places, ["head", "near"]).select("doc", F.when(F.col("parts") > 1, own).otherwise(shared).alias("g"), "near", "head"))

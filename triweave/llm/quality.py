@@ -10,7 +10,7 @@ Grades come from the labels: 0 low quality, 1 good quality but toxic, 2 good qua
 Defined results: null and empty texts have no features and score by the thresholds alone, but are
 rejected, as they hold nothing; labels with nulls don't count; without usable labels, or with one grade
 only, every document gets that grade (the highest, if none) and is kept unless empty; repeated rows each
-get a row; extra columns stay out of scores; an empty table gives an empty result.
+get a row; extra columns stay out of scores, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triweave.llm.features import BITS, Sparse, labelled_sample, sigmoid, sums, text_features
@@ -110,24 +110,26 @@ def _score(shared, columns: list[str], keep_grade: int):
 
 
 def score_quality(spark: SparkSession, docs: DataFrame, model: OrdinalModel, keep_grade: int = KEEP_GRADE) -> DataFrame:
-    """``docs`` (doc_id, text and whatever else it has) with expected_grade, tail_probability and has_words."""
+    """(row, expected_grade, tail_probability, has_words), ``row`` being a struct of the columns of ``docs``, whatever their names."""
     used = np.flatnonzero(model.weights)
     shared = spark.sparkContext.broadcast((used, model.weights[used], model.thresholds))
     plain = docs.toDF(*[f"c{i}" if c != "text" else c for i, c in enumerate(docs.columns)])
     schema = ", ".join(f"{c} {t}" for c, t in plain.dtypes) + ", expected_grade double, tail_probability double, has_words boolean"
     scored = plain.mapInArrow(tidy(_score(shared, plain.columns, keep_grade)), schema)
-    return scored.toDF(*docs.columns, "expected_grade", "tail_probability", "has_words")
+    row = F.struct(*(F.col(c).alias(name) for c, name in zip(plain.columns, docs.columns, strict=True)))
+    return scored.select(row.alias("row"), "expected_grade", "tail_probability", "has_words")
 
 
 def quality_digest(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, expected_grade, tail_probability, keep) of every document."""
     scored = score_quality(spark, docs.select("doc_id", "text"), quality_model(docs, labels))
-    return scored.select("doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("tail_probability", 6).alias("tail_probability"), (F.col("has_words") & (F.col("tail_probability") >= KEEP_TAIL)).alias("keep"))
+    return scored.select("row.doc_id", F.round("expected_grade", 6).alias("expected_grade"), F.round("tail_probability", 6).alias("tail_probability"), kept().alias("keep"))
+
+
+def kept() -> Column:
+    return F.col("has_words") & (F.col("tail_probability") >= KEEP_TAIL)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns."""
-    model = quality_model(docs, labels)
-    own = docs.select([F.col(c).alias(c) for c in docs.columns])
-    scored = score_quality(spark, own, model)
-    return scored.where(F.col("has_words") & (F.col("tail_probability") >= KEEP_TAIL)).select(docs.columns)
+    return score_quality(spark, docs, quality_model(docs, labels)).where(kept()).select("row.*")
