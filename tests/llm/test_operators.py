@@ -185,7 +185,8 @@ def test_ngram_join_across_small_groups_and_doubled_rows(spark, monkeypatch):
         texts[i] = " ".join(text)
     want = jaccard_groups(texts, 3, 90, 100)
     assert len({c for _, c in want.values()}) > 5
-    for docs, queries in ((4, 3), (16, 4096)):
+    for docs, queries, moves in ((4, 3, 0), (16, 4096, 1)):
+        monkeypatch.setattr(ngram_join, "MOVES", moves)  # 0: with a forest of links first
         monkeypatch.setattr(ngram_join, "DOCS", docs)
         monkeypatch.setattr(ngram_join, "QUERIES", queries)
         monkeypatch.setattr(ngram_join, "HOT", 2)

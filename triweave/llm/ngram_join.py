@@ -16,7 +16,8 @@ Sets of hashed word shingles are joined exactly at a Jaccard threshold t, in cla
    shingles two sets differ in from below, and pairs that may still be linked are intersected exactly.
 5. Joint tokens that several components and several groups hold make queries to other groups.  Bitmaps
    alone, of a few bits a shingle, go to those groups first, and only texts of pairs that they allow are
-   moved: once for a spanning forest of the likeliest links, then for all that are left.
+   moved; where these are more than there are documents, first those of a spanning forest of the likeliest
+   links, then all that are left.
 
 So no list of documents is expanded into pairs, no task's group grows with its class, texts move a bounded
 number of times but for near misses, and no link between different components is lost.  Shingles are
@@ -31,7 +32,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triweave.functions.ranks import numbered
@@ -40,17 +41,20 @@ from triweave.llm.words import tidy
 from triweave.operators.graph import connected_components
 from triweave.plans.scratch import Scratch
 
-#: Bounds of a group; queries that a group's copy answers; ranges of joint tokens handled one after the other.
-DOCS, SHINGLES, QUERIES, PASSES = 1024, 1 << 20, 4096, 4
+#: Bounds of a group; queries that a group's copy answers; ranges of joint tokens handled one after the other; texts a document that go to other groups at once.
+DOCS, SHINGLES, QUERIES, PASSES, MOVES = 1024, 1 << 20, 4096, 4, 1
 #: Numbers of the filters that spare most rows a shuffle; a set that so large a share of all rows have is joined by broadcast.
 BUCKETS, HOT = 1 << 20, 4096
 
 
-def _some(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """``rows`` whose ``key`` is in ``keys``; most others fail a filter of at most BUCKETS numbers before they are moved."""
-    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_bucket")
-    near = rows.join(F.broadcast(keys.select(bucket).distinct()), bucket == F.col("_bucket"), "left_semi")
-    return near.join(keys, key)
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+
+
+def _near(rows: DataFrame, key: str, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose ``key`` may be in ``keys``, or with left_anti those where it can't: by a filter of at most BUCKETS numbers."""
+    buckets = keys.select(_bucket(key).alias("_bucket")).distinct()
+    return rows.join(F.broadcast(buckets), _bucket(key) == F.col("_bucket"), how)
 
 
 def _copies(signed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -65,16 +69,20 @@ def _copies(signed: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _held(signatures: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
     """(sig, doc) of joint tokens that several documents hold; ``gone``: documents that another stands for."""
-    postings, parts = signatures.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc")), []
+    gone = scratch.table(gone)
+    signed = signatures.where("size(sigs) > 0").select("doc_id", "sigs")
+    rest = scratch.table(_near(signed, "doc_id", gone).join(gone, "doc_id", "left_anti"))
+    signed = _near(signed, "doc_id", gone, "left_anti").unionByName(rest)
+    postings, parts = signed.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc")), []
     for i in range(PASSES):  # by ranges of tokens, which bounds the disk that the shuffles take at once
         some = postings.where(F.pmod("sig", F.lit(PASSES)) == i)
-        shared = scratch.table(some.groupBy("sig").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("sig"))
+        shared = scratch.table(some.groupBy("sig").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("c")).where("lo < hi"))
         scratch.release()
-        parts.append(scratch.table(_some(some, "sig", shared)))
+        longer = shared.where("c > 2").select("sig")
+        parts.append(shared.where("c = 2").select("sig", F.explode(F.array("lo", "hi")).alias("doc")))
+        parts.append(scratch.table(_near(some, "sig", longer).join(longer, "sig")).select("sig", "doc"))
         scratch.release()
-    held = scratch.table(functools.reduce(DataFrame.unionByName, parts).join(gone, "doc", "left_anti"))
-    shared = held.groupBy("sig").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("sig")
-    return scratch.table(held.join(shared, "sig").select("sig", "doc"))
+    return scratch.table(functools.reduce(DataFrame.unionByName, parts))
 
 
 def _heads(held: DataFrame, label: DataFrame | None, name: str) -> DataFrame:
@@ -104,31 +112,33 @@ def _opened(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int, inner
     return full.select("unit", "side", "doc_id", "comp", "text").mapInArrow(tidy(open_groups(k, num, den, inner)), OPENED_SCHEMA)
 
 
-def _asked(held: DataFrame, place: DataFrame, scratch: Scratch) -> DataFrame:
-    """(unit, side, doc_id, comp): queries to groups with which a joint token is shared, of other components, and those groups."""
-    tokens = held.join(place, "doc")
-    several = tokens.groupBy("sig").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-    mixed = scratch.table(tokens.join(several.where("g1 < g2 AND c1 < c2").select("sig"), "sig"))
-    groups = mixed.groupBy("sig", "g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).withColumnRenamed("g", "to")
-    asks = scratch.table(mixed.join(groups, "sig").where("g > to AND NOT (lo = hi AND lo = comp)").select("doc", "comp", "to").distinct())
+def _asked(held: DataFrame, dealt: DataFrame, components: DataFrame, scratch: Scratch) -> DataFrame:
+    """(unit, side, doc_id): queries to groups with which a joint token is shared, of other components, and those groups.
+
+    Joint tokens with one list of groups ask as one.
+    """
+    spans = scratch.table(held.join(dealt, "doc").groupBy("sig").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).where("g1 < g2").select("sig"))
+    place = dealt.join(components.toDF("doc", "component"), "doc", "left").select("doc", "g", F.coalesce("component", "doc").alias("comp"))
+    mixed = scratch.table(_near(held, "sig", spans).join(spans, "sig").join(place, "doc"))
+    groups = scratch.table(mixed.groupBy("sig", "g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    key, one, two = ["c", "x1", "x2"], F.xxhash64("g", "lo", "hi"), F.xxhash64(F.lit(1), "g", "lo", "hi")
+    lists = scratch.table(groups.groupBy("sig").agg(F.count("*").alias("c"), F.bit_xor(one).alias("x1"), F.bit_xor(two).alias("x2")))
+    to = scratch.table(groups.join(lists, "sig").select(*key, F.col("g").alias("to"), "lo", "hi").distinct())
+    whose = scratch.table(mixed.join(lists, "sig").select(*key, "doc", "g", "comp").distinct())
+    asks = scratch.table(whose.join(to, key).where("g > to AND NOT (lo = hi AND lo = comp)").select("doc", "to").distinct())
     counts = scratch.table(asks.groupBy("to").agg(F.ceil(F.count("*") / F.lit(QUERIES)).alias("parts")))
     unit = F.xxhash64("to", "part").alias("unit")
-    queries = asks.join(counts, "to").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).select(unit, F.lit(0).alias("side"), F.col("doc").alias("doc_id"), "comp")
-    members = place.withColumnRenamed("g", "to").join(counts, "to").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    return scratch.table(queries.unionByName(members.select(unit, F.lit(1).alias("side"), F.col("doc").alias("doc_id"), "comp")))
+    queries = asks.join(counts, "to").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).select(unit, F.lit(0).alias("side"), F.col("doc").alias("doc_id"))
+    members = dealt.withColumnRenamed("g", "to").join(counts, "to").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return scratch.table(queries.unionByName(members.select(unit, F.lit(1).alias("side"), F.col("doc").alias("doc_id"))))
 
 
-def _cross_links(held: DataFrame, dealt: DataFrame, components: DataFrame, bits: DataFrame, texts: DataFrame, k: int, num: int, den: int, forest: bool, scratch: Scratch) -> DataFrame | None:
-    """Links between groups, (a, b), or None where no joint token is left to ask for."""
-    place = scratch.table(dealt.join(components.toDF("doc", "component"), "doc", "left").select("doc", "g", F.coalesce("component", "doc").alias("comp")))
-    asked = _asked(held, place, scratch)
-    if asked.isEmpty():
-        return None
-    n = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = asked.join(bits, "doc_id").repartition(n, "unit").sortWithinPartitions("unit", "side", "doc_id")
-    named = scratch.table(rows.select("unit", "side", "doc_id", "comp", "n", "bits").mapInArrow(tidy(nominate(num, den, forest)), NOMINATED_SCHEMA).distinct())
-    scratch.release()
-    return scratch.table(_opened(named, texts, k, num, den, False).select("a", "b"))
+def _named(asked: DataFrame, components: DataFrame, bits: DataFrame, num: int, den: int, forest: bool, scratch: Scratch) -> DataFrame:
+    """(unit, side, doc_id, comp): the rows of ``asked`` whose bitmaps allow a link between components, or a forest of them."""
+    n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = asked.join(components.toDF("doc_id", "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).join(bits, "doc_id")
+    rows = rows.repartition(n, "unit").sortWithinPartitions("unit", "side", "doc_id").select("unit", "side", "doc_id", "comp", "n", "bits")
+    return scratch.table(rows.mapInArrow(tidy(nominate(num, den, forest)), NOMINATED_SCHEMA).distinct())
 
 
 def similar_groups(spark: SparkSession, docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -141,10 +151,10 @@ def similar_groups(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
         equal = s.table(_copies(signed, s))
         sizes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("doc")).agg(F.max("n").alias("n"), (F.min("set_key") < F.max("set_key")).alias("several"))
         gone = equal.select(F.col("a").alias("doc")).distinct().join(sizes.where("several").select("doc"), "doc", "left_anti")
-        held = _held(signatures, gone, s)
+        held = _held(signatures, gone.toDF("doc_id"), s)
         s.drop(signatures)  # the largest table; from here on only shared tokens count
         dealt = _dealt(held, sizes.select("doc", "n"), s)
-        texts = s.table(_some(texts, "doc_id", dealt.select(F.col("doc").alias("doc_id"))))
+        texts = s.table(_near(texts, "doc_id", dealt.select(F.col("doc").alias("doc_id"))))
         s.release()
         own = dealt.select(F.col("g").alias("unit"), F.lit(1).alias("side"), F.col("doc").alias("doc_id"))
         heads = dealt.select(F.col("g").alias("unit"), F.explode(F.array("near", "head")).alias("doc_id")).distinct().join(own.drop("side"), ["unit", "doc_id"], "left_anti")
@@ -153,10 +163,13 @@ def similar_groups(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
         s.release()
         bits = first.where("kind = 1").select(F.col("a").alias("doc_id"), "n", "bits")
         components = s.table(connected_components(first.where("kind = 0").select("a", "b").unionByName(equal), s))
-        for forest in (True, False):
-            links = _cross_links(held, dealt.select("doc", "g"), components, bits, texts, k, num, den, forest, s)
-            if links is None:
-                break
+        asked = _asked(held, dealt.select("doc", "g"), components, s)
+        named = _named(asked, components, bits, num, den, False, s)
+        many = named.count() > MOVES * dealt.count()  # then the likeliest links first, which leave fewer texts to move
+        for forest in (True, False) if many else (False,):
+            if many:
+                named = _named(asked, components, bits, num, den, forest, s)
+            links = s.table(_opened(named, texts, k, num, den, False).select("a", "b"))
             stars = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
             components = s.table(connected_components(stars.unionByName(links), s))
             s.release()

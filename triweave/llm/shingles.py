@@ -129,9 +129,9 @@ def sign(k: int, num: int, den: int):
 
 
 def bitmap(x: np.ndarray) -> np.ndarray:
-    """Parities of the shingles in twice as many places as there are shingles, or a little more: two sets
-    differ in at least as many shingles as their bitmaps, folded to one width, differ in places."""
-    width = max(64, 1 << (2 * len(x) - 1).bit_length())
+    """Parities of the shingles in one to two places a shingle: two sets differ in at least as many
+    shingles as their bitmaps, folded to one width, differ in places."""
+    width = max(64, 1 << max(len(x) - 1, 0).bit_length())
     odd = np.bincount((x & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
