@@ -9,15 +9,15 @@ Sets of hashed word shingles are joined exactly at a Jaccard threshold t, in cla
    set that has at most ``spare`` of them, as another block must then agree too.  Sets of one size class
    share a cut, as do those near the border of two classes, which no link skips.
 3. Groups: a document's head is the least document within two steps over joint tokens, and documents of
-   one head are a group, cut into groups of at most about DOCS documents and SHINGLES shingles.  Each text
-   is moved to its group once; the heads come along as queries to groups that they are not in.
-4. A group holds the union of its members' shingles: a query whose overlap with the union is below t times
-   its size can't be linked to a member and is not compared.  Of the others, parity bitmaps bound how many
-   shingles two sets differ in from below, and pairs that may still be linked are intersected exactly.
-5. Joint tokens that several components and several groups hold make queries to other groups.  Bitmaps
-   alone, of a few bits a shingle, go to those groups first, and only texts of pairs that they allow are
-   moved; where these are more than there are documents, first those of a spanning forest of the likeliest
-   links, then all that are left.
+   one head are a group, cut into groups of at most about DOCS documents and SHINGLES shingles; the heads
+   come along as queries to groups that they are not in.
+4. Parity bitmaps, of one or two bits a shingle, bound from below how many shingles two sets differ in.  They
+   alone go to the groups first, and only texts of pairs that may still be linked are moved to a group.  It
+   holds the union of its members' shingles: a query whose overlap with the union is below t times its size
+   can't be linked to a member and is not compared.  The others' pairs are intersected exactly.
+5. Joint tokens that several components and several groups hold make queries to other groups, which go the
+   same way; where their texts are more than there are documents, first those of a spanning forest of the
+   likeliest links, then all that are left.
 
 So no list of documents is expanded into pairs, no task's group grows with its class, texts move a bounded
 number of times but for near misses, and no link between different components is lost.  Shingles are
@@ -42,9 +42,9 @@ from triweave.operators.graph import connected_components
 from triweave.plans.scratch import Scratch
 
 #: Bounds of a group; queries that a group's copy answers; ranges of joint tokens handled one after the other; texts a document that go to other groups at once.
-DOCS, SHINGLES, QUERIES, PASSES, MOVES = 1024, 1 << 20, 4096, 4, 1
+DOCS, SHINGLES, QUERIES, PASSES, MOVES = 2048, 1 << 20, 4096, 4, 1
 #: Numbers of the filters that spare most rows a shuffle; a set that so large a share of all rows have is joined by broadcast.
-BUCKETS, HOT = 1 << 20, 4096
+BUCKETS, HOT = 1 << 21, 4096
 
 
 def _bucket(key: str) -> Column:
@@ -105,11 +105,13 @@ def _dealt(held: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(rows.join(places, ["head", "near"]).select("doc", F.when(F.col("parts") > 1, own).otherwise(shared).alias("g"), "near", "head"))
 
 
-def _opened(rows: DataFrame, texts: DataFrame, k: int, num: int, den: int, inner: bool) -> DataFrame:
-    """Links, and with ``inner`` bitmaps, of the units in ``rows`` (unit, side, doc_id, comp)."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    full = rows.join(texts, "doc_id").repartition(n, "unit").sortWithinPartitions("unit", "side", "doc_id")
-    return full.select("unit", "side", "doc_id", "comp", "text").mapInArrow(tidy(open_groups(k, num, den, inner)), OPENED_SCHEMA)
+def _opened(named: DataFrame, texts: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of the units in ``named`` (unit, side, doc_id, comp), whose texts alone are read and moved."""
+    n = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = named.join(_near(texts, "doc_id", named), "doc_id").repartition(n, "unit").sortWithinPartitions("unit", "side", "doc_id")
+    links = scratch.table(full.select("unit", "side", "doc_id", "comp", "text").mapInArrow(tidy(open_groups(k, num, den)), OPENED_SCHEMA))
+    scratch.release()
+    return links
 
 
 def _asked(held: DataFrame, dealt: DataFrame, components: DataFrame, scratch: Scratch) -> DataFrame:
@@ -130,13 +132,16 @@ def _asked(held: DataFrame, dealt: DataFrame, components: DataFrame, scratch: Sc
     unit = F.xxhash64("to", "part").alias("unit")
     queries = asks.join(counts, "to").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).select(unit, F.lit(0).alias("side"), F.col("doc").alias("doc_id"))
     members = dealt.withColumnRenamed("g", "to").join(counts, "to").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    return scratch.table(queries.unionByName(members.select(unit, F.lit(1).alias("side"), F.col("doc").alias("doc_id"))))
+    return scratch.table(queries.unionByName(members.select(unit, F.lit(2).alias("side"), F.col("doc").alias("doc_id"))))
 
 
-def _named(asked: DataFrame, components: DataFrame, bits: DataFrame, num: int, den: int, forest: bool, scratch: Scratch) -> DataFrame:
+def _named(asked: DataFrame, components: DataFrame | None, bits: DataFrame, num: int, den: int, forest: bool, scratch: Scratch) -> DataFrame:
     """(unit, side, doc_id, comp): the rows of ``asked`` whose bitmaps allow a link between components, or a forest of them."""
     n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = asked.join(components.toDF("doc_id", "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).join(bits, "doc_id")
+    rows = asked.withColumn("comp", F.col("doc_id"))
+    if components is not None:
+        rows = asked.join(components.toDF("doc_id", "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
+    rows = rows.join(bits, "doc_id")
     rows = rows.repartition(n, "unit").sortWithinPartitions("unit", "side", "doc_id").select("unit", "side", "doc_id", "comp", "n", "bits")
     return scratch.table(rows.mapInArrow(tidy(nominate(num, den, forest)), NOMINATED_SCHEMA).distinct())
 
@@ -147,32 +152,30 @@ def similar_groups(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Scratch(spark, "ngram-join") as s:
         signatures = s.table(texts.mapInArrow(tidy(sign(k, num, den)), SIGNATURE_SCHEMA))
-        signed = s.table(signatures.drop("sigs"))
+        signed = s.table(signatures.drop("sigs", "bits"))
         equal = s.table(_copies(signed, s))
         sizes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("doc")).agg(F.max("n").alias("n"), (F.min("set_key") < F.max("set_key")).alias("several"))
         gone = equal.select(F.col("a").alias("doc")).distinct().join(sizes.where("several").select("doc"), "doc", "left_anti")
         held = _held(signatures, gone.toDF("doc_id"), s)
-        s.drop(signatures)  # the largest table; from here on only shared tokens count
         dealt = _dealt(held, sizes.select("doc", "n"), s)
-        texts = s.table(_near(texts, "doc_id", dealt.select(F.col("doc").alias("doc_id"))))
+        ids = dealt.select(F.col("doc").alias("doc_id"))
+        bits = s.table(_near(signatures.where("bits IS NOT NULL").select("doc_id", "n", "bits"), "doc_id", ids))
+        s.drop(signatures)  # the largest table; from here on only shared tokens count
         s.release()
         own = dealt.select(F.col("g").alias("unit"), F.lit(1).alias("side"), F.col("doc").alias("doc_id"))
         heads = dealt.select(F.col("g").alias("unit"), F.explode(F.array("near", "head")).alias("doc_id")).distinct().join(own.drop("side"), ["unit", "doc_id"], "left_anti")
-        rows = own.unionByName(heads.withColumn("side", F.lit(0))).withColumn("comp", F.col("doc_id"))
-        first = s.table(_opened(rows, texts, k, num, den, True))
-        s.release()
-        bits = first.where("kind = 1").select(F.col("a").alias("doc_id"), "n", "bits")
-        components = s.table(connected_components(first.where("kind = 0").select("a", "b").unionByName(equal), s))
+        rows = own.unionByName(heads.select("unit", F.lit(0).alias("side"), "doc_id"))
+        links = _opened(_named(rows, None, bits, num, den, False, s), texts, k, num, den, s)
+        components = s.table(connected_components(links.unionByName(equal), s))
         asked = _asked(held, dealt.select("doc", "g"), components, s)
         named = _named(asked, components, bits, num, den, False, s)
         many = named.count() > MOVES * dealt.count()  # then the likeliest links first, which leave fewer texts to move
         for forest in (True, False) if many else (False,):
             if many:
                 named = _named(asked, components, bits, num, den, forest, s)
-            links = s.table(_opened(named, texts, k, num, den, False).select("a", "b"))
+            links = _opened(named, texts, k, num, den, s)
             stars = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
             components = s.table(connected_components(stars.unionByName(links), s))
-            s.release()
         signed = signed.select("doc_id", F.col("n").alias("n_shingles"))
         known = signed.where("doc_id IS NOT NULL").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         known = known.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

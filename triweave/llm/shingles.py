@@ -13,8 +13,8 @@ import xxhash
 from triweave.llm.words import mix, split_words, text_slices, word_hashes, worker_state
 
 SPARE, SPARE_SHARE, CLASS_RATIO = 2, 0.15, 1.5
-SIGNATURE_SCHEMA = "doc_id long, n long, set_key binary, sigs array<long>"
-OPENED_SCHEMA = "kind int, a long, b long, n long, bits binary"
+SIGNATURE_SCHEMA = "doc_id long, n long, set_key binary, sigs array<long>, bits binary"
+OPENED_SCHEMA = "a long, b long"
 NOMINATED_SCHEMA = "unit long, side int, doc_id long, comp long"
 #: Words of bitmaps compared at once.
 BLOCK = 1 << 20
@@ -101,12 +101,20 @@ class Cuts:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def bitmap(x: np.ndarray) -> np.ndarray:
+    """Parities of the shingles in one to two places a shingle: two sets differ in at least as many
+    shingles as their bitmaps, folded to one width, differ in places."""
+    width = max(64, 1 << max(len(x) - 1, 0).bit_length())
+    odd = np.bincount((x & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def sign(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, seen = worker_state(("cuts", num, den), lambda: Cuts(num, den)), set()
         for batch in batches:
             for part in text_slices(batch):
-                keys, sizes, sigs = [], [], []
+                keys, sizes, sigs, bits = [], [], [], []
                 for doc_id, x in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), k), strict=True):
                     key = xxhash.xxh3_128_digest(x.tobytes())
                     fresh = len(x) and doc_id is not None and key not in seen
@@ -115,27 +123,21 @@ def sign(k: int, num: int, den: int):
                     keys.append(key)
                     sizes.append(len(x))
                     sigs.append(cuts.signatures(x).view(np.int64) if fresh else np.zeros(0, np.int64))
+                    bits.append(bitmap(x).tobytes() if fresh else None)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.array(sizes, pa.int64()),
                         pa.array(keys, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sigs]))), pa.int32()), pa.array(np.concatenate(sigs))),
+                        pa.array(bits, pa.binary()),
                     ],
-                    names=["doc_id", "n", "set_key", "sigs"],
+                    names=["doc_id", "n", "set_key", "sigs", "bits"],
                 )
 
     return run
 
 
-def bitmap(x: np.ndarray) -> np.ndarray:
-    """Parities of the shingles in one to two places a shingle: two sets differ in at least as many
-    shingles as their bitmaps, folded to one width, differ in places."""
-    width = max(64, 1 << max(len(x) - 1, 0).bit_length())
-    odd = np.bincount((x & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
-
-
 def folded(bits: np.ndarray, words: int) -> np.ndarray:
     while len(bits) > words:
         bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
@@ -221,77 +223,72 @@ def shared(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
 
 
-def group_links(ids: list[int], sides: list[int], sets: list[np.ndarray], comps: list[int], inner: bool, num: int, den: int) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
+def group_links(ids: list[int], sides: list[int], sets: list[np.ndarray], comps: list[int], inner: bool, num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between a group's members (side 1) and queries (side 0), with ``inner``
-    among members too, and every row's bitmap.  A query is compared with the members only if its overlap with
+    among members too.  A query is compared with the members only if its overlap with
     the union of theirs allows a link with one.  Rows of one component need no link.
     """
     member = np.array(sides) == 1
-    bits = [bitmap(x) for x in sets]
     if not member.any():
-        return [], bits
+        return []
     union = np.unique(np.concatenate([x for x, m in zip(sets, member, strict=True) if m]))
     use = [i for i, x in enumerate(sets) if member[i] or den * shared(x, union) >= num * len(x)]
     if len(use) < 2:
-        return [], bits
+        return []
     at = np.array(use)
     forest, out = Forest([comps[i] for i in use]), []
-    first, second = near_pairs([len(sets[i]) for i in use], [bits[i] for i in use], member[at], forest.labels(), inner, num, den)
+    first, second = near_pairs([len(sets[i]) for i in use], [bitmap(sets[i]) for i in use], member[at], forest.labels(), inner, num, den)
     for i, j in across(forest, first, second):
         x, y = sets[use[i]], sets[use[j]]
         both = shared(x, y)
         if den * both >= num * (len(x) + len(y) - both):
             forest.merge(i, j)
             out.append((ids[use[i]], ids[use[j]]))
-    return out, bits
+    return out
 
 
-def open_groups(k: int, num: int, den: int, inner: bool):
-    """Links (kind 0: a, b) within runs of rows (unit, side, doc_id, comp, text) of one unit, and with ``inner``
-    the members' bitmaps (kind 1: a the document, b the unit)."""
+def open_groups(k: int, num: int, den: int):
+    """Links (a, b) within runs of rows (unit, side, doc_id, comp, text) of one unit; among members only in a unit
+    that is their own group, which side 1 tells from side 2, members of a group that is asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("plain", dict)
-        unit, rows, out, held = None, [], [], 0
+        unit, rows, out = None, [], []
 
-        def close() -> int:
+        def close() -> None:
             nonlocal rows
-            ids, sides, comps, sets = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [])
+            if len(rows) > 1:
+                ids, sides, comps, sets = (list(c) for c in zip(*rows, strict=True))
+                out.extend(group_links(ids, [min(x, 1) for x in sides], sets, comps, 1 in sides, num, den))
             rows = []
-            links, bits = group_links(ids, sides, sets, comps, inner, num, den) if ids else ([], [])
-            out.extend((0, a, b, None, None) for a, b in links)
-            if inner:
-                out.extend((1, i, unit, len(x), m.tobytes()) for i, side, x, m in zip(ids, sides, sets, bits, strict=True) if side == 1)
-                return sum(m.nbytes for m in bits)
-            return 0
 
         for batch in batches:
             for part in text_slices(batch):
                 sets = shingle_sets(part.column("text"), k)
                 for u, side, doc_id, comp, x in zip(*(part.column(c).to_pylist() for c in ("unit", "side", "doc_id", "comp")), sets, strict=True):
                     if u != unit:
-                        held += close()
+                        close()
                         unit = u
-                        if len(out) > 10_000 or held > 1 << 22:
-                            yield _opened(out)
-                            out, held = [], 0
+                        if len(out) > 10_000:
+                            yield _table(out, ["a", "b"], [pa.int64(), pa.int64()])
+                            out = []
                     if len(x):
                         rows.append((doc_id, side, comp, x))
         close()
-        yield _opened(out)
+        yield _table(out, ["a", "b"], [pa.int64(), pa.int64()])
 
     return run
 
 
-def _opened(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["kind", "a", "b", "n", "bits"])
+def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
 def nominate(num: int, den: int, forest_only: bool):
     """Of runs of rows (unit, side, doc_id, comp, n, bits) of one unit, those whose bitmaps allow a link across
-    components: for every such pair, or with ``forest_only`` for a spanning forest of the likeliest."""
+    components: for every such pair, or with ``forest_only`` for a spanning forest of the likeliest.  Sides as
+    in ``open_groups``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("plain", dict)
@@ -301,10 +298,10 @@ def nominate(num: int, den: int, forest_only: bool):
             nonlocal rows
             sides, ids, comps, sizes, bits = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [], [])
             rows = []
-            if len(set(sides)) < 2:
+            if len(ids) < 2:
                 return
             forest = Forest(comps)
-            first, second = near_pairs(sizes, [np.frombuffer(b, np.uint64) for b in bits], np.array(sides) == 1, forest.labels(), False, num, den)
+            first, second = near_pairs(sizes, [np.frombuffer(b, np.uint64) for b in bits], np.array(sides) > 0, forest.labels(), 1 in sides, num, den)
             if forest_only:
                 use = set()
                 for i, j in across(forest, first, second):
@@ -320,16 +317,10 @@ def nominate(num: int, den: int, forest_only: bool):
                     close()
                     unit = u
                     if len(out) > 10_000:
-                        yield _nominated(out)
+                        yield _table(out, ["unit", "side", "doc_id", "comp"], [pa.int64(), pa.int32(), pa.int64(), pa.int64()])
                         out = []
                 rows.append(row)
         close()
-        yield _nominated(out)
+        yield _table(out, ["unit", "side", "doc_id", "comp"], [pa.int64(), pa.int32(), pa.int64(), pa.int64()])
 
     return run
-
-
-def _nominated(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 4
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["unit", "side", "doc_id", "comp"])
