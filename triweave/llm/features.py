@@ -80,7 +80,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most
     kinds = ", ".join(f"{c} long" for c in columns)
     got = rows.mapInArrow(_featurise(["doc_id", *columns]), f"doc_id long, {kinds}, x binary").toPandas().sort_values("doc_id", kind="stable")
     got = got.drop_duplicates("doc_id")
-    return [np.frombuffer(x, "<u4").astype(np.int64) for x in got.x], {c: got[c].to_numpy(np.int64) for c in columns}
+    return [np.frombuffer(x, "<u4").view(np.int32) for x in got.x], {c: got[c].to_numpy(np.int64) for c in columns}
 
 
 class Sparse:
@@ -89,23 +89,25 @@ class Sparse:
 
     def __init__(self, rows: list[np.ndarray], y: np.ndarray, least: int = 4, score: float = 4.0):
         n = len(rows)
-        flat = np.concatenate([np.zeros(0, np.int64), *rows])
+        flat = np.concatenate([np.zeros(0, np.int32), *rows])  # 32 bits throughout: all labelled rows are in the driver
         seen = np.bincount(flat, minlength=1 << BITS)
         centred = y - y.mean()
-        moved = np.bincount(flat, np.repeat(centred, [len(r) for r in rows]), minlength=1 << BITS)
+        moved = np.bincount(flat, np.repeat(centred.astype(np.float32), [len(r) for r in rows]), minlength=1 << BITS)
         error = np.sqrt(np.maximum(seen * (1 - seen / max(n, 1)) * (centred**2).mean(), 1e-12))
         self.columns = np.flatnonzero((seen >= least) & (np.abs(moved) > score * error))
-        place = np.full(1 << BITS, -1)
+        place = np.full(1 << BITS, -1, np.int32)
         place[self.columns] = np.arange(len(self.columns))
         at = place[flat]
-        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        del flat
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
         keep = at >= 0
         row, at = row[keep], at[keep]
         self.shape = len(rows), len(self.columns)
         by_column = np.argsort(at, kind="stable")
         self.at, self.row = at, row[by_column]
-        self.row_starts = np.searchsorted(row, np.arange(len(rows)))
-        self.column_starts = np.searchsorted(at[by_column], np.arange(len(self.columns)))
+        self.row_starts = np.searchsorted(row, np.arange(len(rows), dtype=np.int32))
+        self.column_starts = np.searchsorted(at[by_column], np.arange(len(self.columns), dtype=np.int32))
+        del by_column
         self.empty = np.bincount(row, minlength=len(rows)) == 0
 
     def dot(self, w: np.ndarray) -> np.ndarray:

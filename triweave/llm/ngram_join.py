@@ -42,9 +42,9 @@ from triweave.operators.graph import connected_components
 from triweave.plans.scratch import Scratch
 
 #: Bounds of a group; queries that a group's copy answers; ranges of joint tokens handled one after the other; texts a document that go to other groups at once.
-DOCS, SHINGLES, QUERIES, PASSES, MOVES = 2048, 1 << 20, 4096, 4, 1
+DOCS, SHINGLES, QUERIES, PASSES, MOVES = 2048, 1 << 20, 4096, 10, 1
 #: Numbers of the filters that spare most rows a shuffle; a set that so large a share of all rows have is joined by broadcast.
-BUCKETS, HOT = 1 << 21, 4096
+BUCKETS, HOT = 1 << 20, 4096
 
 
 def _bucket(key: str) -> Column:
@@ -157,11 +157,10 @@ def similar_groups(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
         sizes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("doc")).agg(F.max("n").alias("n"), (F.min("set_key") < F.max("set_key")).alias("several"))
         gone = equal.select(F.col("a").alias("doc")).distinct().join(sizes.where("several").select("doc"), "doc", "left_anti")
         held = _held(signatures, gone.toDF("doc_id"), s)
-        dealt = _dealt(held, sizes.select("doc", "n"), s)
-        ids = dealt.select(F.col("doc").alias("doc_id"))
-        bits = s.table(_near(signatures.where("bits IS NOT NULL").select("doc_id", "n", "bits"), "doc_id", ids))
+        bits = s.table(_near(signatures.where("bits IS NOT NULL").select("doc_id", "n", "bits"), "doc_id", held.select(F.col("doc").alias("doc_id"))))
         s.drop(signatures)  # the largest table; from here on only shared tokens count
         s.release()
+        dealt = _dealt(held, sizes.select("doc", "n"), s)
         own = dealt.select(F.col("g").alias("unit"), F.lit(1).alias("side"), F.col("doc").alias("doc_id"))
         heads = dealt.select(F.col("g").alias("unit"), F.explode(F.array("near", "head")).alias("doc_id")).distinct().join(own.drop("side"), ["unit", "doc_id"], "left_anti")
         rows = own.unionByName(heads.select("unit", F.lit(0).alias("side"), "doc_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triweave.llm.features import BITS, Sparse, labelled_sample, sigmoid, sums, text_features
-from triweave.llm.words import text_slices, tidy, worker_state
+from triweave.llm.words import give_back, text_slices, tidy, worker_state
 
 MOST, GRADES, KEEP_GRADE, KEEP_TAIL, L1, STEPS = 20_000, 3, 1, 0.5, 5e-5, 120
 
@@ -90,7 +90,11 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRAD
 
 def quality_model(docs: DataFrame, labels: DataFrame, most: int = MOST) -> OrdinalModel:
     rows, y = labelled_sample(docs, labels, ["quality", "toxic"], most)
-    return fit_ordinal(rows, np.where(y["quality"] <= 0, 0, np.where(y["toxic"] > 0, 1, 2)))
+    give_back()
+    model = fit_ordinal(rows, np.where(y["quality"] <= 0, 0, np.where(y["toxic"] > 0, 1, 2)))
+    del rows
+    give_back()
+    return model
 
 
 def _score(shared, columns: list[str], keep_grade: int):

@@ -27,14 +27,19 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            gc.collect()
-            with contextlib.suppress(OSError, AttributeError):  # only where the C library can
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return tidied
 
 
+def give_back() -> None:
+    """Returns unused memory to the system."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _STATE: dict = {}
 
 
