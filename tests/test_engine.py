@@ -139,3 +139,24 @@ def test_incremental_collapse(spark, tmp_path):
     out = incremental_collapse(stream, ("a", "b", "c"), "w").writeStream.outputMode("complete").format("memory").queryName("collapsed").trigger(availableNow=True).option("checkpointLocation", os.path.join(tmp_path, "ck")).start()
     out.awaitTermination(60)
     assert sorted(map(tuple, spark.table("collapsed").collect())) == [(1, 1, 1, 5.0, 2), (1, 2, 1, 1.0, 1)]
+
+
+def test_a_run_that_ends_at_its_limit_says_so(spark):
+    from triweave.plans import solve
+    from triweave.plans.scratch import Scratch
+
+    rows = [(i, i % 7, i % 5, i % 3, 1.0 + i % 4, float((i * 37) % 11)) for i in range(60)]
+    tuples = spark.createDataFrame(rows, "tid long, a long, b long, c long, w double, y double")
+    levels = {(q, r[1 + q]) for r in rows for q in range(3)}
+    labels = spark.createDataFrame([(q, x, 0) for q, x in sorted(levels)], "q int, l long, component long")
+    with Scratch(spark, "limit") as s:
+        assert solve.distributed_pcg(tuples, labels, "y", s, 1e-10, 1)[1:] == (1, False)
+        x, iterations, met = solve.distributed_pcg(tuples, labels, "y", s, 1e-10, 100)
+        assert met and 1 < iterations < 100
+        x = s.table(x.withColumn("k", F.lit(0)))
+        assert solve.certify(tuples, x, ["y"]).first().ratio < 1e-8
+        short = x.where("NOT (q = 1 AND l = 2)")
+        assert solve.certify(tuples, short, ["y"]).first().ratio is None
+        from triweave.operators import linear
+
+        assert linear.normal_equation_certificate(tuples, short).first().ratio is None

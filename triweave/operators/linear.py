@@ -18,9 +18,9 @@ def factor_side(x: DataFrame, q: int, value: str = "x") -> DataFrame:
     return x.where(F.col("q") == q).select(F.col("l").alias(CODES[q]), F.col(value).alias(f"_{value}{q}"))
 
 
-def incidence(tuples: DataFrame, x: DataFrame, value: str = "x", name: str = "bx") -> DataFrame:
-    """Bx: ``tuples`` with x0[a] + x1[b] + x2[c]."""
-    joined = reduce(lambda t, q: t.join(factor_side(x, q, value), CODES[q]), range(3), tuples)
+def incidence(tuples: DataFrame, x: DataFrame, value: str = "x", name: str = "bx", how: str = "inner") -> DataFrame:
+    """Bx: ``tuples`` with x0[a] + x1[b] + x2[c]; with ``how`` left, null where a level has no coefficient."""
+    joined = reduce(lambda t, q: t.join(factor_side(x, q, value), CODES[q], how), range(3), tuples)
     return joined.withColumn(name, reduce(lambda p, q: p + F.col(f"_{value}{q}"), (1, 2), F.col(f"_{value}0"))).drop(*(f"_{value}{q}" for q in range(3)))
 
 
@@ -77,11 +77,13 @@ def gramian_entries(tuples: DataFrame) -> DataFrame:
 
 
 def normal_equation_certificate(tuples: DataFrame, x: DataFrame, target: str = "y") -> DataFrame:
-    """One row (residual_norm, rhs_norm, ratio): |B'W(y - Bx)| / |B'Wy|; 0/0 is 0, nonzero/0 is null."""
-    fitted = incidence(tuples, x)
-    parts = edges(fitted, (F.col("w") * (F.col(target) - F.col("bx"))).alias("r"), (F.col("w") * F.col(target)).alias("b")).groupBy("q", "l").agg(F.sum("r").alias("r"), F.sum("b").alias("b"))
-    norms = parts.agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("residual_norm"), F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("rhs_norm"))
-    return norms.withColumn("ratio", F.when(F.col("rhs_norm") > 0, F.col("residual_norm") / F.col("rhs_norm")).when(F.col("residual_norm") == 0, F.lit(0.0)))
+    """One row (residual_norm, rhs_norm, ratio): |B'W(y - Bx)| / |B'Wy|; 0/0 is 0, nonzero/0 is null, and so
+    is the ratio where a tuple lacks a coefficient."""
+    fitted = incidence(tuples, x, how="left")
+    parts = edges(fitted, (F.col("w") * (F.col(target) - F.col("bx"))).alias("r"), (F.col("w") * F.col(target)).alias("b")).groupBy("q", "l").agg(F.sum("r").alias("r"), F.sum("b").alias("b"), F.max(F.col("r").isNull()).alias("lacks"))
+    norms = parts.agg(F.max("lacks").alias("lacks"), F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("residual_norm"), F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("rhs_norm"))
+    ratio = F.when(F.col("lacks"), F.lit(None)).when(F.col("rhs_norm") > 0, F.col("residual_norm") / F.col("rhs_norm")).when(F.col("residual_norm") == 0, F.lit(0.0))
+    return norms.select("residual_norm", "rhs_norm", ratio.cast("double").alias("ratio"))
 
 
 def extrema_by_component(tuples: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Certified least squares, component by component, with a global fallback.
 
-Route of a component by its size: one tuple: y/3 to each level (DataFrame functions); up to ``dense_most``
-levels: dense pseudoinverse; up to ``task_tuples`` tuples: gated LSMR in one task with a screened
+Route of a component by its size (``singleton_solution`` gives those of one tuple without Python, y/3 to each
+level, where nothing else is asked for): up to ``dense_most`` levels: dense pseudoinverse; up to ``task_tuples`` tuples: gated LSMR in one task with a screened
 hierarchy, else a fixed preconditioner; beyond: conjugate gradients whose vectors are tables.  Each column
 is then certified on the original problem; only those above the tolerance are solved again.
 """
@@ -98,8 +98,8 @@ def singleton_solution(tuples: DataFrame, labels: DataFrame, targets: list[str])
     return rows.select("component", "q", "l", F.posexplode("ys").alias("k", "y")).select("q", "l", "k", (F.col("y") / 3).alias("x"), "component")
 
 
-def distributed_pcg(tuples: DataFrame, labels: DataFrame, target: str, scratch: Scratch, rel: float = 1e-8, most: int = 200) -> tuple[DataFrame, int]:
-    """(coefficients (q, l, x), iterations): diagonal PCG for components beyond a task; all vectors are tables.
+def distributed_pcg(tuples: DataFrame, labels: DataFrame, target: str, scratch: Scratch, rel: float = 1e-8, most: int = 200) -> tuple[DataFrame, int, bool]:
+    """(coefficients (q, l, x), iterations, whether the residual fell below ``rel``): diagonal PCG for components beyond a task; all vectors are tables.
 
     Each iteration is one join and group-by over the tuples and one small aggregate; tables are written to
     the shared folder, so a lost executor costs no earlier iteration.
@@ -127,20 +127,20 @@ def distributed_pcg(tuples: DataFrame, labels: DataFrame, target: str, scratch:
         for old in (state, joined, moved):
             scratch.drop(old)
         state, now = new, after
-    return comp.project_structural(state.select("q", "l", "x"), labels), k
+    return comp.project_structural(state.select("q", "l", "x"), labels), k, not now.size or now.size <= rel * start
 
 
 def certify(tuples: DataFrame, coefficients: DataFrame, targets: list[str]) -> DataFrame:
-    """(k, residual_norm, rhs_norm, ratio) of every column, in one job."""
+    """(k, residual_norm, rhs_norm, ratio) of every column, in one job; ratio is null where a tuple lacks a coefficient."""
     long = tuples.select("tid", "a", "b", "c", "w", F.posexplode(F.array(*targets)).alias("k", "y"))
     fitted = long
     for q, c in enumerate(("a", "b", "c")):
-        fitted = fitted.join(coefficients.where(F.col("q") == q).select("k", F.col("l").alias(c), F.col("x").alias(f"x{q}")), ["k", c])
+        fitted = fitted.join(coefficients.where(F.col("q") == q).select("k", F.col("l").alias(c), F.col("x").alias(f"x{q}")), ["k", c], "left")
     fitted = fitted.withColumn("bx", F.col("x0") + F.col("x1") + F.col("x2"))
     parts = fitted.select("k", F.posexplode(F.array("a", "b", "c")).alias("q", "l"), (F.col("w") * (F.col("y") - F.col("bx"))).alias("r"), (F.col("w") * F.col("y")).alias("b"))
-    sums = parts.groupBy("k", "q", "l").agg(F.sum("r").alias("r"), F.sum("b").alias("b"))
-    norms = sums.groupBy("k").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("residual_norm"), F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("rhs_norm"))
-    return norms.withColumn("ratio", F.when(F.col("rhs_norm") > 0, F.col("residual_norm") / F.col("rhs_norm")).when(F.col("residual_norm") == 0, F.lit(0.0)))
+    sums = parts.groupBy("k", "q", "l").agg(F.sum("r").alias("r"), F.sum("b").alias("b"), F.max(F.col("r").isNull()).alias("lacks"))
+    norms = sums.groupBy("k").agg(F.max("lacks").alias("lacks"), F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("residual_norm"), F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("rhs_norm"))
+    return norms.select("k", "residual_norm", "rhs_norm", F.when(F.col("lacks"), F.lit(None)).when(F.col("rhs_norm") > 0, F.col("residual_norm") / F.col("rhs_norm")).when(F.col("residual_norm") == 0, F.lit(0.0)).cast("double").alias("ratio"))
 
 
 def fit(tuples: DataFrame, labels: DataFrame, targets: list[str], scratch: Scratch, options: Options = Options(), accept: float = 1e-8) -> tuple[DataFrame, DataFrame]:
@@ -156,15 +156,15 @@ def fit(tuples: DataFrame, labels: DataFrame, targets: list[str], scratch: Scrat
         rest = tuples.join(labels.where("q = 0").join(giant, "component").select(F.col("l").alias("a")), "a", "left_anti")
         parts = solve_components(rest, labels, targets, options)
         for k, t in enumerate(targets):
-            x, its = distributed_pcg(scratch.table(large), labels.join(giant, "component", "left_semi"), t, scratch, options.tolerance)
-            parts = parts.unionByName(x.join(labels, ["q", "l"]).select("q", "l", F.lit(k).alias("k"), "x", "component", F.lit("distributed").alias("route"), F.lit(its).alias("iterations"), F.lit(True).alias("native_converged")))
+            x, its, met = distributed_pcg(scratch.table(large), labels.join(giant, "component", "left_semi"), t, scratch, options.tolerance)
+            parts = parts.unionByName(x.join(labels, ["q", "l"]).select("q", "l", F.lit(k).alias("k"), "x", "component", F.lit("distributed").alias("route"), F.lit(its).alias("iterations"), F.lit(met).alias("native_converged")))
         coefficients = scratch.table(parts)
     certificates = scratch.table(certify(tuples, coefficients, targets))
     failed = [r.k for r in certificates.where(F.col("ratio").isNull() | (F.col("ratio") > accept) | F.isnan("ratio")).collect()]  # at most 32
     fallback = None
     for k in failed:
-        x, its = distributed_pcg(tuples, labels, targets[k], scratch, min(options.tolerance, accept / 10), options.iterations)
-        part = x.join(labels, ["q", "l"]).select("q", "l", F.lit(k).alias("k"), "x", "component", F.lit("global").alias("route"), F.lit(its).alias("iterations"), F.lit(True).alias("native_converged"))
+        x, its, met = distributed_pcg(tuples, labels, targets[k], scratch, min(options.tolerance, accept / 10), options.iterations)
+        part = x.join(labels, ["q", "l"]).select("q", "l", F.lit(k).alias("k"), "x", "component", F.lit("global").alias("route"), F.lit(its).alias("iterations"), F.lit(met).alias("native_converged"))
         fallback = part if fallback is None else fallback.unionByName(part)
     if fallback is not None:
         coefficients = scratch.table(coefficients.where(~F.col("k").isin(failed)).unionByName(fallback))
