@@ -1,9 +1,9 @@
 """Certified least squares, component by component, with a global fallback.
 
-Route of a component by its size (``singleton_solution`` gives those of one tuple without Python, y/3 to each
-level, where nothing else is asked for): up to ``dense_most`` levels: dense pseudoinverse; up to ``task_tuples`` tuples: gated LSMR in one task with a screened
-hierarchy, else a fixed preconditioner; beyond: conjugate gradients whose vectors are tables.  Each column
-is then certified on the original problem; only those above the tolerance are solved again.
+Route of a component by its size: up to ``dense_most`` levels: dense pseudoinverse; up to ``task_tuples``
+tuples: gated LSMR in one task with a screened hierarchy, else a fixed preconditioner; beyond: conjugate
+gradients whose vectors are tables.  Each column is then certified on the original problem; only those above
+the tolerance are solved again.  ``singleton_solution`` gives components of one tuple without Python.
 """
 
 from __future__ import annotations
