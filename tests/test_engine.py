@@ -11,7 +11,7 @@ import __spark_entry__
 from triweave.functions import ranks
 from triweave.local.problem import Local
 from triweave.model import Design, ModelError
-from triweave.operators import components, encode, linear, transfer
+from triweave.operators import components, encode, linear, smoothers, transfer
 from triweave.operators.graph import connected_components
 from triweave.plans import queries, solve
 from triweave.plans.scratch import Scratch
@@ -20,7 +20,7 @@ from triweave.streaming.incremental import incremental_collapse
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["collapse_tuples", "canonical_tuples", "tuple_group_offsets", "weight_frame_observations", "gramian_apply", "residual", "dense_gramian_entries", "component_labels", "structural_projection", "kernel_rank_nullity", "galerkin_action", "coarse_weight_replay", "pair_signed_laplacian", "pair_components", "neighborhood_candidates", "adjacent_pair_candidates", "map_forward_sweep", "fitted_balanced_automatic", "fitted_nested_distributed"]
+CHECKED = ["collapse_tuples", "canonical_tuples", "tuple_group_offsets", "weight_frame_observations", "gramian_apply", "residual", "dense_gramian_entries", "component_labels", "structural_projection", "kernel_rank_nullity", "galerkin_action", "coarse_weight_replay", "pair_signed_laplacian", "pair_components", "neighborhood_candidates", "adjacent_pair_candidates", "map_forward_sweep", "map_symmetric_sweep", "weighted_adjoint", "rhs_from_targets", "jacobi_action", "compatible_projection", "gramian_image", "hierarchy_weight_replay", "component_rhs", "fitted_balanced_automatic", "fitted_nested_distributed"]
 
 
 @pytest.fixture(scope="module")
@@ -156,3 +156,12 @@ def test_a_run_that_ends_at_its_limit_says_so(spark):
         short = x.where("NOT (q = 1 AND l = 2)")
         assert solve.certify(tuples, short, ["y"]).first().ratio is None
         assert linear.normal_equation_certificate(tuples, short).first().ratio is None
+
+
+def test_jacobi_refuses_relaxation_that_may_diverge(spark):
+    t = spark.createDataFrame([(0, 0, 0, 0, 2.0)], "tid long, a int, b int, c int, w double")
+    r = spark.createDataFrame([(0, 0, 1.0), (1, 0, -1.0), (2, 0, 4.0)], "q int, l int, x double")
+    assert sorted(map(tuple, smoothers.jacobi(t, r).collect())) == [(0, 0, 0.25), (1, 0, -0.25), (2, 0, 1.0)]
+    for omega in (0.0, 2 / 3, -1.0):
+        with pytest.raises(ModelError):
+            smoothers.jacobi(t, r, omega)

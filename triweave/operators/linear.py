@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triweave.operators.encode import CODES
+from triweave.plans.scratch import Scratch
 
 
 def factor_side(x: DataFrame, q: int, value: str = "x") -> DataFrame:
@@ -40,9 +41,10 @@ def weighted_incidence(tuples: DataFrame, x: DataFrame) -> DataFrame:
     return out.withColumn("bx", F.sqrt("w") * F.col("bx"))
 
 
-def weighted_adjoint(tuples: DataFrame, value: Column) -> DataFrame:
-    """B' sqrt(W) v."""
-    return adjoint(tuples, F.sqrt("w") * value)
+def weighted_adjoint(tuples: DataFrame, value: Column, exact: str | None = None) -> DataFrame:
+    """B' sqrt(W) v; with a decimal type ``exact``, products are rounded to it and summed without an order."""
+    v = F.sqrt("w") * value
+    return adjoint(tuples, v.cast(exact) if exact else v)
 
 
 def gramian(tuples: DataFrame, x: DataFrame, name: str = "gx") -> DataFrame:
@@ -50,6 +52,12 @@ def gramian(tuples: DataFrame, x: DataFrame, name: str = "gx") -> DataFrame:
     return adjoint(incidence(tuples, x), F.col("w") * F.col("bx"), name)
 
 
+def gramian_with_image(tuples: DataFrame, x: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(image, gx): the tuple image WBx, written once as (tid, a, b, c, image), and B' of it."""
+    image = scratch.table(incidence(tuples, x).select("tid", *CODES, (F.col("w") * F.col("bx")).alias("image")))
+    return image, adjoint(image, F.col("image"), "gx")
+
+
 def energy(tuples: DataFrame, x: DataFrame) -> DataFrame:
     """x'Gx, one row."""
     return incidence(tuples, x).agg(F.sum(F.col("w") * F.col("bx") * F.col("bx")).alias("energy"))
@@ -60,6 +68,17 @@ def rhs(tuples: DataFrame, target: str = "y") -> DataFrame:
     return adjoint(tuples, F.col("w") * F.col(target), "rhs")
 
 
+def rhs_from_sums(tuples: DataFrame, weighted: str = "wy") -> DataFrame:
+    """B'Wy from weighted sums kept with the tuples."""
+    return adjoint(tuples, F.col(weighted), "rhs")
+
+
+def component_rhs(tuples: DataFrame, labels: DataFrame, component: int, target: str = "y") -> DataFrame:
+    """B'Wy of one component's tuples; a tuple lies in the component of its first level."""
+    own = labels.where((F.col("q") == 0) & (F.col("component") == component)).select(F.col("l").alias("a"))
+    return rhs(tuples.join(own, "a", "left_semi"), target)
+
+
 def residual(tuples: DataFrame, x: DataFrame, b: DataFrame) -> DataFrame:
     """b - Gx; missing entries count as 0."""
     return b.join(gramian(tuples, x), ["q", "l"], "full_outer").select("q", "l", (F.coalesce("rhs", F.lit(0)) - F.coalesce("gx", F.lit(0))).alias("r"))

@@ -63,6 +63,14 @@ def replay(weights: DataFrame, plan: DataFrame) -> DataFrame:
     return weights.select("tid", "w").join(plan, "tid").groupBy("ctid").agg(F.sum("w").alias("w"))
 
 
+def replay_levels(weights: DataFrame, plans: list[DataFrame]) -> list[DataFrame]:
+    """(tid, w) of every level, finest first: one generation of weights through all plans of a hierarchy."""
+    frames = [weights.select("tid", "w")]
+    for plan in plans:
+        frames.append(replay(frames[-1], plan).withColumnRenamed("ctid", "tid"))
+    return frames
+
+
 class HierarchyBuilder:
     """Levels of tuples and maps with limits; a refused level leaves those before it."""
 

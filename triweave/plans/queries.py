@@ -12,7 +12,7 @@ from triweave.model import Design, Topology
 from triweave.operators import candidates as cand
 from triweave.operators import components as comp
 from triweave.operators import encode as enc
-from triweave.operators import linear, pairs, transfer
+from triweave.operators import linear, pairs, smoothers, transfer
 from triweave.plans import solve
 from triweave.plans.scratch import Scratch
 from triweave.sources.designs import observations, row_bound, sql_prelude
@@ -135,9 +135,8 @@ def weighted_incidence(d: Loaded) -> DataFrame:
 
 @query("weighted_adjoint", "D1", "SELECT q, l, round(SUM(CAST(sqrt(w) * (tid % 11 - 5) AS DECIMAL(28, 12)))::DOUBLE, 5) AS x FROM e GROUP BY q, l")
 def weighted_adjoint(d: Loaded) -> DataFrame:
-    v = F.sqrt("w") * (F.col("tid") % 11 - 5)
-    out = linear.edges(d.tuples, v.cast("decimal(28,12)").alias("v")).groupBy("q", "l").agg(F.sum("v").cast("double").alias("x"))
-    return out.withColumn("x", F.round("x", 5))
+    out = linear.weighted_adjoint(d.tuples, F.col("tid") % 11 - 5, "decimal(28,12)")
+    return out.withColumn("x", F.round(F.col("x").cast("double"), 5))
 
 
 @query("gramian_apply", "D1", "SELECT q, l, SUM(e.w * bx) AS gx FROM e JOIN (SELECT tid, bx FROM bx) USING (tid) GROUP BY q, l")
@@ -146,6 +145,13 @@ def gramian_apply(d: Loaded) -> DataFrame:
     return linear.gramian(t, d.x(t))
 
 
+@query("gramian_image", "D1", "SELECT CAST(tid AS BIGINT) AS tid, w * bx AS image FROM bx")
+def gramian_image(d: Loaded) -> DataFrame:
+    t = d.tuples
+    with Scratch(d.spark, "image") as s:
+        return s.keep(linear.gramian_with_image(t, d.x(t), s)[0].select("tid", "image"))
+
+
 @query("energy", "D1", "SELECT SUM(w * bx * bx) AS energy FROM bx")
 def energy(d: Loaded) -> DataFrame:
     t = d.tuples
@@ -154,7 +160,7 @@ def energy(d: Loaded) -> DataFrame:
 
 @query("rhs_from_targets", "D1", "SELECT q, l, CAST(SUM(wy) AS DOUBLE) AS rhs FROM e GROUP BY q, l")
 def rhs_from_targets(d: Loaded) -> DataFrame:
-    return linear.edges(d.tuples, "wy").groupBy("q", "l").agg(F.sum("wy").cast("double").alias("rhs"))
+    return linear.rhs_from_sums(d.tuples).withColumn("rhs", F.col("rhs").cast("double"))
 
 
 @query("residual", "D1", "SELECT q, l, SUM(e.w * (e.tid % 11 - 5)) - SUM(e.w * bx) AS r FROM e JOIN (SELECT tid, bx FROM bx) USING (tid) GROUP BY q, l")
@@ -238,6 +244,11 @@ def structural_defect(d: Loaded) -> DataFrame:
     return _labelled(d, lambda t, labels, s: comp.structural_defect(d.x(t), labels))
 
 
+@query("component_rhs", "D4", " SELECT q, l, SUM(w * (tid % 11 - 5)) AS rhs FROM e WHERE a = 3 GROUP BY q, l")
+def component_rhs(d: Loaded) -> DataFrame:
+    return _labelled(d, lambda t, labels, s: linear.component_rhs(t.withColumn("y", (F.col("tid") % 11 - 5).cast("double")), labels, 3))
+
+
 @query("component_local_codes", "D4", _NESTED + " SELECT q, l, component, CAST(row_number() OVER (PARTITION BY component, q ORDER BY l) - 1 AS INTEGER) AS local FROM comp")
 def component_local_codes(d: Loaded) -> DataFrame:
     return _labelled(d, lambda t, labels, s: comp.local_codes(labels))
@@ -316,6 +327,18 @@ def coarse_weight_replay(d: Loaded) -> DataFrame:
     return transfer.replay(t.select("tid", F.col("w2").alias("w")), transfer.coarse_map(t, m, coarse))
 
 
+@query("hierarchy_weight_replay", "D1", ", m AS (SELECT a // 4 AS a, b // 4 AS b, c // 4 AS c, SUM(w2) AS w2 FROM t GROUP BY 1, 2, 3) SELECT CAST(row_number() OVER (ORDER BY a, b, c) - 1 AS BIGINT) AS tid, w2 AS w FROM m")
+def hierarchy_weight_replay(d: Loaded) -> DataFrame:
+    """The second generation of weights on the third level, through the plans of two halvings."""
+    with Scratch(d.spark, "replay") as s:
+        levels, plans = [s.table(d.tuples)], []
+        for _ in range(2):
+            m = transfer.halving_map(d.levels(levels[-1]))
+            levels.append(s.table(enc.canonical_tuples(transfer.coarsen(levels[-1], m), d.bound)))
+            plans.append(s.table(transfer.coarse_map(levels[-2], m, levels[-1])))
+        return s.keep(transfer.replay_levels(levels[0].select("tid", F.col("w2").alias("w")), plans)[-1])
+
+
 # --- pairs ------------------------------------------------------------------------------------------------
 
 _PAIRS = ", pm AS (SELECT '12' AS pair, a AS u, b AS v, SUM(w) AS w FROM t GROUP BY a, b UNION ALL SELECT '13', a, c, SUM(w) FROM t GROUP BY a, c UNION ALL SELECT '23', b, c, SUM(w) FROM t GROUP BY b, c), pd AS (SELECT pair, 0 AS side, u AS l, SUM(w) AS d FROM pm GROUP BY pair, u UNION ALL SELECT pair, 1, v, SUM(w) FROM pm GROUP BY pair, v)"
@@ -373,30 +396,32 @@ def greedy_matching_parents(d: Loaded) -> DataFrame:
 @query("jacobi_action", "D2", ", dg AS (SELECT q, l, SUM(w) AS d FROM e GROUP BY q, l) SELECT q, l, round(0.5 * (l % 7 - 3) / d, 12) AS x FROM dg")
 def jacobi_action(d: Loaded) -> DataFrame:
     t = d.tuples
-    return d.x(t).join(linear.degrees(t), ["q", "l"]).select("q", "l", F.round(0.5 * F.col("x") / F.col("d"), 12).alias("x"))
+    return smoothers.jacobi(t, d.x(t)).withColumn("x", F.round("x", 12))
 
 
-@query(
-    "map_forward_sweep",
-    "D2",
-    """, d0 AS (SELECT a, SUM(w) AS d FROM t GROUP BY a), d1 AS (SELECT b, SUM(w) AS d FROM t GROUP BY b), d2 AS (SELECT c, SUM(w) AS d FROM t GROUP BY c),
+_SWEEP = """, d0 AS (SELECT a, SUM(w) AS d FROM t GROUP BY a), d1 AS (SELECT b, SUM(w) AS d FROM t GROUP BY b), d2 AS (SELECT c, SUM(w) AS d FROM t GROUP BY c),
     z0 AS (SELECT a, (a % 7 - 3) / d AS z FROM d0), z1 AS (SELECT b, (ANY_VALUE(b % 7 - 3) - SUM(t.w * z0.z)) / ANY_VALUE(d1.d) AS z FROM t JOIN z0 USING (a) JOIN d1 USING (b) GROUP BY b),
-    z2 AS (SELECT c, (ANY_VALUE(c % 7 - 3) - SUM(t.w * (z0.z + z1.z))) / ANY_VALUE(d2.d) AS z FROM t JOIN z0 USING (a) JOIN z1 USING (b) JOIN d2 USING (c) GROUP BY c)
-    SELECT 0 AS q, a AS l, round(z, 9) AS x FROM z0 UNION ALL SELECT 1, b, round(z, 9) FROM z1 UNION ALL SELECT 2, c, round(z, 9) FROM z2""",
-)
+    z2 AS (SELECT c, (ANY_VALUE(c % 7 - 3) - SUM(t.w * (z0.z + z1.z))) / ANY_VALUE(d2.d) AS z FROM t JOIN z0 USING (a) JOIN z1 USING (b) JOIN d2 USING (c) GROUP BY c)"""
+
+
+@query("map_forward_sweep", "D2", _SWEEP + " SELECT 0 AS q, a AS l, round(z, 9) AS x FROM z0 UNION ALL SELECT 1, b, round(z, 9) FROM z1 UNION ALL SELECT 2, c, round(z, 9) FROM z2")
 def map_forward_sweep(d: Loaded) -> DataFrame:
-    """Block-lower solve over the factors: each factor's levels at once, from those before it."""
     t = d.tuples
-    r, deg = d.x(t), linear.degrees(t)
-    out, seen = None, t.withColumn("z", F.lit(0.0))
-    for q, c in enumerate(enc.CODES):
-        own = r.join(deg, ["q", "l"]).where(F.col("q") == q).select(F.col("l").alias(c), "x", "d")
-        rest = seen.groupBy(c).agg(F.sum(F.col("w") * F.col("z")).alias("s"))
-        z = own.join(rest, c).select(c, ((F.col("x") - F.col("s")) / F.col("d")).alias("zq"))
-        seen = seen.join(z, c).withColumn("z", F.col("z") + F.col("zq")).drop("zq")
-        part = z.select(F.lit(q).alias("q"), F.col(c).alias("l"), F.round("zq", 9).alias("x"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return smoothers.block_solve(t, d.x(t)).withColumn("x", F.round("x", 9))
+
+
+@query(
+    "map_symmetric_sweep",
+    "D2",
+    _SWEEP
+    + """, y1 AS (SELECT b, ANY_VALUE(z1.z) - SUM(t.w * z2.z) / ANY_VALUE(d1.d) AS z FROM t JOIN z2 USING (c) JOIN z1 USING (b) JOIN d1 USING (b) GROUP BY b),
+    y0 AS (SELECT a, ANY_VALUE(z0.z) - SUM(t.w * (z2.z + y1.z)) / ANY_VALUE(d0.d) AS z FROM t JOIN z2 USING (c) JOIN y1 USING (b) JOIN z0 USING (a) JOIN d0 USING (a) GROUP BY a)
+    SELECT 0 AS q, a AS l, round(z, 8) AS x FROM y0 UNION ALL SELECT 1, b, round(z, 8) FROM y1 UNION ALL SELECT 2, c, round(z, 8) FROM z2""",
+)
+def map_symmetric_sweep(d: Loaded) -> DataFrame:
+    with Scratch(d.spark, "sweep") as s:
+        t = s.table(d.tuples)
+        return s.keep(smoothers.symmetric_map(t, d.x(t)).withColumn("x", F.round("x", 8)))
 
 
 @query(
@@ -405,12 +430,8 @@ def map_forward_sweep(d: Loaded) -> DataFrame:
     ", dg AS (SELECT q, l, CAST(l % 7 - 3 AS DOUBLE) AS x, SUM(w) AS d FROM e GROUP BY q, l) SELECT q, l, round(x - SUM(d * x) OVER w / SUM(d) OVER w, 9) AS x FROM dg WINDOW w AS (PARTITION BY q, l // 2)",
 )
 def compatible_projection(d: Loaded) -> DataFrame:
-    from pyspark.sql import Window as W
-
     t = d.tuples
-    own = W.partitionBy("q", F.floor(F.col("l") / 2))  # two levels at most
-    z = d.x(t).join(linear.degrees(t), ["q", "l"])
-    return z.select("q", "l", F.round(F.col("x") - F.sum(F.col("d") * F.col("x")).over(own) / F.sum("d").over(own), 9).alias("x"))
+    return smoothers.compatible_projection(t, d.x(t), transfer.halving_map(d.levels(t))).withColumn("x", F.round("x", 9))
 
 
 # --- solves -----------------------------------------------------------------------------------------------
