@@ -21,10 +21,10 @@ def random_problem(seed=0, n=(12, 9, 7), e=150):
     return Local.from_observations(np.column_stack([rng.integers(0, k, e) for k in n]), rng.integers(1, 9, e).astype(float))
 
 
-def test_sample_collapse():
-    keys = np.array([(0, 0, 0), (0, 0, 1), (0, 1, 0), (1, 0, 0), (1, 1, 1), (1, 1, 1)])
-    p = Local.from_observations(keys, np.array([1, 2, 1.5, 0.5, 3, 4]))
-    assert len(p.w) == 5 and p.keys[-1].tolist() == [1, 1, 1] and p.w[-1] == 7
+def test_repeated_tuples_collapse():
+    keys = np.array([(2, 0, 1), (0, 1, 0), (2, 0, 1), (1, 1, 1), (0, 1, 0), (2, 0, 1)])
+    p = Local.from_observations(keys, 2.0 ** np.arange(6))
+    assert p.keys.tolist() == [[0, 1, 0], [1, 1, 1], [2, 0, 1]] and p.w.tolist() == [18, 8, 37]
     b = rows(p)
     np.testing.assert_allclose(p.dense(), b.T @ np.diag(p.w) @ b)
 
