@@ -159,8 +159,15 @@ def jaccard_groups(texts, k, num, den):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80), (1, 50)])
-def test_ngram_join_equals_brute_force(spark, k, num):
+def shuffled(spark, rows, parts, seed=5):
+    """The rows in no order of doc_id, in so many partitions."""
+    rows = list(rows)
+    random.Random(seed).shuffle(rows)
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+
+
+@pytest.mark.parametrize(("k", "num", "parts"), [(3, 90, 1), (5, 80, 2), (1, 50, 6)])
+def test_ngram_join_equals_brute_force(spark, k, num, parts):
     rng, texts = random.Random(k), {}
     for family in range(12):
         base = [f"w{rng.randrange(60)}" for _ in range(rng.choice([1, 2, 4, 9, 15, 40, 120, 300]))]
@@ -169,11 +176,25 @@ def test_ngram_join_equals_brute_force(spark, k, num):
             for _ in range(rng.choice([0, 0, 1, 1, 2, len(base) // 20, len(base) // 10])):
                 text[rng.randrange(len(text))] = f"w{rng.randrange(80)}"
             texts[family * 100 + copy] = " ".join(text)
-    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    frame = shuffled(spark, texts.items(), parts)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_groups(spark, frame, k, (num, 100)).collect()}
     assert got == jaccard_groups(texts, k, num, 100)
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_copies_stand_for_their_set_in_any_order(spark, parts):
+    rng, rows, near = random.Random(9), [], {}
+    for family in range(6):
+        text = [f"w{rng.randrange(5000)}" for _ in range(80)]
+        other = [*text[:-1], "changed"]
+        near[family * 10 + 3] = family * 10 + 1
+        rows += [(family * 10 + 2, " ".join(text)), (family * 10 + 1, " ".join(text)), (family * 10 + 3, " ".join(other))]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(spark, frame, 5, (80, 100)).collect()}
+    assert got == {i: i // 10 * 10 + 1 for i, _ in rows} and all(got[a] == b for a, b in near.items())
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(spark, frame).collect()) == [f * 10 + 1 for f in range(6)]
+
+
 def test_ngram_join_across_small_groups_and_doubled_rows(spark, monkeypatch):
     rng = random.Random(1)
     base = [f"w{i}" for i in range(80)]

@@ -2,7 +2,8 @@
 
 Sets of hashed word shingles are joined exactly at a Jaccard threshold t, in classes of linked documents:
 
-1. Equal sets are one node.  A task keeps the signatures of the first document only of each set it meets.
+1. Equal sets are one node, the least document that has the set.  A task signs the first document only of each set
+   that it meets, and what it signed then goes under that least document, so no order of rows matters.
 2. Signatures: linked sets of sizes a and b differ in at most H = (a + b)(1 - t)/(1 + t) shingles.  The
    hash range is cut into H + 1 + spare blocks, so at least 1 + spare blocks of two linked sets hold the
    same shingles: a block with its shingles is a joint token.  Blocks of few shingles are left out by a
@@ -57,23 +58,27 @@ def _near(rows: DataFrame, key: str, keys: DataFrame, how: str = "left_semi") ->
     return rows.join(F.broadcast(buckets), _bucket(key) == F.col("_bucket"), how)
 
 
-def _copies(signed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): documents with the least one of equal set, where that is another."""
+def _copies(signed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(set_key, b, c): sets of several rows, with their least document and number of rows; (a, b): the other documents of those."""
     rows = signed.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("a"), "set_key")
-    keys = scratch.table(rows.groupBy("set_key").agg(F.min("a").alias("b"), F.max("a").alias("last"), F.count("*").alias("c")).where("b < last"))
+    keys = scratch.table(rows.groupBy("set_key").agg(F.min("a").alias("b"), F.count("*").alias("c")).where("c > 1"))
     hot = F.col("c") * HOT >= signed.count()  # at most HOT sets
     marked = rows.join(F.broadcast(keys.where(hot).select("set_key", "b")), "set_key", "left")
     others = marked.where("b IS NULL").drop("b").join(keys.where(~hot).select("set_key", "b"), "set_key")
-    return marked.where("b IS NOT NULL").select("a", "b").unionByName(others.select("a", "b")).where("a <> b")
+    return keys, marked.where("b IS NOT NULL").select("a", "b").unionByName(others.select("a", "b")).where("a <> b")
 
 
-def _held(signatures: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
-    """(sig, doc) of joint tokens that several documents hold; ``gone``: documents that another stands for."""
-    gone = scratch.table(gone)
-    signed = signatures.where("size(sigs) > 0").select("doc_id", "sigs")
-    rest = scratch.table(_near(signed, "doc_id", gone).join(gone, "doc_id", "left_anti"))
-    signed = _near(signed, "doc_id", gone, "left_anti").unionByName(rest)
-    postings, parts = signed.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc")), []
+def _sets(signatures: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, n, sigs, bits): one row a set, under the least document that has it, whichever documents the tasks signed."""
+    rows = signatures.where("bits IS NOT NULL")
+    again = _near(rows, "set_key", keys).join(keys.select("set_key", "b"), "set_key", "left").withColumn("doc", F.coalesce("b", "doc_id"))
+    again = scratch.table(again.dropDuplicates(["set_key"]).select("doc", "n", "sigs", "bits"))
+    return _near(rows, "set_key", keys, "left_anti").select(F.col("doc_id").alias("doc"), "n", "sigs", "bits").unionByName(again)
+
+
+def _held(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sig, doc) of joint tokens that several documents hold."""
+    postings, parts = sets.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), "doc"), []
     for i in range(PASSES):  # by ranges of tokens, which bounds the disk that the shuffles take at once
         some = postings.where(F.pmod("sig", F.lit(PASSES)) == i)
         shared = scratch.table(some.groupBy("sig").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("c")).where("lo < hi"))
@@ -153,14 +158,15 @@ def similar_groups(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
     with Scratch(spark, "ngram-join") as s:
         signatures = s.table(texts.mapInArrow(tidy(sign(k, num, den)), SIGNATURE_SCHEMA))
         signed = s.table(signatures.drop("sigs", "bits"))
-        equal = s.table(_copies(signed, s))
-        sizes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("doc")).agg(F.max("n").alias("n"), (F.min("set_key") < F.max("set_key")).alias("several"))
-        gone = equal.select(F.col("a").alias("doc")).distinct().join(sizes.where("several").select("doc"), "doc", "left_anti")
-        held = _held(signatures, gone.toDF("doc_id"), s)
-        bits = s.table(_near(signatures.where("bits IS NOT NULL").select("doc_id", "n", "bits"), "doc_id", held.select(F.col("doc").alias("doc_id"))))
+        keys, equal = _copies(signed, s)
+        equal = s.table(equal)
+        sizes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("doc")).agg(F.max("n").alias("n"))
+        sets = _sets(signatures, keys, s)
+        held = _held(sets, s)
+        bits = s.table(_near(sets.select(F.col("doc").alias("doc_id"), "n", "bits"), "doc_id", held.select(F.col("doc").alias("doc_id"))))
         s.drop(signatures)  # the largest table; from here on only shared tokens count
         s.release()
-        dealt = _dealt(held, sizes.select("doc", "n"), s)
+        dealt = _dealt(held, sizes, s)
         own = dealt.select(F.col("g").alias("unit"), F.lit(1).alias("side"), F.col("doc").alias("doc_id"))
         heads = dealt.select(F.col("g").alias("unit"), F.explode(F.array("near", "head")).alias("doc_id")).distinct().join(own.drop("side"), ["unit", "doc_id"], "left_anti")
         rows = own.unionByName(heads.select("unit", F.lit(0).alias("side"), "doc_id"))
