@@ -75,6 +75,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(_table(spark, sf_dir, "conversations"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triweave.llm.periodic_runs import runs_digest
+
+    return runs_digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from triweave.llm.language_id import language_digest
+
+    return language_digest(spark, _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_toxicity": op2_toxicity,
@@ -86,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_topk_search": op9_topk_search,
     "op10_chat": op10_chat,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_language_id": op12_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
