@@ -7,9 +7,8 @@ floor(rate) times, and once more when its hash, uniform in [0, 1), is below the
 
 Defined results: a null text has size 0; the null source is a source; documents without words are
 emitted like others of their source and add no words; sources without words have target 0; rows that
-share a doc_id take the same draw; those without one take a draw by source and text in the mix itself, and
-one draw in the digest, as its SQL does; extra columns stay, whatever their names; an empty table gives an
-empty result.  The table of sources has one row for each source after partial aggregation and is written once;
+share a doc_id take the same draw; those without one take a draw by source and text, so equal ones take the
+same; extra columns stay, whatever their names; an empty table gives an empty result.  The table of sources has one row for each source after partial aggregation and is written once;
 Spark joins it by broadcast only when its size allows.
 """
 
@@ -66,26 +65,25 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
         return s.keep(weighed.select("source", "source_size", target.alias("target")))
 
 
-def _taken(docs: DataFrame, weights: tuple[int, ...], cap: int, seed: int, key: Column | None) -> DataFrame:
+def draw_key() -> Column:
+    """What a row's draw is taken by: its doc_id, or where that is null its source and text, lengths first, so no two of them read the same."""
+    parts = (F.coalesce(F.length(c), F.lit(-1)).cast("string") for c in ("row.source", "row.text"))
+    return F.coalesce(F.col("row.doc_id").cast("string"), F.concat_ws(":", F.lit("null"), *parts, "row.source", "row.text"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, seed: int = 7) -> DataFrame:
     """(row, size, source_size, target, copies): ``docs`` as one column, so no name of theirs meets one of these."""
     sized = docs.select(F.struct(*docs.columns).alias("row")).withColumn("size", word_count(F.col("row.text")))
     targets = source_targets(sized.select("row.source", "size"), weights, cap)
     joined = sized.join(targets, F.col("row.source").eqNullSafe(F.col("source"))).drop("source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(F.lit(0.0))
-    extra = (uniform(seed, F.col("row.doc_id") if key is None else key) < rate - F.floor(rate)).cast("long")
+    extra = (uniform(seed, draw_key()) < rate - F.floor(rate)).cast("long")
     return joined.withColumn("copies", F.floor(rate) + extra)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, seed: int = 7) -> DataFrame:
-    """(row, size, source_size, target, copies) of every document, ``row`` being a struct of its columns; rows of one doc_id take the same draw."""
-    return _taken(docs, weights, cap, seed, None)
-
-
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, seed: int = 7) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    parts = (F.coalesce(F.length(c), F.lit(-1)).cast("string") for c in ("row.source", "row.text"))
-    own = F.concat_ws(":", F.lit("null"), *parts, "row.source", "row.text")  # lengths first, so no two rows read the same
-    taken = _taken(docs, weights, cap, seed, F.coalesce(F.col("row.doc_id").cast("string"), own)).where("copies > 0")
+    taken = mix(docs, weights, cap, seed).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
@@ -95,7 +93,8 @@ def mixing_digest(docs: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(doc_id::VARCHAR, concat_ws(':', 'null', coalesce(length(source), -1)::VARCHAR, coalesce(length(text), -1)::VARCHAR, source, text)) AS key,
+  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [1.0, 2.0, 3.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)]::DOUBLE AS weight FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS pos FROM w),
@@ -105,7 +104,7 @@ k AS (SELECT min(pos) AS first FROM f WHERE share * weight <= 3 * source_size),
 t AS (SELECT source, source_size, CASE WHEN first IS NULL OR pos < first THEN (3 * source_size)::DOUBLE
   ELSE (SELECT share FROM f WHERE pos = first) * weight END AS target FROM f, k),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0) ELSE 0.0 END AS rate,
-  ('0x' || substr(md5('7:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+  ('0x' || substr(md5('7:' || d.key), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """

@@ -10,7 +10,7 @@ one, so it sends at most ``k`` filled bins, counted from the top, and at most ``
 
 Defined results: null vectors, vectors with null or non-finite components, and rows without id take no
 part; vectors of different lengths have no score; a query is never its own candidate, nor is a row with
-its id; equal query rows count once, equal candidate rows each; scores beyond 64 bits stop at the ends
+its id; equal query rows are one query, other vectors of one id queries of their own, equal candidate rows each count; scores beyond 64 bits stop at the ends
 of that range; extra columns are ignored; empty tables give empty results.
 """
 
@@ -205,10 +205,11 @@ def top_k_digest(spark: SparkSession, embeddings: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 100 = 0),
-r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM p)
+q AS (SELECT DISTINCT vec_id, embedding, e FROM v WHERE vec_id % 100 = 0),
+p AS (SELECT q.vec_id AS query_id, q.embedding, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id, embedding ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

@@ -98,11 +98,17 @@ def literal_tokens(pattern: str) -> set[str]:
     return {m[0] for m in TOKEN.finditer(text) if "\0" not in (text[m.start() - 1], text[m.end()])}
 
 
+def compiled(pattern: str) -> re.Pattern[str]:
+    """The pattern with digits, words and their borders of ASCII, and ``$`` for the very end of the text, also after a newline."""
+    ends = re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\$", lambda m: r"\Z" if m[0] == "$" else m[0], pattern, flags=re.S)
+    return re.compile(ends, re.ASCII)
+
+
 class RuleIndex:
     def __init__(self, rules: list[Rule], counts: dict[str, int]):
         self.always, self.by_token = [], defaultdict(list)
         for rule in rules:
-            entry = (rule, re.compile(rule.pattern))
+            entry = (rule, compiled(rule.pattern))
             tokens = literal_tokens(rule.pattern)
             if tokens:
                 self.by_token[min(tokens, key=lambda t: (counts.get(t, 0), t))].append(entry)
