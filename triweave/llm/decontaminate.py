@@ -17,8 +17,14 @@ The benchmark is taken in blocks of items of about BLOCK_WORDS words, each on it
 5. Candidates are checked: the longest common subsequence with the item must reach LCS_SHARE of its words,
    and its answer, the words of its last sentence or its last ANSWER words, must be there by ANSWER_SHARE.
    Items under LEAST words must occur word for word.
+6. What only the latent space can find: a window whose cosine is PARAPHRASE_COSINE or more and that fails these
+   checks is a paraphrase if the longest common subsequence reaches PARAPHRASE_SHARE when words count as equal whose
+   latent vectors have a cosine of CLOSE or more, such words stand for that share of the item's distinct terms
+   that weigh anything, the answer is there by ANSWER_SHARE in the same sense, and PARAPHRASE_EXACT of the item's
+   words are there themselves and in order, as texts on one subject have close words too.
 
-The cosine of a match is null where the latent space would have lost its best window.
+The cosine of a match is null where the latent space would have lost its best window; ``paraphrase`` tells matches that
+step 6 alone made.
 
 Defined results: null and empty texts match nothing, null and empty items neither; items of one text each
 match; repeated documents each match; extra columns are ignored; with an empty table there are no matches.
@@ -45,6 +51,7 @@ COMMON, TERMS = 0.02, 3
 #: Of an item's rarest places, how many more than the checks demand must be in a window; pairs of words and items opened at once.
 HITS, PAIRS = 4, 1 << 21
 COSINE, LCS_SHARE, ANSWER, ANSWER_SHARE, LEAST = 0.5, 0.6, 8, 0.5, 8
+PARAPHRASE_COSINE, PARAPHRASE_SHARE, PARAPHRASE_EXACT, CLOSE = 0.7, 0.8, 0.4, 0.6
 PUNCTUATION = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»“”„‘’…–—¡¿"
 SLICE, LONG = 1 << 19, 64
 SPACE = r"[\x20\x09-\x0D]+"
@@ -193,15 +200,16 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(table.column("block").combine_chunks().slice(0, 1), pa.int64()), "z": pa.array([total.tobytes()], pa.binary())})
 
 
-def singular_vectors(z: np.ndarray, r: np.ndarray, rank: int) -> np.ndarray:
-    """The leading right singular vectors of A from Z = A'A R (Nystroem's formula)."""
+def singular_vectors(z: np.ndarray, r: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leading right singular vectors of A, and its singular values, from Z = A'A R (Nystroem's formula)."""
     inner = r.T.astype(float) @ z
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     good = values > max(values.max(initial=0), 0) * 1e-9
     if not good.any():
-        return np.zeros((len(z), 0), np.float32)
+        return np.zeros((len(z), 0), np.float32), np.zeros(0, np.float32)
     v, s, _ = np.linalg.svd(z @ vectors[:, good] / np.sqrt(values[good]), full_matrices=False)
-    return v[:, : min(rank, int((s > s[0] * 1e-6).sum()))].astype(np.float32)
+    rank = min(rank, int((s > s[0] * 1e-6).sum()))
+    return v[:, :rank].astype(np.float32), s[:rank].astype(np.float32)
 
 
 def inverse_frequencies(df: np.ndarray, passages: int) -> np.ndarray:
@@ -211,8 +219,10 @@ def inverse_frequencies(df: np.ndarray, passages: int) -> np.ndarray:
     return np.where(df > COMMON * passages, 0, idf).astype(np.float32)
 
 
-def latent_basis(spark: SparkSession, codes: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passages, idf, singular vectors) of the TF-IDF passages of all documents, for each term of the vocabulary."""
+def latent_basis(spark: SparkSession, codes: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(passages, idf, singular vectors, unit vectors of terms) of the TF-IDF passages of all documents, for each term of the vocabulary.
+
+    A term's unit vector is its row of A'A in the latent space, so terms are close that keep the same company."""
     counts = {r.term: r.n for r in codes.mapInArrow(_frequencies(size), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row a term
     df = np.array([counts.get(t, 0) for t in range(size)], float)
     idf = inverse_frequencies(df, counts.get(size, 0))
@@ -223,7 +233,8 @@ def latent_basis(spark: SparkSession, codes: DataFrame, size: int) -> tuple[np.n
     for p in parts:
         x = np.frombuffer(p.z, np.float64).reshape(-1, width)
         z[p.block * 256 : p.block * 256 + len(x)] = x
-    return df, idf, singular_vectors(z[:size], random_matrix(size, width), RANK)
+    vectors, values = singular_vectors(z[:size], random_matrix(size, width), RANK)
+    return df, idf, vectors, np.where((idf > 0)[:, None], unit_rows(vectors * values**2), 0).astype(np.float32)
 
 
 def lcs(masks: dict[int, int], words: list[int]) -> int:
@@ -289,6 +300,35 @@ class Items:
         return (share, there) if there >= ANSWER_SHARE else None
 
 
+    def paraphrased(self, number: int, window: list[int], terms: np.ndarray, used: np.ndarray) -> tuple[float, float] | None:
+        """As ``check``, with words equal whose latent vectors are close."""
+        item = self.words[number]
+        there = np.unique([w for w in window if w >= 0])
+        if len(item) < LEAST or not len(there):
+            return None
+        own = np.array(list(self.masks[number]))
+        near = terms[there] @ terms[own].T >= CLOSE
+        near |= there[:, None] == own[None, :]
+        weighing = used[own]
+        if near.any(axis=0)[weighing].sum() < PARAPHRASE_SHARE * weighing.sum():
+            return None
+        masks = {w: m for w, row in zip(there.tolist(), near, strict=True) if (m := functools.reduce(int.__or__, (self.masks[number][u] for u in own[row].tolist()), 0))}
+        if sum(w in masks for w in window) < PARAPHRASE_SHARE * len(item):
+            return None
+        share = lcs(masks, window) / len(item)
+        if share < PARAPHRASE_SHARE or lcs(self.masks[number], window) < PARAPHRASE_EXACT * len(item):
+            return None
+        found = set(own[near.any(axis=0)].tolist())
+        answer = self.answers[number]
+        there_of_answer = sum(w in found for w in answer) / len(answer)
+        return (share, there_of_answer) if there_of_answer >= ANSWER_SHARE else None
+
+
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    """Rows of length one; rows of zeros stay."""
+    return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
+
+
 def candidates(offsets: np.ndarray, codes: np.ndarray, items: Items, basis: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, ...]:
     """(documents, item numbers, first words, ends, cosines) of the windows near an item in the latent space."""
     found = [[], [], [], [], []]
@@ -387,13 +427,13 @@ def exact_candidates(offsets: np.ndarray, codes: np.ndarray, items: Items) -> tu
     return _joined(found)
 
 
-MATCH_SCHEMA = "doc_id long, text_hash long, item_id long, lcs_share double, answer_share double, cosine double"
+MATCH_SCHEMA = "doc_id long, text_hash long, item_id long, lcs_share double, answer_share double, cosine double, paraphrase boolean"
 
 
 def _scan(shared, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("plain", dict)
-        items, basis, used = shared.value
+        items, basis, used, terms = shared.value
         for doc_ids, offsets, codes in _coded(batches, size):
             best: dict[tuple[int, int], tuple] = {}
             checked: set[tuple[int, int]] = set()
@@ -407,17 +447,24 @@ def _scan(shared, size: int):
                             best[at, n] = result, items.ids[n], c if latent else None
                     if latent:
                         checked.add((n, x))
+            d, number, start, end, cosine = (v[near[4] >= PARAPHRASE_COSINE].tolist() for v in near)
+            paraphrases: dict[tuple[int, int], tuple] = {}
+            for at, n, x, y, c in zip(d, number, start, end, cosine, strict=True):
+                if (at, n) not in best:
+                    result = items.paraphrased(n, codes[x:y].tolist(), terms, used)
+                    if result and result > paraphrases.get((at, n), ((0.0, 0.0),))[0]:
+                        paraphrases[at, n] = result, items.ids[n], c
             ids = doc_ids.to_pylist()
-            rows = [(ids[d]["doc_id"], ids[d]["text_hash"], item_id, *found, cosine) for (d, _), (found, item_id, cosine) in sorted(best.items())]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "text_hash", "item_id", "lcs_share", "answer_share", "cosine"])
+            rows = [(ids[d]["doc_id"], ids[d]["text_hash"], item_id, *found, cosine, held is paraphrases) for held in (best, paraphrases) for (d, _), (found, item_id, cosine) in sorted(held.items())]
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "text_hash", "item_id", "lcs_share", "answer_share", "cosine", "paraphrase"])
 
     return run
 
 
 def benchmark_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, item_id, lcs_share, answer_share, cosine) of each document and each item that it holds."""
+    """(doc_id, text_hash, item_id, lcs_share, answer_share, cosine, paraphrase) of each document and each item that it holds."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     keyed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).alias("doc_id"), "text")
     blocks = -(-(items.agg(F.sum(F.size(F.split("text", SPACE)))).first()[0] or 0) // BLOCK_WORDS)
@@ -433,9 +480,9 @@ def _block_matches(spark: SparkSession, keyed: DataFrame, items: DataFrame, scra
         return spark.createDataFrame([], MATCH_SCHEMA)
     known = spark.sparkContext.broadcast(vocabulary)
     codes = scratch.table(keyed.mapInArrow(tidy(_code(known)), "doc_id struct<doc_id:long,text_hash:long>, codes binary"))
-    df, idf, vectors = latent_basis(spark, codes, vocabulary.size)
+    df, idf, vectors, terms = latent_basis(spark, codes, vocabulary.size)
     basis, used = vectors * idf[:, None], idf > 0
-    shared = spark.sparkContext.broadcast((Items(rows, vocabulary, basis, used, df), basis, used))
+    shared = spark.sparkContext.broadcast((Items(rows, vocabulary, basis, used, df), basis, used, terms))
     return codes.mapInArrow(tidy(_scan(shared, vocabulary.size)), MATCH_SCHEMA)
 
 

@@ -36,7 +36,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from triweave.llm.decontaminate import benchmark_matches
 
     matches = benchmark_matches(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return matches.select("doc_id", "item_id", F.round("lcs_share", 6).alias("lcs_share"), F.round("answer_share", 6).alias("answer_share"))
+    return matches.select("doc_id", "item_id", F.round("lcs_share", 6).alias("lcs_share"), F.round("answer_share", 6).alias("answer_share"), "paraphrase")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
