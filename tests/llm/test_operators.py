@@ -33,6 +33,12 @@ DOCS = [
 ]
 
 
+@pytest.fixture(autouse=True)
+def few_passes(monkeypatch):
+    """Ranges of joint tokens change no result, only how many small jobs a run has."""
+    monkeypatch.setattr(ngram_join, "PASSES", 2)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame([(*d, None, "x", 5, "y") for d in DOCS], SCHEMA)

@@ -68,7 +68,8 @@ def _featurise(extra: list[str]):
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most: int) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
     """Features and labels of at most ``most`` labelled documents, those whose id's hash comes first.
 
-    Rows with null labels or without a document don't count; of several rows of one doc_id, one does.
+    Rows with null labels or without a document don't count; of several rows of one doc_id, the one whose features
+    come first as bytes does, whatever their order.
     """
     usable = labels.where(" AND ".join(f"{c} IS NOT NULL" for c in ["doc_id", *columns])).select("doc_id", *columns)
     chosen = usable.groupBy("doc_id").agg(*(F.min(c).cast("long").alias(c) for c in columns)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -78,7 +79,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], most
     small = docs.sparkSession.createDataFrame(chosen)  # at most ``most`` short rows
     rows = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id")
     kinds = ", ".join(f"{c} long" for c in columns)
-    got = rows.mapInArrow(_featurise(["doc_id", *columns]), f"doc_id long, {kinds}, x binary").toPandas().sort_values("doc_id", kind="stable")
+    got = rows.mapInArrow(_featurise(["doc_id", *columns]), f"doc_id long, {kinds}, x binary").toPandas().sort_values(["doc_id", "x"], kind="stable")
     got = got.drop_duplicates("doc_id")
     return [np.frombuffer(x, "<u4").view(np.int32) for x in got.x], {c: got[c].to_numpy(np.int64) for c in columns}
 

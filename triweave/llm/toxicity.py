@@ -4,8 +4,9 @@ Categories are predicted one after another by sparse logistic models on hashed t
 also gets the log-odds of the categories before it.  In training these come from out-of-fold predictions,
 so that later models see earlier ones as they will be on new texts; in scoring, from the models themselves.
 
-The labels hold one bit, toxic.  Finer categories are weak labels: a toxic document is in a category when
-it holds one of the category's seed words.  The last category of the chain is ``toxic`` itself.
+Categories are columns of the labels, in the order of ``CHAIN``; the shipped labels hold two bits, so the chain is
+low quality, which junk and abuse share in part, and then ``toxic``.  Labels with more categories make a longer chain:
+pass their expressions.  The last category of the chain is the one that documents are flagged by.
 
 Training takes at most ``most`` labelled documents; every document is scored, whole.  Words are features
 by presence, so length does not dilute a toxic word.
@@ -26,15 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triweave.llm.features import BITS, Sparse, labelled_sample, sigmoid, sums, text_features
-from triweave.llm.words import text_slices, word_hashes, worker_state
+from triweave.llm.words import text_slices, worker_state
 
 MOST, FOLDS, L1, STEPS, FLAG_AT = 20_000, 3, 5e-5, 120, 0.5
-SEEDS = {
-    "insult": ("idiot", "moron", "stupid", "clown", "fool", "dumb"),
-    "contempt": ("loser", "pathetic", "worthless", "useless"),
-    "degradation": ("scum", "trash", "disgusting", "filth", "vermin"),
-}
-CHAIN = (*SEEDS, "toxic")
+#: The categories, each with its expression over the labels' columns.
+CHAIN = {"low_quality": "1 - quality", "toxic": "toxic"}
 
 
 @dataclass
@@ -111,17 +108,14 @@ def fit_chain(rows: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS) ->
     return model
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, most: int = MOST) -> ChainModel:
-    rows, y = labelled_sample(docs, labels, ["toxic"], most)
-    toxic = y["toxic"] > 0
-    columns = []
-    for words in SEEDS.values():
-        seeds = (word_hashes(list(words), 1) & np.uint64((1 << BITS) - 1)).astype(np.int64)
-        columns.append(toxic & np.array([np.isin(seeds, r).any() for r in rows], bool))
-    return fit_chain(rows, np.column_stack([*columns, toxic]).astype(int))
+def toxicity_model(docs: DataFrame, labels: DataFrame, most: int = MOST, chain: dict[str, str] = CHAIN) -> ChainModel:
+    """Fitted on documents whose labels have every category; above 0 is in."""
+    kinds = labels.select("doc_id", *(F.expr(e).cast("long").alias(f"c{j}") for j, e in enumerate(chain.values())))
+    rows, y = labelled_sample(docs, kinds, [f"c{j}" for j in range(len(chain))], most)
+    return fit_chain(rows, np.column_stack([y[f"c{j}"] > 0 for j in range(len(chain))]).astype(int))
 
 
-def _score(shared):
+def _score(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("plain", dict)
         model = ChainModel(links=shared.value[1], intercepts=shared.value[2])
@@ -134,14 +128,14 @@ def _score(shared):
                 rows = text_features(part.column("text"))
                 p = model.probabilities(rows)
                 flag = (p[:, -1] >= FLAG_AT) & np.array([len(r) > 0 for r in rows], bool)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.round(p[:, j], 6)) for j in range(p.shape[1])), pa.array(flag)], names=["doc_id", *CHAIN, "flagged"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.round(p[:, j], 6)) for j in range(p.shape[1])), pa.array(flag)], names=["doc_id", *names, "flagged"])
 
     return run
 
 
-def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN) -> DataFrame:
     """(doc_id, a probability of each category, flagged) of every document."""
-    model = toxicity_model(docs, labels)
+    model = toxicity_model(docs, labels, chain=chain)
     used = [np.flatnonzero(w) for w in model.weights]
     shared = spark.sparkContext.broadcast(([(at, w[at]) for at, w in zip(used, model.weights, strict=True)], model.links, model.intercepts))
-    return docs.select("doc_id", "text").mapInArrow(_score(shared), "doc_id long, " + ", ".join(f"{c} double" for c in CHAIN) + ", flagged boolean")
+    return docs.select("doc_id", "text").mapInArrow(_score(shared, list(chain)), "doc_id long, " + ", ".join(f"{c} double" for c in chain) + ", flagged boolean")
