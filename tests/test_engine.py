@@ -114,12 +114,26 @@ def test_refusals(spark):
     with pytest.raises(ModelError):
         transfer.validate_map(m)
     keys, w = fixtures.latin_square(4)
-    builder = transfer.HierarchyBuilder(tuples_of(spark, keys, w))
-    levels = linear.edges(builder.levels[0]).distinct()
-    with pytest.raises(ModelError):
-        builder.append(transfer.identity_map(levels))
-    builder.append(transfer.halving_map(levels))
-    assert builder.tuple_complexity > 1
+    with Scratch(spark, "hierarchy") as s:
+        t = tuples_of(spark, keys, w)
+        labels = linear.edges(t).distinct().withColumn("component", F.lit(0))
+        h = transfer.Hierarchy(t, labels, s, max_levels=3, max_tuples=30)
+        for bad, code in ((transfer.identity_map(labels), "no reduction"), (transfer.halving_map(labels).where("l > 0"), "level without aggregate"), (labels.select("q", "l", (2 * F.floor(F.col("l") / 2)).cast("int").alias("parent")), "empty aggregate")):
+            with pytest.raises(ModelError, match=code):
+                h.append(bad)
+        h.append(transfer.halving_map(h.labels[-1]))
+        h.append(transfer.halving_map(h.labels[-1]))
+        assert h.tuple_complexity > 1 and len(h.levels) == 3 and h.sizes == [16, 8, 1]
+        with pytest.raises(ModelError, match="too many levels"):
+            h.append(transfer.halving_map(h.labels[-1]))
+        frames = h.replay(h.levels[0])
+        assert [[r.w for r in f.orderBy("tid").collect()] for f in frames] == [[r.w for r in x.orderBy("tid").collect()] for x in h.levels]
+        assert h.provisional(frames[1]).collect() == frames[2].collect()
+        with pytest.raises(ModelError, match="coarse tuple total"):
+            h.provisional(frames[1].withColumn("w", F.lit(1.5e308)))
+        two = labels.withColumn("component", F.col("l") % 2)
+        with pytest.raises(ModelError, match="crosses components"):
+            transfer.Hierarchy(t, two, s).append(transfer.halving_map(labels))
 
 
 def test_binary_round_trip(spark, tmp_path):

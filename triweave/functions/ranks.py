@@ -21,10 +21,10 @@ def numbered(rows: DataFrame, order: list[str], name: str, rows_bound: int | Non
     if bound <= ONE_TASK_ROWS:
         return rows.withColumn(name, (F.row_number().over(W.orderBy(*order)) - 1).cast("long"))
     spark = rows.sparkSession
-    scratch = scratch or Scratch(spark, "numbered")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(max(n, bound // ONE_TASK_ROWS), *order).withColumn("_part", F.spark_partition_id())
-    placed = scratch.table(ranged)  # partition numbers must not change between the two uses
+    # partition numbers must not change between the two uses; without a run to belong to, the table stays with the result
+    placed = scratch.table(ranged) if scratch else Scratch(spark, "numbered").keep(ranged)
     counts = {r._part: r.n for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a partition
     starts, at = {}, 0
     for part in sorted(counts):

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from triweave.functions.ranks import numbered
 from triweave.operators.encode import CODES
 from triweave.operators.linear import degrees
+from triweave.plans.scratch import Scratch
 
 KEEP, CONTEXT_LEAST, NEIGHBOR_LEAST = 16, 0.15, 0.02
 
@@ -60,7 +63,7 @@ def signature_candidates(x: DataFrame, labels: DataFrame, window: int = 3) -> Da
 
 
 def greedy_match(pairs: pd.DataFrame) -> list[tuple[int, int]]:
-    """Pairs in order of falling affinity, then l, then r, each taken if both are free."""
+    """Pairs in order of falling affinity, then l, then r, each taken if both are free: the rule, for a table that fits a task."""
     taken: set[int] = set()
     out = []
     order = pairs.sort_values(["affinity", "l", "r"], ascending=[False, True, True])
@@ -71,17 +74,35 @@ def greedy_match(pairs: pd.DataFrame) -> list[tuple[int, int]]:
     return out
 
 
-def matching_map(candidates: DataFrame, levels: DataFrame, labels: DataFrame) -> DataFrame:
-    """(q, l, parent): greedy matching within each component and factor; aggregates are numbered by their smallest level."""
-
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        pairs = greedy_match(frame)
-        return pd.DataFrame({"q": np.repeat(frame["q"].iloc[0], len(pairs)), "l": [r for _, r in pairs], "head": [x for x, _ in pairs]}).astype({"q": "int32", "l": "int32", "head": "int32"})
-
-    own = candidates.select("q", "l", "r", "affinity").join(labels, ["q", "l"])
-    merged = own.groupBy("component", "q").applyInPandas(match, "q int, l int, head int")
-    heads = levels.select("q", "l").join(merged, ["q", "l"], "left").withColumn("head", F.coalesce("head", "l"))
-    parents = heads.select("q", "head").distinct().withColumn("parent", (F.row_number().over(W.partitionBy("q").orderBy("head")) - 1).cast("int"))
+def greedy_matching(candidates: DataFrame, scratch: Scratch) -> DataFrame:
+    """(q, l, r): what ``greedy_match`` takes, for tables of any size.
+
+    In a total order, greedy takes exactly the pairs that come first at both their ends, then those that do among pairs
+    with free ends, and so on.  A round is one group-by and equi-joins; as many rounds follow as the longest chain of pairs
+    that wait for each other, a logarithm for affinities in no particular order.
+    """
+    first = F.struct("affinity", (-F.col("l")).alias("nl"), (-F.col("r")).alias("nr"))
+    rest = scratch.table(candidates.select("q", "l", "r", "affinity"))
+    taken = []
+    while not rest.isEmpty():
+        best = rest.select("q", F.explode(F.array("l", "r")).alias("v"), first.alias("key")).groupBy("q", "v").agg(F.max("key").alias("key"))
+        side = lambda end: best.select("q", F.col("v").alias(end), F.col("key").alias(f"_{end}"))  # noqa: B023, E731
+        chosen = rest.join(side("l"), ["q", "l"]).join(side("r"), ["q", "r"]).where((F.col("_l") == F.col("_r")) & (F.col("_l") == first))
+        taken.append(scratch.table(chosen.select("q", "l", "r")))
+        gone = taken[-1].select("q", F.explode(F.array("l", "r")).alias("v"))
+        left = rest.join(gone.withColumnRenamed("v", "l"), ["q", "l"], "left_anti").join(gone.withColumnRenamed("v", "r"), ["q", "r"], "left_anti")
+        before, rest = rest, scratch.table(left.select("q", "l", "r", "affinity"))
+        scratch.drop(before)
+    return reduce(DataFrame.unionByName, taken) if taken else candidates.select("q", "l", "r")
+
+
+def matching_map(candidates: DataFrame, levels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(q, l, parent): greedy matching of each factor's levels; aggregates are numbered by their smallest level."""
+    merged = greedy_matching(candidates, scratch).select("q", F.col("r").alias("l"), F.col("l").alias("head"))
+    heads = scratch.table(levels.select("q", "l").join(merged, ["q", "l"], "left").withColumn("head", F.coalesce("head", "l")))
+    places = scratch.table(numbered(heads.select("q", "head").distinct(), ["q", "head"], "place", scratch=scratch))
+    starts = places.groupBy("q").agg(F.min("place").alias("start"))  # three rows
+    parents = places.join(F.broadcast(starts), "q").select("q", "head", (F.col("place") - F.col("start")).cast("int").alias("parent"))
     return heads.join(parents, ["q", "head"]).select("q", "l", "parent")
 
 

@@ -116,15 +116,18 @@ class Columns:
 
     def project(self, x: DataFrame, labels: DataFrame) -> DataFrame:
         """(q, l, x) without the part in each component's structural kernel; as ``components.project_structural``, column by column."""
-        k, own = self.k, x.join(labels, ["q", "l"])
-        of = lambda q: sums(k, lambda i: F.when(F.col("q") == q, at("x", i)).otherwise(0.0)).alias(f"s{q}")
-        n = [F.sum((F.col("q") == q).cast("double")).alias(f"n{q}") for q in range(3)]
-        total = own.groupBy("component").agg(*map(of, range(3)), *n)
+        own = x.join(labels, ["q", "l"])
+        by_factor = own.groupBy("component", "q").agg(sums(self.k, lambda i: at("x", i)).alias("s"), F.count("*").cast("double").alias("n"))
+        of = lambda c, q: F.max(F.when(F.col("q") == q, F.col(c))).alias(f"{c}{q}")
+        total = by_factor.groupBy("component").agg(*(of(c, q) for c in "sn" for q in range(3)))
         n0, n1, n2 = (F.col(f"n{q}") for q in range(3))
         det = (n0 + n1) * (n0 + n2) - n0 * n0
-        first, second = (lambda i: at("s0", i) - at("s1", i)), (lambda i: at("s0", i) - at("s2", i))
-        p = each(k, lambda i: (first(i) * (n0 + n2) - n0 * second(i)) / det)
-        r = each(k, lambda i: ((n0 + n1) * second(i) - n0 * first(i)) / det)
+        # a few rows a component, so lambdas, whose code does not grow with the columns
+        less = lambda u, v: F.zip_with(u, v, lambda x, y: x - y)
+        total = total.select("component", "n0", "n1", "n2", less("s0", "s1").alias("f"), less("s0", "s2").alias("g"))
+        p = F.zip_with("f", "g", lambda f, g: (f * (n0 + n2) - n0 * g) / det)
+        r = F.zip_with("f", "g", lambda f, g: ((n0 + n1) * g - n0 * f) / det)
         shifts = total.select("component", p.alias("p"), r.alias("r"))
-        shift = lambda i: F.when(F.col("q") == 0, at("p", i) + at("r", i)).when(F.col("q") == 1, -at("p", i)).otherwise(-at("r", i))
-        return own.join(shifts, "component").select("q", "l", each(k, lambda i: at("x", i) - shift(i)).alias("x"))
+        minus = lambda c: F.transform(c, lambda v: -v)
+        shifts = shifts.select("component", F.array(F.zip_with("p", "r", lambda u, v: u + v), minus("p"), minus("r")).alias("shift"))
+        return own.join(shifts, "component").select("q", "l", less(F.col("x"), F.get("shift", F.col("q").cast("int"))).alias("x"))

@@ -69,5 +69,25 @@ def local_codes(labels: DataFrame) -> DataFrame:
     return labels.withColumn("local", place.cast("int"))
 
 
+class ComponentLayout:
+    """A permutation that puts the levels of each component side by side: positions (q, l, component, position), in order
+    of component, factor and level, as a table in the shared folder."""
+
+    def __init__(self, labels: DataFrame, scratch: Scratch):
+        self.positions = scratch.table(numbered(labels.select("component", "q", "l"), ["component", "q", "l"], "position", scratch=scratch).select("q", "l", "component", "position"))
+
+    def gather(self, x: DataFrame) -> DataFrame:
+        """(position, component, x) of (q, l, x)."""
+        return x.join(self.positions, ["q", "l"]).select("position", "component", "x")
+
+    def scatter(self, values: DataFrame) -> DataFrame:
+        """(q, l, x) of (position, x)."""
+        return values.join(self.positions.select("q", "l", "position"), "position").select("q", "l", "x")
+
+    def ranges(self) -> DataFrame:
+        """(component, start, n): where each component lies."""
+        return self.positions.groupBy("component").agg(F.min("position").alias("start"), F.count("*").alias("n"))
+
+
 def gather_component(values: DataFrame, labels: DataFrame, component: int) -> DataFrame:
     return values.join(labels.where(F.col("component") == component), ["q", "l"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from triweave.functions.ranks import numbered
 from triweave.model import Design, Frame, ModelError, Topology
+from triweave.operators.exact import exact_sums
 
 CODES = ("a", "b", "c")
 
@@ -71,6 +72,11 @@ def collapse(coded: DataFrame, weight: str | None, extra: dict | None = None) ->
     return coded.groupBy(*CODES).agg(w.alias("w"), F.count("*").alias("n_obs"), *(v.alias(k) for k, v in (extra or {}).items()))
 
 
+def exact_collapse(coded: DataFrame, weight: str) -> DataFrame:
+    """(a, b, c, w, n_obs): as ``collapse``, with each tuple's weights summed exactly and rounded once."""
+    return exact_sums(coded, list(CODES), {"w": F.col(weight)}).withColumnRenamed("n_rows", "n_obs")
+
+
 def canonical_tuples(collapsed: DataFrame, bound: int | None = None) -> DataFrame:
     """Tuples with ``tid``, their rank in lexicographic order."""
     return numbered(collapsed, list(CODES), "tid", bound)

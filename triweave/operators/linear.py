@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triweave.operators.encode import CODES
+from triweave.operators.exact import exact_sums
 from triweave.plans.scratch import Scratch
 
 
@@ -63,6 +64,11 @@ def energy(tuples: DataFrame, x: DataFrame) -> DataFrame:
     return incidence(tuples, x).agg(F.sum(F.col("w") * F.col("bx") * F.col("bx")).alias("energy"))
 
 
+def exact_energy(tuples: DataFrame, x: DataFrame) -> DataFrame:
+    """x'Gx, one row: the tuples' terms summed exactly and rounded once."""
+    return exact_sums(incidence(tuples, x), [], {"energy": F.col("w") * F.col("bx") * F.col("bx")}).select("energy")
+
+
 def rhs(tuples: DataFrame, target: str = "y") -> DataFrame:
     """B'Wy."""
     return adjoint(tuples, F.col("w") * F.col(target), "rhs")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triweave.functions.ranks import numbered
 from triweave.operators.encode import CODES
+from triweave.operators.exact import exact_sums, refuse_overflow
 from triweave.operators.graph import connected_components
 from triweave.plans.scratch import Scratch
 
@@ -38,3 +40,32 @@ def pair_components(marginals: DataFrame, scratch: Scratch) -> DataFrame:
     found = connected_components(marginals.select(name("0", "u").alias("x"), name("1", "v").alias("y")), scratch)
     part = F.split("node", ":")
     return found.select(part[0].alias("pair"), part[1].cast("int").alias("side"), part[2].cast("int").alias("l"), "component")
+
+
+class PairPlan:
+    """The edges of the three pair graphs and which edge each tuple adds to, without weights: made once for a topology.
+
+    edges (edge, pair, u, v), numbered in order of pair, u, v; plan (tid, edge), three rows a tuple.  Both are tables in the
+    shared folder, so another generation of weights costs a join by tid and a sum by edge number.
+    """
+
+    def __init__(self, tuples: DataFrame, scratch: Scratch):
+        cells = F.array(*(F.struct(F.lit(p).alias("pair"), F.col(CODES[i]).alias("u"), F.col(CODES[j]).alias("v")) for p, i, j in PAIRS))
+        rows = scratch.table(tuples.select("tid", F.explode(cells).alias("e")).select("tid", "e.*"))
+        key = ["pair", "u", "v"]
+        self.edges = scratch.table(numbered(rows.select(key).distinct(), key, "edge", scratch=scratch).select("edge", *key))
+        self.plan = scratch.table(rows.join(self.edges, key).select("tid", "edge"))
+        self.scratch = scratch
+
+    def conductances(self, weights: DataFrame) -> DataFrame:
+        """(edge, pair, u, v, w) for weights (tid, w): exact sums, rounded once; a sum beyond the doubles is an error."""
+        rows = self.plan.join(weights.select("tid", "w"), "tid")
+        sums = self.scratch.table(exact_sums(rows, ["edge"], {"w": F.col("w")}).select("edge", "w"))
+        return self.edges.join(refuse_overflow(sums, ["w"], "pair conductance"), "edge")
+
+    def degrees(self, conductances: DataFrame) -> DataFrame:
+        """(pair, side, l, d): exact sums of the conductances as they stand, not of the tuples' weights."""
+        ends = F.array(F.struct(F.lit(0).alias("side"), F.col("u").alias("l")), F.struct(F.lit(1).alias("side"), F.col("v").alias("l")))
+        rows = conductances.select("pair", F.explode(ends).alias("e"), "w").select("pair", "e.side", "e.l", "w")
+        sums = self.scratch.table(exact_sums(rows, ["pair", "side", "l"], {"d": F.col("w")}).select("pair", "side", "l", "d"))
+        return refuse_overflow(sums, ["d"], "pair weighted degree")

@@ -7,8 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triweave.functions.ranks import numbered
 from triweave.model import ModelError
 from triweave.operators.encode import CODES
+from triweave.operators.exact import exact_sums, refuse_overflow
+from triweave.plans.scratch import Scratch
 
 
 def identity_map(levels: DataFrame) -> DataFrame:
@@ -63,6 +66,11 @@ def replay(weights: DataFrame, plan: DataFrame) -> DataFrame:
     return weights.select("tid", "w").join(plan, "tid").groupBy("ctid").agg(F.sum("w").alias("w"))
 
 
+def exact_replay(weights: DataFrame, plan: DataFrame) -> DataFrame:
+    """``replay`` by exact sums, rounded once; a sum beyond the doubles is infinite, which ``exact.refuse_overflow`` refuses."""
+    return exact_sums(weights.select("tid", "w").join(plan, "tid"), ["ctid"], {"w": F.col("w")}).select("ctid", "w")
+
+
 def replay_levels(weights: DataFrame, plans: list[DataFrame]) -> list[DataFrame]:
     """(tid, w) of every level, finest first: one generation of weights through all plans of a hierarchy."""
     frames = [weights.select("tid", "w")]
@@ -71,27 +79,63 @@ def replay_levels(weights: DataFrame, plans: list[DataFrame]) -> list[DataFrame]
     return frames
 
 
-class HierarchyBuilder:
-    """Levels of tuples and maps with limits; a refused level leaves those before it."""
+class Hierarchy:
+    """Levels of tuples, maps and merge plans without weights' history, each a table in the shared folder.
 
-    def __init__(self, tuples: DataFrame, max_levels: int = 64, max_tuples: int | None = None, strict: bool = True):
-        self.levels, self.maps, self.max_levels, self.strict = [tuples], [], max_levels, strict
-        self.sizes, self.max_tuples = [tuples.count()], max_tuples
+    levels[i] (tid, a, b, c, w), labels[i] (q, l, component) with the same components on every level; maps[i]
+    (q, l, parent) and plans[i] (tid, ctid) lead from level i to i + 1.  A refused level leaves those before it.
+    """
+
+    def __init__(self, tuples: DataFrame, labels: DataFrame, scratch: Scratch, max_levels: int = 64, max_tuples: int | None = None, strict: bool = True):
+        self.scratch, self.levels, self.labels = scratch, [scratch.table(tuples.select("tid", *CODES, "w"))], [scratch.table(labels.select("q", "l", "component"))]
+        self.maps, self.plans, self.max_levels, self.max_tuples, self.strict = [], [], max_levels, max_tuples, strict
+        self.sizes = [self.levels[0].count()]
 
     def append(self, m: DataFrame) -> DataFrame:
+        """Coarsens the last level by a map, which must cover its levels, leave no gap and cross no component."""
         if len(self.levels) >= self.max_levels:
             raise ModelError("too many levels")
-        coarse = coarsen(self.levels[-1], m)
+        m = self.scratch.table(m.select("q", "l", "parent"))
+        if not self.labels[-1].join(m, ["q", "l"], "left_anti").isEmpty():
+            raise ModelError("level without aggregate")
+        validate_map(m, self.labels[-1])
+        coarse = self.scratch.table(numbered(coarsen(self.levels[-1], m), list(CODES), "tid", scratch=self.scratch).select("tid", *CODES, "w"))
         n = coarse.count()
         if self.strict and n >= self.sizes[-1]:
             raise ModelError("no reduction")
         if self.max_tuples is not None and sum(self.sizes) + n > self.max_tuples:
             raise ModelError("too many tuples")
+        self.plans.append(self.scratch.table(coarse_map(self.levels[-1], m, coarse)))
+        self.labels.append(self.scratch.table(m.join(self.labels[-1], ["q", "l"]).select("q", F.col("parent").alias("l"), "component").distinct()))
         self.levels.append(coarse)
         self.maps.append(m)
         self.sizes.append(n)
         return coarse
 
+    def drop_last(self) -> None:
+        """Takes the last level back."""
+        if not self.plans:
+            raise ModelError("no transition")
+        for kept in (self.levels, self.labels, self.maps, self.plans, self.sizes):
+            kept.pop()
+
+    def replay(self, weights: DataFrame, exact: bool = False) -> list[DataFrame]:
+        """(tid, w) of every level, finest first, for one generation of weights (tid, w) of the finest."""
+        frames = [weights.select("tid", "w")]
+        for i in range(len(self.plans)):
+            frames.append(self.scratch.table(self.step(frames[-1], i, exact)))
+        return frames
+
+    def provisional(self, weights: DataFrame, exact: bool = True) -> DataFrame:
+        """(tid, w) of the last level from weights of the level before it: the latest transition alone."""
+        if not self.plans:
+            raise ModelError("no transition")
+        return self.step(weights, len(self.plans) - 1, exact)
+
+    def step(self, weights: DataFrame, i: int, exact: bool) -> DataFrame:
+        made = (exact_replay if exact else replay)(weights, self.plans[i]).withColumnRenamed("ctid", "tid")
+        return refuse_overflow(self.scratch.table(made), ["w"], "coarse tuple total") if exact else made
+
     @property
     def tuple_complexity(self) -> float:
         return sum(self.sizes) / self.sizes[0]

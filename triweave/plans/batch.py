@@ -47,8 +47,13 @@ def _plus(k: int, x: str, factor: np.ndarray, y: str) -> Column:
     return each(k, lambda i: at(x, i) + F.lit(float(factor[i])) * at(y, i))
 
 
-def _action(op: Columns, labels: DataFrame, d: DataFrame, kind: str) -> Callable[[DataFrame], DataFrame]:
-    """The preconditioner of (q, l, x): by the diagonal, or projected symmetric sweeps over the factors."""
+Action = Callable[[DataFrame], DataFrame]
+
+
+def _action(op: Columns, labels: DataFrame, d: DataFrame, kind: str | Action) -> Action:
+    """The preconditioner of (q, l, x): by the diagonal, projected symmetric sweeps over the factors, or a given symmetric one, projected."""
+    if callable(kind):
+        return lambda r: op.project(kind(op.project(r, labels)), labels)
     if kind == "diagonal":
         return lambda r: r.join(d, ["q", "l"]).select("q", "l", each(op.k, lambda i: at("x", i) / F.col("d")).alias("x"))
     if kind == "map":
@@ -61,7 +66,7 @@ def _check(k: int) -> None:
         raise ModelError("number of targets", str(k))
 
 
-def pcg(tuples: DataFrame, labels: DataFrame, targets: list[str], scratch: Scratch, kind: str = "diagonal", rel: float = 1e-8, most: int = 1000, grouped: bool = True) -> Run:
+def pcg(tuples: DataFrame, labels: DataFrame, targets: list[str], scratch: Scratch, kind: str | Action = "diagonal", rel: float = 1e-8, most: int = 1000, grouped: bool = True) -> Run:
     """Conjugate gradients on B'WBx = B'Wy in the structural range.  The true residual is taken anew every REFRESH
     iterations and before a column stops; one that then misses goes on from there."""
     k = len(targets)
@@ -120,22 +125,23 @@ def certificates(tuples: DataFrame, x: DataFrame, targets: list[str], scratch: S
     out = []
     for i in range(len(targets)):
         r, b = row[f"r{i}"], row[f"b{i}"]
-        out.append(np.inf if row["lacks"][i] or (r and not b) else 0.0 if not r else float(np.sqrt(r / b)))
+        out.append(np.inf if np.isnan(r) or (r and not b) else 0.0 if not r else float(np.sqrt(r / b)))
     return np.array(out)
 
 
-def certificate_sums(tuples: DataFrame, x: DataFrame, targets: list[str], scratch: Scratch) -> DataFrame:
-    """One row: squared norms r0, b0, r1, ... of the columns' residuals and right-hand sides, and which lack coefficients."""
+def certificate_sums(tuples: DataFrame, x: DataFrame, targets: list[str], scratch: Scratch | None) -> DataFrame:
+    """One row: squared norms r0, b0, r1, ... of the columns' residuals and right-hand sides; NaN where a tuple lacks a coefficient."""
     k = len(targets)
     op = Columns(tuples, k, scratch, counts=(1 << 40,) * 3)  # sizes are Spark's to judge
     fitted = op.image(x, how="left")
-    rows = fitted.select(F.posexplode(F.array("a", "b", "c")).alias("q", "l"), each(k, lambda i: F.col("w") * (F.col(targets[i]) - at("bx", i))).alias("r"), each(k, lambda i: F.col("w") * F.col(targets[i])).alias("b"))
-    parts = rows.groupBy("q", "l").agg(*(F.sum(at(v, i)).alias(f"{v}{i}") for v in "rb" for i in range(k)), F.array(*(F.max(at("r", i).isNull()) for i in range(k))).alias("lacks"))
-    return parts.agg(*(F.sum(F.col(f"{v}{i}") * F.col(f"{v}{i}")).alias(f"{v}{i}") for v in "rb" for i in range(k)), F.array(*(F.max(at("lacks", i)) for i in range(k))).alias("lacks"))
+    residual = lambda i: F.coalesce(F.col("w") * (F.col(targets[i]) - at("bx", i)), F.lit(float("nan")))
+    rows = fitted.select(F.posexplode(F.array("a", "b", "c")).alias("q", "l"), each(k, residual).alias("r"), each(k, lambda i: F.col("w") * F.col(targets[i])).alias("b"))
+    parts = rows.groupBy("q", "l").agg(*(F.sum(at(v, i)).alias(f"{v}{i}") for v in "rb" for i in range(k)))
+    return parts.agg(*(F.sum(F.col(f"{v}{i}") * F.col(f"{v}{i}")).alias(f"{v}{i}") for v in "rb" for i in range(k)))
 
 
 def lsmr(
-    tuples: DataFrame, labels: DataFrame, targets: list[str], scratch: Scratch, kind: str = "map", tol: float = 1e-8, certificate: float | None = 1e-8, most: int = 1000, grouped: bool = True
+    tuples: DataFrame, labels: DataFrame, targets: list[str], scratch: Scratch, kind: str | Action = "map", tol: float = 1e-8, certificate: float | None = 1e-8, most: int = 1000, grouped: bool = True
 ) -> Run:
     """min |sqrt(W)(y - Bx)| by LSMR (Fong & Saunders, 2011) in the inner product of a preconditioner, for all columns.
 

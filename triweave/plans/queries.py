@@ -331,12 +331,12 @@ def coarse_weight_replay(d: Loaded) -> DataFrame:
 def hierarchy_weight_replay(d: Loaded) -> DataFrame:
     """The second generation of weights on the third level, through the plans of two halvings."""
     with Scratch(d.spark, "replay") as s:
-        levels, plans = [s.table(d.tuples)], []
+        t = s.table(d.tuples)
+        whole = d.levels(t).withColumn("component", F.lit(0))  # halving ignores components
+        h = transfer.Hierarchy(t, whole, s, strict=False)
         for _ in range(2):
-            m = transfer.halving_map(d.levels(levels[-1]))
-            levels.append(s.table(enc.canonical_tuples(transfer.coarsen(levels[-1], m), d.bound)))
-            plans.append(s.table(transfer.coarse_map(levels[-2], m, levels[-1])))
-        return s.keep(transfer.replay_levels(levels[0].select("tid", F.col("w2").alias("w")), plans)[-1])
+            h.append(transfer.halving_map(h.labels[-1]))
+        return s.keep(h.replay(t.select("tid", F.col("w2").alias("w")))[-1])
 
 
 # --- pairs ------------------------------------------------------------------------------------------------
@@ -385,9 +385,27 @@ query(
 )(lambda d: cand.adjacent_candidates(d.tuples))
 
 
-@query("greedy_matching_parents", "D2")
+#: Greedy matching by rounds: pairs that come first at both ends are taken, pairs with a taken end fall out.
+_MATCHED = (
+    _NEIGHBOR
+    + """, tp AS (SELECT * FROM ce QUALIFY row_number() OVER (PARTITION BY q, side, c ORDER BY w DESC, l) <= 16), dg AS (SELECT q, l, SUM(w) * 2 AS d FROM e GROUP BY q, l),
+    ov AS (SELECT x.q, x.l, y.l AS r, SUM(least(x.w, y.w)) AS overlap FROM tp x JOIN tp y ON x.q = y.q AND x.side = y.side AND x.c = y.c AND x.l < y.l GROUP BY ALL),
+    cd AS MATERIALIZED (SELECT ov.q, ov.l, ov.r, row_number() OVER (ORDER BY least(overlap / sqrt(m.d * n.d), 1.0) DESC, ov.l, ov.r) AS i FROM ov JOIN dg m ON m.q = ov.q AND m.l = ov.l JOIN dg n ON n.q = ov.q AND n.l = ov.r
+      WHERE overlap / sqrt(m.d * n.d) >= 0.02),
+    mt AS (SELECT q, l, r FROM (WITH RECURSIVE it AS (SELECT q, l, r, i, false AS taken FROM cd UNION ALL
+      (WITH o AS (SELECT q, l, r, i FROM it WHERE NOT taken), en AS (SELECT q, l AS v, i FROM o UNION ALL SELECT q, r, i FROM o), be AS (SELECT q, v, MIN(i) AS i FROM en GROUP BY q, v),
+        ch AS (SELECT o.q, o.l, o.r, o.i FROM o JOIN be x ON x.q = o.q AND x.v = o.l AND x.i = o.i JOIN be y ON y.q = o.q AND y.v = o.r AND y.i = o.i), ve AS (SELECT q, l AS v FROM ch UNION ALL SELECT q, r FROM ch)
+        SELECT q, l, r, i, true FROM ch UNION ALL SELECT o.q, o.l, o.r, o.i, false FROM o WHERE NOT EXISTS (SELECT 1 FROM ve WHERE ve.q = o.q AND (ve.v = o.l OR ve.v = o.r)))) SELECT * FROM it WHERE taken)),
+    hd AS (SELECT lv.q, lv.l, coalesce(mt.l, lv.l) AS head FROM lv LEFT JOIN mt ON mt.q = lv.q AND mt.r = lv.l)
+    SELECT q, l, CAST(dense_rank() OVER (PARTITION BY q ORDER BY head) - 1 AS INTEGER) AS parent FROM hd"""
+)
+
+
+@query("greedy_matching_parents", "D2", _MATCHED)
 def greedy_matching_parents(d: Loaded) -> DataFrame:
-    return _labelled(d, lambda t, labels, s: cand.matching_map(s.table(cand.neighborhood_candidates(t)), d.levels(t), labels))
+    with Scratch(d.spark, "matching") as s:
+        t = s.table(d.tuples)
+        return s.keep(cand.matching_map(s.table(cand.neighborhood_candidates(t)), d.levels(t), s))
 
 
 # --- smoothers and diagnostics ----------------------------------------------------------------------------

@@ -28,6 +28,15 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a result that ``Scratch.keep`` left, once it is used up."""
+    kept = {f.rsplit("/", 2)[0] for f in df.inputFiles()}
+    root = shared_dir(df.sparkSession).rsplit("/", 1)[1]
+    for folder in kept:
+        if f"/{root}/" in folder:
+            delete(df.sparkSession, folder)
+
+
 #: Rows of an Arrow batch within a run; texts may be long, so fewer than Spark's default.
 ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 

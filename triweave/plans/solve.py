@@ -1,14 +1,16 @@
 """Certified least squares, component by component, with a global fallback.
 
-Route of a component by its size: up to ``dense_most`` levels: dense pseudoinverse; up to ``task_tuples``
-tuples: gated LSMR in one task with a screened hierarchy, else a fixed preconditioner; beyond: conjugate
-gradients whose vectors are tables.  Each column is then certified on the original problem; only those above
-the tolerance are solved again.  ``singleton_solution`` gives components of one tuple without Python.
+Route of a component by its size: one tuple: a third of its target to each level, as an expression; up to ``dense_most``
+levels: dense pseudoinverse; up to ``task_tuples`` tuples: gated LSMR in one task with a screened hierarchy, else a fixed
+preconditioner; beyond: all columns at once with vectors that are tables (``plans.batch``).  Small components go to
+tasks in packs of about PACK tuples, those of one shape through one stacked pseudoinverse.  Each column is then certified on
+the original problem; only those above the tolerance are solved again.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,11 +25,15 @@ from triweave.local.solvers import gated_lsmr, pcg
 from triweave.model import ModelError
 from triweave.operators import components as comp
 from triweave.operators import linear
+from triweave.operators.columns import at
+from triweave.plans import batch
 from triweave.plans.scratch import Scratch
 
 BASELINES = {"identity": lambda p: actions.projected(p, actions.identity(p)), "diagonal": actions.diagonal, "map": actions.symmetric_map, "pair_schwarz": actions.pair_schwarz}
 COEF_SCHEMA = "q int, l int, k int, x double, component int, route string, iterations int, native_converged boolean"
-MOST_TARGETS = 32
+MOST_TARGETS = batch.MOST_COLUMNS
+#: Tuples of a pack of components; levels and tuples of a component that is solved in a stack.
+PACK, STACK_LEVELS, STACK_TUPLES = 20_000, 24, 64
 
 
 @dataclass(frozen=True)
@@ -37,7 +43,7 @@ class Options:
     tolerance: float = 1e-10
     iterations: int = 2000
     dense_most: int = 256
-    task_tuples: int = 2_000_000
+    task_tuples: int = 400_000  # about 2 kB each at the peak, in a hierarchy's affinities
 
 
 def solve_local(p: Local, targets: np.ndarray, options: Options) -> tuple[np.ndarray, str, list[int], list[bool]]:
@@ -65,19 +71,54 @@ def solve_local(p: Local, targets: np.ndarray, options: Options) -> tuple[np.nda
     return np.column_stack(xs), route, its, native
 
 
+def _coefficients(levels: list[np.ndarray], x: np.ndarray, component: int, route: str, its: list[int], native: list[bool]) -> pd.DataFrame:
+    q, level = np.repeat(np.arange(3), [len(v) for v in levels]), np.concatenate(levels)
+    k = x.shape[1]
+    many = {"k": np.repeat(np.arange(k), len(q)), "x": x.T.ravel(), "iterations": np.repeat(its, len(q)), "native_converged": np.repeat(native, len(q))}
+    return pd.DataFrame({"q": np.tile(q, k), "l": np.tile(level, k), "component": component, "route": route} | many)
+
+
+def _alone(frame: pd.DataFrame, targets: list[str], options: Options) -> pd.DataFrame:
+    levels, codes = zip(*(np.unique(frame[c], return_inverse=True) for c in ("a", "b", "c")), strict=True)
+    p = Local(np.column_stack(codes), frame["w"].to_numpy(), tuple(map(len, levels)))
+    y = frame[targets].to_numpy(float)
+    try:
+        x, route, its, native = solve_local(p, y, options)
+    except ModelError as e:  # the fallback decides
+        x, route, its, native = np.zeros((p.dim, y.shape[1])), f"failed: {e.code}", [0] * y.shape[1], [False] * y.shape[1]
+    return _coefficients(list(levels), x, frame["component"].iloc[0], route, its, native)
+
+
+def _stacked(frame: pd.DataFrame, targets: list[str], starts: np.ndarray, t: int) -> pd.DataFrame:
+    """The components of ``t`` tuples each that start at ``starts``: minimum-norm solutions by stacked pseudoinverses."""
+    rows = starts[:, None] + np.arange(t)
+    codes = frame[["a", "b", "c"]].to_numpy()[rows]  # component, tuple, factor
+    order = np.sort(codes, axis=1)
+    new = np.concatenate((np.ones((len(starts), 1, 3), bool), order[:, 1:] != order[:, :-1]), axis=1)
+    local = (new[:, None] & (order[:, None] < codes[:, :, None])).sum(axis=2)  # smaller levels of the component and factor
+    root, y = np.sqrt(frame["w"].to_numpy()[rows])[..., None], frame[targets].to_numpy(float)[rows]
+    b = np.zeros((len(starts), t, 3, t))
+    np.put_along_axis(b, local[..., None], 1.0, axis=3)
+    x = np.linalg.pinv((b * root[..., None]).reshape(len(starts), t, 3 * t)) @ (y * root)
+    x = x.reshape(len(starts), 3, t, -1)
+    level = np.zeros((len(starts), 3, t), codes.dtype)
+    np.put_along_axis(level, np.moveaxis(local, 1, 2), np.moveaxis(codes, 1, 2), axis=2)
+    used = np.arange(t) < new.sum(axis=1)[..., None]
+    m, q, i = np.nonzero(used)
+    k = len(targets)
+    many = {"q": q, "l": level[m, q, i], "component": frame["component"].to_numpy()[starts][m]}
+    return pd.DataFrame({name: np.tile(v, k) for name, v in many.items()} | {"k": np.repeat(np.arange(k), len(m)), "x": x[m, q, i].T.ravel(), "route": "dense", "iterations": 0, "native_converged": True})
+
+
 def _task(targets: list[str], options: Options):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("tid", kind="stable")
-        levels, codes = zip(*(np.unique(frame[c], return_inverse=True) for c in ("a", "b", "c")), strict=True)
-        p = Local(np.column_stack(codes), frame["w"].to_numpy(), tuple(map(len, levels)))
-        y = frame[targets].to_numpy(float)
-        try:
-            x, route, its, native = solve_local(p, y, options)
-        except ModelError as e:  # the fallback decides
-            x, route, its, native = np.zeros((p.dim, y.shape[1])), f"failed: {e.code}", [0] * y.shape[1], [False] * y.shape[1]
-        q = np.repeat(np.arange(3), p.sizes)
-        parts = [pd.DataFrame({"q": q, "l": np.concatenate(levels), "k": j, "x": x[:, j], "component": frame["component"].iloc[0], "route": route, "iterations": its[j], "native_converged": native[j]}) for j in range(y.shape[1])]
-        return pd.concat(parts).astype({"q": "int32", "l": "int32", "k": "int32", "component": "int32", "iterations": "int32"})
+        frame = frame.sort_values(["component", "tid"], kind="stable", ignore_index=True)
+        starts = np.flatnonzero(np.diff(frame["component"], prepend=-1))
+        sizes = np.diff(starts, append=len(frame))
+        stack = (3 * sizes <= min(STACK_LEVELS, options.dense_most)) & (sizes <= STACK_TUPLES) & (options.method == "automatic")
+        parts = [_stacked(frame, targets, starts[stack & (sizes == t)], int(t)) for t in np.unique(sizes[stack])]
+        parts += [_alone(frame.iloc[a : a + n], targets, options) for a, n in zip(starts[~stack], sizes[~stack], strict=True)]
+        return pd.concat(parts)[["q", "l", "k", "x", "component", "route", "iterations", "native_converged"]].astype({"q": "int32", "l": "int32", "k": "int32", "component": "int32", "iterations": "int32"})
 
     return run
 
@@ -87,7 +128,11 @@ def solve_components(tuples: DataFrame, labels: DataFrame, targets: list[str], o
     if not 1 <= len(targets) <= MOST_TARGETS:
         raise ModelError("number of targets", str(len(targets)))
     own = tuples.join(labels.where("q = 0").select(F.col("l").alias("a"), "component"), "a")
-    return own.groupBy("component").applyInPandas(_task(targets, options), COEF_SCHEMA)
+    sizes = own.groupBy("component").agg(F.count("*").alias("n"))
+    packs = max(1, -(-tuples.count() // PACK))
+    # a large component is a pack of its own; small ones share packs by hash
+    pack = F.when(F.col("n") > PACK // 2, -1 - F.col("component").cast("long")).otherwise(F.pmod(F.xxhash64("component"), F.lit(packs)))
+    return own.join(sizes.select("component", pack.alias("pack")), "component").groupBy("pack").applyInPandas(_task(targets, options), COEF_SCHEMA)
 
 
 def singleton_solution(tuples: DataFrame, labels: DataFrame, targets: list[str]) -> DataFrame:
@@ -99,74 +144,62 @@ def singleton_solution(tuples: DataFrame, labels: DataFrame, targets: list[str])
 
 
 def distributed_pcg(tuples: DataFrame, labels: DataFrame, target: str, scratch: Scratch, rel: float = 1e-8, most: int = 200) -> tuple[DataFrame, int, bool]:
-    """(coefficients (q, l, x), iterations, whether the residual fell below ``rel``): diagonal PCG for components beyond a task; all vectors are tables.
-
-    Each iteration is one join and group-by over the tuples and one small aggregate; tables are written to
-    the shared folder, so a lost executor costs no earlier iteration.
-    """
-    d = linear.degrees(tuples)
-    b = linear.rhs(tuples, target)
-    r = comp.project_structural(b.select("q", "l", F.col("rhs").alias("x")), labels).withColumnRenamed("x", "r")
-    state = r.join(d, ["q", "l"]).withColumn("z", F.col("r") / F.col("d")).select("q", "l", "d", F.lit(0.0).alias("x"), "r", F.col("z").alias("p"))
-    state = scratch.table(state)
-    dots = lambda s: s.agg(F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rho"), F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("size")).first()
-    now = dots(state)
-    start, k = now.size or 0.0, 0
-    while k < most and now.size and now.size > rel * start:
-        k += 1
-        gp = linear.gramian(tuples, state.select("q", "l", F.col("p").alias("x")), "gp")
-        joined = scratch.table(state.join(gp, ["q", "l"]))
-        curvature = joined.agg(F.sum(F.col("p") * F.col("gp"))).first()[0]
-        if curvature <= 0:
-            raise ModelError("breakdown", f"curvature {curvature}")
-        a = now.rho / curvature
-        moved = scratch.table(joined.select("q", "l", "d", (F.col("x") + a * F.col("p")).alias("x"), (F.col("r") - a * F.col("gp")).alias("r"), "p"))
-        after = dots(moved)
-        beta = after.rho / now.rho
-        new = scratch.table(moved.select("q", "l", "d", "x", "r", (F.col("r") / F.col("d") + beta * F.col("p")).alias("p")))
-        for old in (state, joined, moved):
-            scratch.drop(old)
-        state, now = new, after
-    return comp.project_structural(state.select("q", "l", "x"), labels), k, not now.size or now.size <= rel * start
+    """(coefficients (q, l, x), iterations, whether the residual fell below ``rel``): one column by ``batch.pcg`` with the diagonal."""
+    run = batch.pcg(tuples, labels, [target], scratch, "diagonal", rel, most)
+    return run.coefficients.select("q", "l", at("x", 0).alias("x")), run.iterations[0], run.converged[0]
+
+
+def solve_tables(tuples: DataFrame, labels: DataFrame, targets: list[str], scratch: Scratch, options: Options, route: str = "distributed") -> DataFrame:
+    """Coefficients (COEF_SCHEMA) of components beyond a task, all columns at once: gated LSMR for the method ``lsmr``, else
+    conjugate gradients; by the diagonal where that or the identity is the baseline, else by sweeps over the factors."""
+    kind = "diagonal" if options.baseline in ("diagonal", "identity") else "map"
+    if options.method == "lsmr":
+        run = batch.lsmr(tuples, labels, targets, scratch, kind, options.tolerance, options.tolerance * 10, options.iterations)
+    else:
+        run = batch.pcg(tuples, labels, targets, scratch, kind, options.tolerance, options.iterations)
+    known = [F.struct(F.lit(i).alias("k"), at("x", i).alias("x"), F.lit(n).alias("iterations"), F.lit(met).alias("met")) for i, (n, met) in enumerate(zip(run.iterations, run.converged, strict=True))]
+    rows = run.coefficients.join(labels, ["q", "l"]).select(F.col("q").cast("int").alias("q"), F.col("l").cast("int").alias("l"), "component", F.explode(F.array(*known)).alias("e"))
+    return rows.select("q", "l", "e.k", "e.x", F.col("component").cast("int").alias("component"), F.lit(route).alias("route"), "e.iterations", F.col("e.met").alias("native_converged"))
 
 
 def certify(tuples: DataFrame, coefficients: DataFrame, targets: list[str]) -> DataFrame:
     """(k, residual_norm, rhs_norm, ratio) of every column, in one job; ratio is null where a tuple lacks a coefficient."""
-    long = tuples.select("tid", "a", "b", "c", "w", F.posexplode(F.array(*targets)).alias("k", "y"))
-    fitted = long
-    for q, c in enumerate(("a", "b", "c")):
-        fitted = fitted.join(coefficients.where(F.col("q") == q).select("k", F.col("l").alias(c), F.col("x").alias(f"x{q}")), ["k", c], "left")
-    fitted = fitted.withColumn("bx", F.col("x0") + F.col("x1") + F.col("x2"))
-    parts = fitted.select("k", F.posexplode(F.array("a", "b", "c")).alias("q", "l"), (F.col("w") * (F.col("y") - F.col("bx"))).alias("r"), (F.col("w") * F.col("y")).alias("b"))
-    sums = parts.groupBy("k", "q", "l").agg(F.sum("r").alias("r"), F.sum("b").alias("b"), F.max(F.col("r").isNull()).alias("lacks"))
-    norms = sums.groupBy("k").agg(F.max("lacks").alias("lacks"), F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("residual_norm"), F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("rhs_norm"))
-    return norms.select("k", "residual_norm", "rhs_norm", F.when(F.col("lacks"), F.lit(None)).when(F.col("rhs_norm") > 0, F.col("residual_norm") / F.col("rhs_norm")).when(F.col("residual_norm") == 0, F.lit(0.0)).cast("double").alias("ratio"))
+    n = len(targets)
+    x = coefficients.groupBy("q", "l").agg(F.array(*(F.max(F.when(F.col("k") == i, F.col("x"))) for i in range(n))).alias("x"))
+    sums = batch.certificate_sums(tuples, x, targets, None)
+    each = F.array(*(F.struct(F.lit(i).alias("k"), F.sqrt(f"r{i}").alias("residual_norm"), F.sqrt(f"b{i}").alias("rhs_norm"), F.isnan(f"r{i}").alias("lacks")) for i in range(n)))
+    norms = sums.select(F.explode(each).alias("e")).select("e.*")
+    return norms.select("k", F.when(~F.col("lacks"), F.col("residual_norm")).alias("residual_norm"), "rhs_norm", F.when(F.col("lacks"), F.lit(None)).when(F.col("rhs_norm") > 0, F.col("residual_norm") / F.col("rhs_norm")).when(F.col("residual_norm") == 0, F.lit(0.0)).cast("double").alias("ratio"))
 
 
 def fit(tuples: DataFrame, labels: DataFrame, targets: list[str], scratch: Scratch, options: Options = Options(), accept: float = 1e-8) -> tuple[DataFrame, DataFrame]:
     """(coefficients, report): report (k, route counts as text, ratio, accepted, global_fallback) for each column."""
     tuples = scratch.table(tuples)
     labels = scratch.table(labels)
-    own = tuples.join(labels.where("q = 0").select(F.col("l").alias("a"), "component"), "a")
-    giant = scratch.table(own.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > options.task_tuples).select("component"))
-    if giant.isEmpty():
-        coefficients = scratch.table(solve_components(tuples, labels, targets, options))
-    else:
-        large = tuples.join(labels.where("q = 0").join(giant, "component").select(F.col("l").alias("a")), "a", "left_semi")
-        rest = tuples.join(labels.where("q = 0").join(giant, "component").select(F.col("l").alias("a")), "a", "left_anti")
-        parts = solve_components(rest, labels, targets, options)
-        for k, t in enumerate(targets):
-            x, its, met = distributed_pcg(scratch.table(large), labels.join(giant, "component", "left_semi"), t, scratch, options.tolerance)
-            parts = parts.unionByName(x.join(labels, ["q", "l"]).select("q", "l", F.lit(k).alias("k"), "x", "component", F.lit("distributed").alias("route"), F.lit(its).alias("iterations"), F.lit(met).alias("native_converged")))
-        coefficients = scratch.table(parts)
+    own = labels.where("q = 0").select(F.col("l").alias("a"), "component")
+    sizes = scratch.table(tuples.join(own, "a").groupBy("component").agg(F.count("*").alias("n")))
+    single, giant = F.col("n") == 1, F.col("n") > options.task_tuples
+    if options.method != "automatic":
+        single = F.lit(False)
+    found = {r.kind for r in sizes.select(F.when(single, "single").when(giant, "giant").otherwise("task").alias("kind")).distinct().collect()}
+    sizes = sizes.withColumn("kind", F.when(single, "single").when(giant, "giant").otherwise("task"))
+    part = lambda kind: (tuples.join(own.join(sizes.where(F.col("kind") == kind), "component").select("a"), "a", "left_semi"), labels.join(sizes.where(F.col("kind") == kind), "component", "left_semi")) if len(found) > 1 else (tuples, labels)
+    parts = []
+    if "single" in found:
+        done = singleton_solution(*part("single"), targets)
+        parts.append(done.select(F.col("q").cast("int").alias("q"), F.col("l").cast("int").alias("l"), F.col("k").cast("int").alias("k"), "x", F.col("component").cast("int").alias("component"), F.lit("singleton").alias("route"), F.lit(0).alias("iterations"), F.lit(True).alias("native_converged")))
+    if "task" in found:
+        parts.append(solve_components(*part("task"), targets, options))
+    if "giant" in found:
+        large, own_labels = part("giant")
+        parts.append(solve_tables(scratch.table(large), scratch.table(own_labels), targets, scratch, options))
+    coefficients = scratch.table(reduce(DataFrame.unionByName, parts))
     certificates = scratch.table(certify(tuples, coefficients, targets))
     failed = [r.k for r in certificates.where(F.col("ratio").isNull() | (F.col("ratio") > accept) | F.isnan("ratio")).collect()]  # at most 32
-    fallback = None
-    for k in failed:
-        x, its, met = distributed_pcg(tuples, labels, targets[k], scratch, min(options.tolerance, accept / 10), options.iterations)
-        part = x.join(labels, ["q", "l"]).select("q", "l", F.lit(k).alias("k"), "x", "component", F.lit("global").alias("route"), F.lit(its).alias("iterations"), F.lit(met).alias("native_converged"))
-        fallback = part if fallback is None else fallback.unionByName(part)
-    if fallback is not None:
+    if failed:
+        again = replace(options, method="pcg", baseline="diagonal", tolerance=min(options.tolerance, accept / 10))
+        fallback = solve_tables(tuples, labels, [targets[k] for k in failed], scratch, again, "global")
+        fallback = fallback.withColumn("k", F.element_at(F.array(*map(F.lit, failed)), F.col("k") + 1))
         coefficients = scratch.table(coefficients.where(~F.col("k").isin(failed)).unionByName(fallback))
         certificates = scratch.table(certify(tuples, coefficients, targets))
     routes = coefficients.groupBy("k").agg(F.array_join(F.sort_array(F.collect_set("route")), ",").alias("routes"), F.max("iterations").alias("iterations"))
