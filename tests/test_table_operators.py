@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from triweave.model import ModelError
-from triweave.operators import candidates, components, encode, linear, transfer
+from triweave.operators import candidates, components, encode, kernel, linear, transfer
 from triweave.operators.pairs import PairPlan
 from triweave.plans import solve
 from triweave.plans.scratch import Scratch
+from triweave.sources import fixtures
 
 
 def tuples_of(spark, keys, w):
@@ -129,3 +130,26 @@ def test_many_small_components_go_in_packs(spark, monkeypatch):
         for k in range(2):
             got = {r.tid: r.fitted for r in solve.fitted_values(t, coefficients, k).collect()}
             assert np.allclose([got[i] for i in range(len(rows))], want[:, k])
+
+
+def test_rank_and_nullity_by_peeling_equal_dense_ranks(spark):
+    rng = np.random.default_rng(3)
+    keys = [np.array(fixtures.latin_square(3)[0]), np.array(fixtures.nested_third(4)[0]) + 10, np.array(fixtures.weak_chain(6, 1.0)[0]) + 20]
+    keys += [np.unique(rng.integers(0, 4, (n, 3)), axis=0) + 30 + 10 * i for i, n in enumerate((3, 7, 14))] + [np.array([[99, 99, 99]])]
+    keys = np.concatenate(keys)
+    with Scratch(spark, "kernel") as s:
+        t = s.table(tuples_of(spark, [tuple(map(int, k)) for k in keys], [1.0] * len(keys)))
+        labels = s.table(components.component_labels(t, s))
+        of = {(r.q, r.l): r.component for r in labels.collect()}
+        want = {}
+        for c in set(of.values()):
+            own = np.array([k for k in keys if of[0, int(k[0])] == c])
+            b = np.column_stack([(own[:, q][:, None] == np.unique(own[:, q])[None]).astype(float) for q in range(3)])
+            rank = int(np.linalg.matrix_rank(b))
+            want[c] = (rank, b.shape[1] - rank, b.shape[1] - rank == 2)
+        got = {r.component: (r.rank, r.nullity, r.structural) for r in kernel.rank_nullity(t, labels, s).collect()}
+        assert got == want and any(n > 2 for _, n, _ in want.values())  # additional nullity among them
+        core, gone = kernel.peeled(t.join(labels.where("q = 0").select(F.col("l").alias("a"), "component"), "a"), s)
+        assert core.count() + gone.count() == len(keys) and core.count() > 0
+        with pytest.raises(ModelError, match="core too large"):
+            kernel.rank_nullity(t, labels, s, core=3)

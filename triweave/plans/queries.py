@@ -12,7 +12,7 @@ from triweave.model import Design, Topology
 from triweave.operators import candidates as cand
 from triweave.operators import components as comp
 from triweave.operators import encode as enc
-from triweave.operators import linear, pairs, smoothers, transfer
+from triweave.operators import kernel, linear, pairs, smoothers, transfer
 from triweave.plans import solve
 from triweave.plans.scratch import Scratch
 from triweave.sources.designs import observations, row_bound, sql_prelude
@@ -256,19 +256,8 @@ def component_local_codes(d: Loaded) -> DataFrame:
 
 @query("kernel_rank_nullity", "D3", _NESTED + ", k AS (SELECT component, COUNT(*) AS v, SUM((q = 2)::INT) AS r FROM comp GROUP BY component) SELECT component, CAST(r AS BIGINT) AS rank, CAST(v - r AS BIGINT) AS nullity, v - r = 2 AS structural FROM k")
 def kernel_rank_nullity(d: Loaded) -> DataFrame:
-    """Exact certificates, a task a component; in a nested design the rank is the number of finest levels."""
-    import numpy as np
-    import pandas as pd
-
-    from triweave.local.kernel import kernel_certificate
-    from triweave.local.problem import Local
-
-    def certify(frame: pd.DataFrame) -> pd.DataFrame:
-        codes = np.column_stack([np.unique(frame[c], return_inverse=True)[1] for c in ("a", "b", "c")])
-        c = kernel_certificate(Local(codes, frame["w"].to_numpy()))[0]
-        return pd.DataFrame({"component": [frame["component"].iloc[0]], "rank": [c["rank"]], "nullity": [c["nullity"]], "structural": [c["structural"]]}).astype({"component": "int32"})
-
-    return _labelled(d, lambda t, labels, s: t.join(labels.where("q = 0").select(F.col("l").alias("a"), "component"), "a").select("component", "a", "b", "c", "w").groupBy("component").applyInPandas(certify, "component int, rank long, nullity long, structural boolean"))
+    """Exact, by peeling; in a nested design the rank is the number of finest levels."""
+    return _labelled(d, lambda t, labels, s: kernel.rank_nullity(t, labels, s))
 
 
 # --- transfer ---------------------------------------------------------------------------------------------

@@ -178,3 +178,33 @@ def pair_degree_replay(d: Loaded) -> DataFrame:
         return s.keep(plan.degrees(plan.conductances(w)))
 
 
+
+
+# --- fits of a crossed design, against alternating weighted means ---------------------------------------------
+
+_CENTRED = "SELECT step, tid, a, b, c, w, r - SUM(w * r) OVER z / SUM(w) OVER z AS r FROM ({inner}) WINDOW z AS (PARTITION BY {factor})"
+
+
+def _alternating_sql(rounds: int) -> str:
+    """What ``rounds`` sweeps of weighted means over the factors leave is the residual; fitted values in thousands."""
+    inner = f"SELECT step + 1 AS step, tid, a, b, c, w, r FROM it WHERE step < {rounds}"
+    for factor in "abc":
+        inner = _CENTRED.format(inner=inner, factor=factor)
+    return f""", s AS (SELECT tid, a, b, c, w, CAST(wy AS DOUBLE) / w AS v FROM t),
+      rs AS (SELECT tid, r FROM (WITH RECURSIVE it AS (SELECT 0 AS step, tid, a, b, c, w, v AS r FROM s UNION ALL {inner}) SELECT tid, r FROM it WHERE step = {rounds}))
+    SELECT CAST(tid AS BIGINT) AS tid, round((v - r) / 1000, 1) + 0.0 AS fitted FROM s JOIN rs USING (tid)"""
+
+
+def _crossed(d: Loaded, options: solve.Options, route: str) -> DataFrame:
+    with Scratch(d.spark, "crossed") as s:
+        t = s.table(d.tuples.select("tid", "a", "b", "c", "w", (F.col("wy").cast("double") / F.col("w")).alias("y")))
+        coefficients, report = solve.fit(t, comp.component_labels(t, s), ["y"], s, options)
+        made = report.first()
+        if not made.accepted or made.global_fallback or made.routes != route:
+            raise RuntimeError(f"not by its route: {made}")
+        return s.keep(solve.fitted_values(t, coefficients).select("tid", (F.round(F.col("fitted") / 1000, 1) + F.lit(0.0)).alias("fitted")))
+
+
+query("fitted_crossed_tables", "D1", _alternating_sql(80))(lambda d: _crossed(d, solve.Options("pcg", tolerance=1e-11, task_tuples=0), "distributed"))
+query("fitted_crossed_lsmr_tables", "D2", _alternating_sql(80))(lambda d: _crossed(d, solve.Options("lsmr", tolerance=1e-11, task_tuples=0), "distributed"))
+query("fitted_crossed_task", "D1", _alternating_sql(80))(lambda d: _crossed(d, solve.Options("lsmr", tolerance=1e-11, task_tuples=4_000_000), "lsmr:map"))
