@@ -36,6 +36,12 @@ def at(name: str, i: int) -> Column:
     return F.get(F.col(name), F.lit(i))
 
 
+def level_counts(levels: DataFrame) -> tuple[int, int, int]:
+    """How many levels each factor has in a table with one row a level."""
+    found = {r["q"]: r["n"] for r in levels.groupBy("q").agg(F.count("*").alias("n")).collect()}  # three rows
+    return found.get(0, 0), found.get(1, 0), found.get(2, 0)
+
+
 class Columns:
     """The incidence of ``tuples`` (tid, a, b, c, w, ...) for ``k`` columns; ``grouped``: lay the tuples out by factor.
 
@@ -45,8 +51,7 @@ class Columns:
     def __init__(self, tuples: DataFrame, k: int, scratch: Scratch, grouped: bool = False, counts: tuple[int, int, int] | None = None):
         self.tuples, self.k, self.scratch, self.names = tuples, k, scratch, []
         if counts is None:
-            row = tuples.agg(*(F.count_distinct(c) for c in CODES)).first()
-            counts = (row[0], row[1], row[2])
+            counts = level_counts(tuples.select(F.posexplode(F.array(*CODES)).alias("q", "l")).distinct())
         self.counts = counts
         self.small = [n * (8 * k + 16) <= BROADCAST_BYTES for n in counts]
         self.by: list[DataFrame] | None = None

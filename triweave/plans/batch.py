@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triweave.model import ModelError
-from triweave.operators.columns import Columns, at, each
+from triweave.operators.columns import Columns, at, each, level_counts
 from triweave.operators.linear import degrees
 from triweave.plans.scratch import Scratch
 
@@ -71,8 +71,8 @@ def pcg(tuples: DataFrame, labels: DataFrame, targets: list[str], scratch: Scrat
     iterations and before a column stops; one that then misses goes on from there."""
     k = len(targets)
     _check(k)
-    with Columns(tuples, k, scratch, grouped) as op:
-        d = scratch.table(degrees(tuples))
+    d = scratch.table(degrees(tuples))
+    with Columns(tuples, k, scratch, grouped, level_counts(d)) as op:
         act = _action(op, labels, d, kind)
         b = scratch.table(op.project(op.adjoint(tuples, lambda i: F.col("w") * F.col(targets[i])), labels).withColumnRenamed("x", "b"))
 
@@ -150,8 +150,8 @@ def lsmr(
     """
     k = len(targets)
     _check(k)
-    with Columns(tuples, k, scratch, grouped) as op:
-        d = scratch.table(degrees(tuples))
+    d = scratch.table(degrees(tuples))
+    with Columns(tuples, k, scratch, grouped, level_counts(d)) as op:
         act = _action(op, labels, d, kind)
         root = F.sqrt("w")
         u = scratch.table(tuples.select("tid", "a", "b", "c", "w", each(k, lambda i: root * F.col(targets[i])).alias("u")))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triweave.model import ModelError
-from triweave.operators.columns import Columns, at, each, sums
+from triweave.operators.columns import Columns, at, each, level_counts, sums
 from triweave.operators.linear import degrees, gramian_entries
 from triweave.operators.transfer import Hierarchy
 from triweave.plans.scratch import Scratch
@@ -35,7 +35,7 @@ class VCycle:
         for r in gramian_entries(last).collect():  # at most the square of ``terminal``
             g[place[r.q1, r.l1], place[r.q2, r.l2]] = r.g
         self.inverse = np.linalg.pinv(g, rcond=1e-12, hermitian=True)
-        self.ops = [Columns(t, k, scratch, grouped) for t in hierarchy.levels[:-1]]
+        self.ops = [Columns(t, k, scratch, grouped, level_counts(own)) for t, own in zip(hierarchy.levels[:-1], hierarchy.labels[:-1], strict=True)]
         self.degrees = [scratch.table(degrees(t)) for t in hierarchy.levels[:-1]]
 
     def __enter__(self) -> VCycle:

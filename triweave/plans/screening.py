@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from triweave.model import ModelError
 from triweave.operators.candidates import matching_map, neighborhood_candidates
-from triweave.operators.columns import Columns, at, each, sums
+from triweave.operators.columns import Columns, at, each, level_counts, sums
 from triweave.operators.linear import degrees
 from triweave.operators.transfer import Hierarchy
 from triweave.plans.scratch import Scratch
@@ -67,8 +67,8 @@ class Relaxation:
 
 def compatible_relaxation(tuples: DataFrame, m: DataFrame, scratch: Scratch, vectors: int = VECTORS, sweeps: int = SWEEPS, seed: int = 2, smoother: Callable[[Columns, DataFrame], Smoother] = jacobi) -> Relaxation:
     """How fast the smoother contracts, in the D-norm, what the aggregates of ``m`` can't hold."""
-    with Columns(tuples, vectors, scratch, grouped=True) as op:
-        d = scratch.table(degrees(tuples))
+    d = scratch.table(degrees(tuples))
+    with Columns(tuples, vectors, scratch, True, level_counts(d)) as op:
         smooth = smoother(op, d)
         size = lambda x: _norms(x.join(d, ["q", "l"]), vectors, lambda i: F.col("d") * at("x", i) * at("x", i))
         x = scratch.table(compatible(start_vectors(m, vectors, seed), d, m, vectors))
@@ -106,7 +106,7 @@ def split_repair(m: DataFrame, witness: DataFrame, d: DataFrame) -> DataFrame:
 
 def cycle_probe(tuples: DataFrame, labels: DataFrame, action: Smoother, scratch: Scratch, starts: int = STARTS, steps: int = STEPS, tail: int = TAIL, seed: int = 3) -> float:
     """The estimated energy-norm factor of I - MG by power iteration on ``starts`` columns: the greatest geometric mean of the last factors."""
-    with Columns(tuples, starts, scratch, grouped=True) as op:
+    with Columns(tuples, starts, scratch, True, level_counts(labels)) as op:
         x = scratch.table(op.project(start_vectors(labels, starts, seed), labels))
         energy = lambda x, gx: _norms(x.join(gx.withColumnRenamed("x", "gx"), ["q", "l"]), starts, lambda i: at("x", i) * at("gx", i))
         gx = scratch.table(op.gramian(x))

@@ -151,8 +151,9 @@ def distributed_pcg(tuples: DataFrame, labels: DataFrame, target: str, scratch:
 
 def solve_tables(tuples: DataFrame, labels: DataFrame, targets: list[str], scratch: Scratch, options: Options, route: str = "distributed") -> DataFrame:
     """Coefficients (COEF_SCHEMA) of components beyond a task, all columns at once: gated LSMR for the method ``lsmr``, else
-    conjugate gradients; by the diagonal where that or the identity is the baseline, else by sweeps over the factors."""
-    kind = "diagonal" if options.baseline in ("diagonal", "identity") else "map"
+    conjugate gradients.  By the diagonal, as in the method ``automatic``, whose steps cost a quarter of a sweep's, or,
+    where a method is named and neither diagonal nor identity is its baseline, by sweeps over the factors."""
+    kind = "diagonal" if options.method == "automatic" or options.baseline in ("diagonal", "identity") else "map"
     if options.method == "lsmr":
         run = batch.lsmr(tuples, labels, targets, scratch, kind, options.tolerance, options.tolerance * 10, options.iterations)
     else:

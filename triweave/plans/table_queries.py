@@ -205,6 +205,6 @@ def _crossed(d: Loaded, options: solve.Options, route: str) -> DataFrame:
         return s.keep(solve.fitted_values(t, coefficients).select("tid", (F.round(F.col("fitted") / 1000, 1) + F.lit(0.0)).alias("fitted")))
 
 
-query("fitted_crossed_tables", "D1", _alternating_sql(80))(lambda d: _crossed(d, solve.Options("pcg", tolerance=1e-11, task_tuples=0), "distributed"))
+query("fitted_crossed_tables", "D1", _alternating_sql(80))(lambda d: _crossed(d, solve.Options(tolerance=1e-11, task_tuples=0), "distributed"))
 query("fitted_crossed_lsmr_tables", "D2", _alternating_sql(80))(lambda d: _crossed(d, solve.Options("lsmr", tolerance=1e-11, task_tuples=0), "distributed"))
 query("fitted_crossed_task", "D1", _alternating_sql(80))(lambda d: _crossed(d, solve.Options("lsmr", tolerance=1e-11, task_tuples=4_000_000), "lsmr:map"))
