@@ -124,3 +124,28 @@ def test_plans_stop_for_a_reason(spark):
         assert screening.plan_hierarchy(t, labels, s, terminal=64).stop == "terminal reached"
         strict = screening.plan_hierarchy(t, labels, s, terminal=20, factor=0.01, repairs=0)
         assert strict.stop == "compatible gate" and len(strict.hierarchy.levels) == 1
+
+
+def test_learned_scores_equal_the_rule_for_the_same_vectors(spark):
+    from triweave.local import coarsening
+    from triweave.operators import candidates
+
+    with Scratch(spark, "learned") as s:
+        keys, w = fixtures.nearly_nested(4, 0.25)
+        order = np.lexsort(keys.T[::-1])
+        t = s.table(spark.createDataFrame([(i, *map(int, keys[j]), float(w[j])) for i, j in enumerate(order)], "tid long, a int, b int, c int, w double"))
+        labels = s.table(components.component_labels(t, s))
+        p = local_of(keys, w)
+        x = screening.test_vectors(t, labels, s, k=3, sweeps=3)
+        got = {(r.q, r.l): r.x for r in x.collect()}
+        vectors = np.array([got[q, i] for q in range(3) for i in range(4)])
+        assert np.allclose((p.diag[:, None] * vectors**2).sum(axis=0), 1)
+        assert np.allclose([p.project(v) for v in vectors.T], vectors.T)
+        near = candidates.signature_pairs(x, labels, 3, s)
+        scores = candidates.learned_scores(candidates.neighborhood_candidates(t), near, x, linear.degrees(t), 3)
+        got = {(r.q, r.l, r.r): r.affinity for r in scores.collect()}
+        want = {(q, a, b): v for q, a, b, v in coarsening.bootstrap_pairs(p, list(vectors.T))}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        m, relaxed = screening.learned_map(t, labels, s, rounds=2, factor=0.01, k=2)
+        transfer.validate_map(m, labels)
+        assert 0 <= relaxed.factor < 1 and m.select("q", "parent").distinct().count() < 12

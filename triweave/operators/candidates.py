@@ -15,6 +15,8 @@ from triweave.operators.linear import degrees
 from triweave.plans.scratch import Scratch
 
 KEEP, CONTEXT_LEAST, NEIGHBOR_LEAST = 16, 0.15, 0.02
+#: Weights of the learned score's parts (algebraic, structural, degree, nearness) and the least score.
+LEARNED_WEIGHTS, LEARNED_LEAST = (0.55, 0.25, 0.10, 0.10), 0.35
 
 
 def _affinities(entries: DataFrame, keys: list[str], mass: DataFrame, keep: int, least: float) -> DataFrame:
@@ -55,11 +57,33 @@ def adjacent_candidates(tuples: DataFrame) -> DataFrame:
     return placed.where("n % 2 = 1 AND next IS NOT NULL").select("q", F.least("l", "next").alias("l"), F.greatest("l", "next").alias("r")).distinct()
 
 
-def signature_candidates(x: DataFrame, labels: DataFrame, window: int = 3) -> DataFrame:
-    """(q, l, r): levels within ``window`` places of each other in order of value, in one component and factor."""
-    row = W.partitionBy("component", "q").orderBy("x", "l")
-    near = x.join(labels, ["q", "l"]).select("q", "l", F.explode(F.array(*(F.lead("l", k).over(row) for k in range(1, window + 1)))).alias("other"))
-    return near.where("other IS NOT NULL").select("q", F.least("l", "other").alias("l"), F.greatest("l", "other").alias("r")).distinct()
+def signature_pairs(x: DataFrame, labels: DataFrame, k: int, scratch: Scratch, window: int = 3) -> DataFrame:
+    """(q, l, r, near): levels within ``window`` places of each other in the order of any of ``k`` vectors (q, l, x array), in one
+    component and factor; near is 1 for neighbours and falls by 1/window a place.
+
+    Places are numbers over all rows, so the pairs come from an equi-join and no component is sorted in one task.
+    """
+    key = ["i", "component", "q"]
+    rows = x.join(labels, ["q", "l"]).select(*key[1:], "l", F.posexplode("x").alias("i", "v"))
+    placed = scratch.table(numbered(rows.select(*key, "v", "l"), [*key, "v", "l"], "n", scratch=scratch).select(*key, "l", "n"))
+    ahead = placed.select(*key, "l", F.explode(F.sequence(F.lit(1), F.lit(window))).alias("step"), F.col("n")).withColumn("n", F.col("n") + F.col("step"))
+    pairs = ahead.join(placed.withColumnRenamed("l", "other"), [*key, "n"])
+    near = F.lit(1.0) - (F.min("step") - 1) / F.lit(window)
+    return pairs.groupBy("q", F.least("l", "other").alias("l"), F.greatest("l", "other").alias("r")).agg(near.alias("near"))
+
+
+def learned_scores(structural: DataFrame, near: DataFrame, x: DataFrame, d: DataFrame, k: int, least: float = LEARNED_LEAST) -> DataFrame:
+    """(q, l, r, affinity): candidates by structure or by nearness, scored by how nearly the vectors' values are in one ratio, by
+    structural affinity, by the ratio of degrees and by nearness."""
+    pool = structural.select("q", "l", "r", "affinity").join(near, ["q", "l", "r"], "full_outer")
+    ends = x.join(d, ["q", "l"])
+    pool = pool.join(ends.withColumnsRenamed({"x": "xa", "d": "da"}), ["q", "l"]).join(ends.withColumnsRenamed({"l": "r", "x": "xb", "d": "db"}), ["q", "r"])
+    dot = lambda u, v: reduce(Column.__add__, (F.get(u, F.lit(i)) * F.get(v, F.lit(i)) for i in range(k)))
+    both = dot("xa", "xa") * dot("xb", "xb")
+    algebraic = F.when(both > 0, dot("xa", "xb") * dot("xa", "xb") / both).otherwise(0.0)
+    parts = (algebraic, F.coalesce("affinity", F.lit(0.0)), F.least("da", "db") / F.greatest("da", "db"), F.coalesce("near", F.lit(0.0)))
+    score = reduce(Column.__add__, (F.lit(w) * part for w, part in zip(LEARNED_WEIGHTS, parts, strict=True)))
+    return pool.select("q", "l", "r", score.alias("affinity")).where(F.col("affinity") >= least)
 
 
 def greedy_match(pairs: pd.DataFrame) -> list[tuple[int, int]]:
@@ -104,15 +128,3 @@ def matching_map(candidates: DataFrame, levels: DataFrame, scratch: Scratch) ->
     starts = places.groupBy("q").agg(F.min("place").alias("start"))  # three rows
     parents = places.join(F.broadcast(starts), "q").select("q", "head", (F.col("place") - F.col("start")).cast("int").alias("parent"))
     return heads.join(parents, ["q", "head"]).select("q", "l", "parent")
-
-
-def structural_metrics(fine: DataFrame, coarse: DataFrame, m: DataFrame) -> dict[str, float]:
-    """Dimension ratio, tuple reduction and two-level complexity, against 0.75, 0.02 and 1.98."""
-    n, nc = m.count(), m.select("q", "parent").distinct().count()
-    e, ec = fine.count(), coarse.count()
-    return {"dimension_ratio": nc / n, "tuple_reduction": 1 - ec / e, "complexity": 1 + ec / e, "accepted": nc / n <= 0.75 and 1 - ec / e >= 0.02 and 1 + ec / e <= 1.98}
-
-
-def pick(candidates: DataFrame, *order: Column) -> DataFrame:
-    """The first row in a total order."""
-    return candidates.orderBy(*order).limit(1)

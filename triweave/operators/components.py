@@ -87,7 +87,3 @@ class ComponentLayout:
     def ranges(self) -> DataFrame:
         """(component, start, n): where each component lies."""
         return self.positions.groupBy("component").agg(F.min("position").alias("start"), F.count("*").alias("n"))
-
-
-def gather_component(values: DataFrame, labels: DataFrame, component: int) -> DataFrame:
-    return values.join(labels.where(F.col("component") == component), ["q", "l"])

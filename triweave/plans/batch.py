@@ -94,8 +94,8 @@ def pcg(tuples: DataFrame, labels: DataFrame, targets: list[str], scratch: Scrat
             gp = op.gramian(moving.select("q", "l", F.col("p").alias("x"))).withColumnRenamed("x", "gp")
             joined = scratch.table(moving.join(gp, ["q", "l"]))
             curvature = _dots(joined, k, {"c": ("p", "gp")})["c"]
-            if (curvature[open_] <= 0).any() or not np.isfinite(curvature[open_]).all():
-                raise ModelError("breakdown", f"curvature {curvature[open_].min()}")
+            for i in np.flatnonzero(open_ & ~(np.isfinite(curvature) & (curvature > 0))):  # the others go on; a certificate judges this one
+                stops[i], open_[i], iterations[i] = "breakdown", False, step
             alpha = np.where(open_, rho / np.where(open_, curvature, 1.0), 0.0)
             moved = joined.select("q", "l", _plus(k, "x", alpha, "p").alias("x"), _plus(k, "r", -alpha, "gp").alias("r"), "p")
             before = state

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from triweave.model import ModelError
-from triweave.operators.candidates import matching_map, neighborhood_candidates
+from triweave.operators.candidates import learned_scores, matching_map, neighborhood_candidates, signature_pairs
 from triweave.operators.columns import Columns, at, each, level_counts, sums
 from triweave.operators.linear import degrees
 from triweave.operators.transfer import Hierarchy
@@ -85,6 +85,39 @@ def compatible_relaxation(tuples: DataFrame, m: DataFrame, scratch: Scratch, vec
         return Relaxation(factors.tolist(), float(factors[worst]), witness, held.agg(F.max(F.abs("s"))).first()[0] or 0.0)
 
 
+def test_vectors(tuples: DataFrame, labels: DataFrame, scratch: Scratch, k: int = VECTORS, sweeps: int = SWEEPS, seed: int = 1) -> DataFrame:
+    """(q, l, x): smooth vectors in the range of G: hashes, times G, then Jacobi sweeps on Gx = 0, of D-norm one."""
+    d = scratch.table(degrees(tuples))
+    with Columns(tuples, k, scratch, True, level_counts(d)) as op:
+        smooth = jacobi(op, d)
+        x = scratch.table(op.project(op.gramian(start_vectors(labels, k, seed)), labels))
+        for _ in range(sweeps):
+            z = smooth(scratch.table(op.gramian(x))).withColumnRenamed("x", "z")
+            last, x = x, scratch.table(op.project(x.join(z, ["q", "l"]).select("q", "l", each(k, lambda i: at("x", i) - at("z", i)).alias("x")), labels))
+            scratch.drop(last)
+        size = _norms(x.join(d, ["q", "l"]), k, lambda i: F.col("d") * at("x", i) * at("x", i))
+        per = np.where(size > 0, 1 / np.where(size > 0, size, 1.0), 0.0)
+        return scratch.table(x.select("q", "l", each(k, lambda i: at("x", i) * F.lit(float(per[i]))).alias("x")))
+
+
+def learned_map(tuples: DataFrame, labels: DataFrame, scratch: Scratch, rounds: int = 2, factor: float = FACTOR, k: int = VECTORS) -> tuple[DataFrame, Relaxation]:
+    """A map by greedy matching of learned scores, and its relaxation; the slowest witness joins the vectors until the map is
+    accepted or ``rounds`` are over."""
+    d = scratch.table(degrees(tuples))
+    structural = scratch.table(neighborhood_candidates(tuples))
+    x = test_vectors(tuples, labels, scratch, k)
+    for r in range(rounds):
+        near = scratch.table(signature_pairs(x, labels, k + r, scratch))
+        m = scratch.table(matching_map(scratch.table(learned_scores(structural, near, x, d, k + r)), labels, scratch))
+        relaxed = compatible_relaxation(tuples, m, scratch, k)
+        if relaxed.accepted(factor) or r + 1 == rounds:
+            break
+        size = _norms(relaxed.witness.join(d, ["q", "l"]).select("d", F.array("x").alias("x")), 1, lambda i: F.col("d") * at("x", i) * at("x", i))[0] or 1.0
+        more = relaxed.witness.select("q", "l", F.array(F.col("x") / F.lit(float(size))).alias("y"))
+        x = scratch.table(x.join(more, ["q", "l"]).select("q", "l", F.concat("x", "y").alias("x")))
+    return m, relaxed
+
+
 def split_repair(m: DataFrame, witness: DataFrame, d: DataFrame) -> DataFrame:
     """``m`` with the aggregate split in two that holds most D-energy of the witness about its mean: at the largest gap
     between its levels in order of the witness (ties: the first).  The new aggregate gets the next number of its factor."""
@@ -138,8 +171,10 @@ class Plan:
     trials: list[dict] = field(default_factory=list)
 
 
-def plan_hierarchy(tuples: DataFrame, labels: DataFrame, scratch: Scratch, terminal: int = PLAN_TERMINAL, repairs: int = 1, factor: float = FACTOR, vectors: int = 4) -> Plan:
-    """Levels by greedy matching of neighbours, each admitted by the structural gates, the compatible gate, after at most
+def plan_hierarchy(
+    tuples: DataFrame, labels: DataFrame, scratch: Scratch, terminal: int = PLAN_TERMINAL, repairs: int = 1, factor: float = FACTOR, vectors: int = 4, learned: bool = False
+) -> Plan:
+    """Levels by greedy matching of neighbours, or of ``learned`` scores, each admitted by the structural gates, the compatible gate, after at most
     ``repairs`` witness splits, and the plan's cumulative complexities.
 
     Stops: ``terminal reached``, ``structural gate``, ``compatible gate``, ``dimension complexity``, ``tuple complexity``.
@@ -149,8 +184,12 @@ def plan_hierarchy(tuples: DataFrame, labels: DataFrame, scratch: Scratch, termi
     dims = [h.labels[0].count()]
     while dims[-1] > terminal:
         fine = h.levels[-1]
-        m = scratch.table(matching_map(scratch.table(neighborhood_candidates(fine)), h.labels[-1], scratch))
-        relaxed, splits = compatible_relaxation(fine, m, scratch, vectors), 0
+        if learned:
+            m, relaxed = learned_map(fine, h.labels[-1], scratch, factor=factor, k=vectors)
+        else:
+            m = scratch.table(matching_map(scratch.table(neighborhood_candidates(fine)), h.labels[-1], scratch))
+            relaxed = compatible_relaxation(fine, m, scratch, vectors)
+        splits = 0
         while not relaxed.accepted(factor) and splits < repairs:
             m = scratch.table(split_repair(m, relaxed.witness, scratch.table(degrees(fine))))
             relaxed, splits = compatible_relaxation(fine, m, scratch, vectors), splits + 1
