@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from triweave.operators import candidates as cand
 from triweave.operators import components as comp
 from triweave.operators import encode as enc
 from triweave.operators import linear, transfer
 from triweave.operators.columns import Columns, at
 from triweave.operators.exact import refuse_overflow
 from triweave.operators.pairs import PAIRS, PairPlan
-from triweave.plans import batch, solve
-from triweave.plans.queries import _PAIRS, _SWEEP, Loaded, query
+from triweave.plans import batch, screening, solve
+from triweave.plans.queries import _NEIGHBOR, _PAIRS, _SWEEP, Loaded, query
 from triweave.plans.scratch import Scratch
 
 # --- batches: fits on tables, no task holds a component -----------------------------------------------------
@@ -180,6 +181,72 @@ def pair_degree_replay(d: Loaded) -> DataFrame:
 
 
 
+# --- learned candidates and repair -----------------------------------------------------------------------------
+
+#: Two vectors of whole numbers by level, for candidates, scores and repairs that SQL can follow.
+_VECTORS = ", sv AS (SELECT q, l, CAST((l * 37) % 101 - 50 AS DOUBLE) AS x0, CAST((l * 53) % 97 - 48 AS DOUBLE) AS x1 FROM lv)"
+_NEAR = (
+    _VECTORS
+    + """, pl AS (SELECT i, q, l, row_number() OVER (PARTITION BY i, q ORDER BY v, l) AS n FROM (SELECT 0 AS i, q, l, x0 AS v FROM sv UNION ALL SELECT 1, q, l, x1 FROM sv)),
+    nr AS (SELECT x.q, least(x.l, y.l) AS l, greatest(x.l, y.l) AS r, 1 - (MIN(y.n - x.n) - 1) / 3.0::DOUBLE AS near FROM pl x JOIN pl y ON x.i = y.i AND x.q = y.q AND y.n > x.n AND y.n <= x.n + 3 GROUP BY ALL)"""
+)
+
+
+def _vectors(d: Loaded, t: DataFrame) -> DataFrame:
+    x = ((F.col("l") * 37) % 101 - 50).cast("double"), ((F.col("l") * 53) % 97 - 48).cast("double")
+    return d.levels(t).select("q", "l", F.array(*x).alias("x"))
+
+
+@query("signature_pairs", "D2", _NEAR + " SELECT q, l, r, round(near, 9) AS near FROM nr")
+def signature_pairs(d: Loaded) -> DataFrame:
+    """Levels near each other in the order of a vector; the design has one component."""
+    with Scratch(d.spark, "learned") as s:
+        t = s.table(d.tuples)
+        labels = s.table(comp.component_labels(t, s))
+        return s.keep(cand.signature_pairs(_vectors(d, t), labels, 2, s).withColumn("near", F.round("near", 9)))
+
+
+@query(
+    "learned_scores",
+    "D2",
+    _NEIGHBOR
+    + _NEAR
+    + """, tp AS (SELECT * FROM ce QUALIFY row_number() OVER (PARTITION BY q, side, c ORDER BY w DESC, l) <= 16), dg AS (SELECT q, l, SUM(w) AS d FROM e GROUP BY q, l),
+    ov AS (SELECT x.q, x.l, y.l AS r, SUM(least(x.w, y.w)) AS overlap FROM tp x JOIN tp y ON x.q = y.q AND x.side = y.side AND x.c = y.c AND x.l < y.l GROUP BY ALL),
+    af AS (SELECT ov.q, ov.l, ov.r, least(overlap / sqrt(4 * m.d * n.d), 1.0) AS affinity FROM ov JOIN dg m ON m.q = ov.q AND m.l = ov.l JOIN dg n ON n.q = ov.q AND n.l = ov.r WHERE overlap / sqrt(4 * m.d * n.d) >= 0.02),
+    sc AS (SELECT q, l, r, 0.55 * CASE WHEN (a.x0 * a.x0 + a.x1 * a.x1) * (b.x0 * b.x0 + b.x1 * b.x1) > 0 THEN pow(a.x0 * b.x0 + a.x1 * b.x1, 2) / ((a.x0 * a.x0 + a.x1 * a.x1) * (b.x0 * b.x0 + b.x1 * b.x1)) ELSE 0 END
+      + 0.25 * coalesce(affinity, 0) + 0.10 * least(m.d, n.d) / greatest(m.d, n.d) + 0.10 * coalesce(near, 0) AS affinity
+      FROM af FULL JOIN nr USING (q, l, r) JOIN sv a USING (q, l) JOIN dg m USING (q, l) JOIN (SELECT q, l AS r, x0, x1 FROM sv) b USING (q, r) JOIN (SELECT q, l AS r, d FROM dg) n USING (q, r))
+    SELECT q, l, r, round(affinity, 6) AS affinity FROM sc WHERE affinity >= 0.35""",
+)
+def learned_scores(d: Loaded) -> DataFrame:
+    with Scratch(d.spark, "learned") as s:
+        t = s.table(d.tuples)
+        labels, x, degrees = s.table(comp.component_labels(t, s)), s.table(_vectors(d, t)), s.table(linear.degrees(t))
+        near = s.table(cand.signature_pairs(x, labels, 2, s))
+        scores = cand.learned_scores(s.table(cand.neighborhood_candidates(t)), near, x, degrees, 2)
+        return s.keep(scores.withColumn("affinity", F.round("affinity", 6)))
+
+
+@query(
+    "split_repair",
+    "D2",
+    _VECTORS
+    + """, own AS (SELECT q, l, l // 8 AS parent, x0 AS x, SUM(w) AS d FROM sv JOIN e USING (q, l) GROUP BY ALL),
+    en AS (SELECT q, parent, SUM(d * x * x) - SUM(d * x) * SUM(d * x) / SUM(d) AS energy FROM own GROUP BY q, parent HAVING COUNT(*) > 1), wo AS (SELECT q, parent FROM en ORDER BY energy DESC, q, parent LIMIT 1),
+    ins AS (SELECT q, l, x, x - lag(x) OVER (ORDER BY x, l) AS gap FROM own JOIN wo USING (q, parent)), cut AS (SELECT x, l FROM ins WHERE gap IS NOT NULL ORDER BY gap DESC, x, l LIMIT 1),
+    aft AS (SELECT ins.q, ins.l FROM ins, cut WHERE (ins.x, ins.l) >= (cut.x, cut.l))
+    SELECT q, l, CAST(CASE WHEN aft.l IS NULL THEN parent ELSE (SELECT MAX(o.parent) + 1 FROM own o WHERE o.q = (SELECT q FROM wo)) END AS INTEGER) AS parent FROM own LEFT JOIN aft USING (q, l)""",
+)
+def split_repair(d: Loaded) -> DataFrame:
+    """The aggregate of eight levels that holds most of a witness, split at its largest gap."""
+    with Scratch(d.spark, "repair") as s:
+        t = s.table(d.tuples)
+        m = s.table(d.levels(t).select("q", "l", F.floor(F.col("l") / 8).cast("int").alias("parent")))
+        witness = s.table(_vectors(d, t).select("q", "l", at("x", 0).alias("x")))
+        return s.keep(screening.split_repair(m, witness, s.table(linear.degrees(t))))
+
+
 # --- fits of a crossed design, against alternating weighted means ---------------------------------------------
 
 _CENTRED = "SELECT step, tid, a, b, c, w, r - SUM(w * r) OVER z / SUM(w) OVER z AS r FROM ({inner}) WINDOW z AS (PARTITION BY {factor})"
