@@ -27,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triweave.operators.exact import added, digit_sums, finished, refuse_overflow
+from triweave.operators.exact import added, finished, packed_sums, refuse_overflow
 from triweave.plans.scratch import Scratch
 
 LOG = logging.getLogger("jobs.tuple_ledger")
@@ -57,7 +57,7 @@ def add_batch(batch: DataFrame, number: int, output: str, config: dict) -> None:
     columns = batch.columns
     rows, keys = _named(batch, config)
     values = {"_w": F.col("_w")} | {f"_wy{i}": F.col("_w") * F.col(f"_y{i}") for i in range(len(config["targets"]))}
-    digit_sums(rows.where("_good"), keys, values).write.mode("overwrite").parquet(f"{output}/ledger/batch={number}")
+    packed_sums(rows.where("_good"), keys, values).write.mode("overwrite").parquet(f"{output}/ledger/batch={number}")
     rows.where("NOT _good").select(columns).write.mode("overwrite").parquet(f"{output}/rejected/batch={number}")
 
 
@@ -112,7 +112,8 @@ def bring_up(spark: SparkSession, output: str, config: dict) -> int:
             marks = current.groupBy(F.col(part).alias("_p")).agg(F.max("through_batch").alias("mark"))
             newest = newest.join(marks, "_p", "left").where("mark IS NULL OR through_batch > mark").drop("mark")
         newest = s.table(newest)  # a row a folder, and current/ is not read while it is written
-        sums = added(ledger.join(F.broadcast(newest), "_p"), ["_k0", "_k1", "_k2", "_p", "through_batch"])
+        keys = ["_k0", "_k1", "_k2", "_p", "through_batch"]
+        sums = added(ledger.join(F.broadcast(newest), "_p").repartition(*keys), keys)  # dealt once by tuple, for both groupings
         rows = s.table(_tuples(sums, config))
         n = rows.count()
         if n:

@@ -39,3 +39,29 @@ def test_levels_of_many_tuples_come_from_the_dictionaries(spark, obs, monkeypatc
     levels = d.levels(t)
     assert "Exchange" not in _plan(levels)
     assert {(r.q, r.l) for r in levels.collect()} == want and levels.count() == len(want)
+
+
+def test_packed_digits_are_the_same_sums_in_fewer_rows(spark):
+    from triweave.operators.exact import added, digit_sums, packed_sums
+
+    rows = spark.createDataFrame([(i % 5, v) for i, v in enumerate([0.1, -3.5, 1e300, 0.0, 2.0**40 + 0.5, None, float("nan"), -1e-310, 7.0, 7.0, float("inf"), 1e16, -1e16, 5.0] * 9)], "g int, x double")
+    values = {"x": F.col("x"), "y": F.col("x") * 3}
+    packed = packed_sums(rows, ["g"], values)
+    rows_of = lambda df: sorted(map(tuple, df.where("part <> 0").select("g", "v", "bin", "part").collect()))
+    assert rows_of(added(packed, ["g"])) == rows_of(digit_sums(rows, ["g"], values))
+    plan = _plan(packed)
+    assert plan.index("Generate") < plan.index("Exchange")  # digits become rows after the shuffle (plans read from the top)
+
+
+def test_ledger_deals_its_sums_once(spark, tmp_path, monkeypatch):
+    from jobs import tuple_ledger
+    from triweave.plans.scratch import Scratch
+
+    config, made = tuple_ledger.read_config(), []
+    whole = Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df: made.append(_plan(df)) or whole(self, df))
+    rows = spark.range(200).select((F.col("id") % 9).alias("l_suppkey"), F.lit("A").alias("l_returnflag"), F.lit("1995-03-04 00:00:00").cast("timestamp").alias("l_shipdate"), F.lit(2.0).alias("l_quantity"), F.col("id").cast("double").alias("l_extendedprice"), F.lit(0.5).alias("l_discount"))
+    rows.write.parquet(f"{tmp_path}/in")
+    tuple_ledger.update_ledger(spark, f"{tmp_path}/in", f"{tmp_path}/out", config)
+    sums = next(p for p in made if "collect_list" in p)
+    assert sums.count("Exchange hashpartitioning") == 1
