@@ -65,3 +65,30 @@ def test_ledger_deals_its_sums_once(spark, tmp_path, monkeypatch):
     tuple_ledger.update_ledger(spark, f"{tmp_path}/in", f"{tmp_path}/out", config)
     sums = next(p for p in made if "collect_list" in p)
     assert sums.count("Exchange hashpartitioning") == 1
+
+
+def test_hierarchy_of_a_neighbour_with_very_many_levels():
+    import numpy as np
+
+    from triweave.local.actions import symmetric_map
+    from triweave.local.coarsening import hierarchy_maps, match, neighborhood_pairs, paired_rest, screened_hierarchy
+    from triweave.local.problem import Local
+    from triweave.local.solvers import gated_lsmr
+
+    rng = np.random.default_rng(4)
+    supplier = np.repeat(np.arange(3000), 25)
+    keys = np.column_stack((supplier, supplier * 7 % 25, np.tile(np.arange(25), 3000)))
+    p = Local(keys, rng.integers(1, 200, len(keys)).astype(float))
+    parent = match(p, neighborhood_pairs(p))
+    assert p.coarsen(parent).dim > 0.75 * p.dim  # the heaviest levels alone are too few
+    full = paired_rest(p, parent)
+    assert p.coarsen(full).dim <= 0.52 * p.dim
+    for group in (np.flatnonzero(full[:3000] == g) for g in range(full[:3000].max() + 1)):
+        assert len(group) <= 2 and (len(group) < 2 or p.components[group[0]] == p.components[group[1]])
+    assert hierarchy_maps(p) is not None
+    h = screened_hierarchy(p)
+    assert h is not None and h.levels[-1].dim <= 256
+    y = rng.normal(size=len(keys))
+    got, certificate = gated_lsmr(p, y, h, 1e-10)
+    other, _ = gated_lsmr(p, y, symmetric_map(p), 1e-10)
+    assert certificate <= 1e-10 and np.allclose(p.b(got.x), p.b(other.x), atol=1e-6)
