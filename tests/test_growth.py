@@ -92,3 +92,46 @@ def test_hierarchy_of_a_neighbour_with_very_many_levels():
     got, certificate = gated_lsmr(p, y, h, 1e-10)
     other, _ = gated_lsmr(p, y, symmetric_map(p), 1e-10)
     assert certificate <= 1e-10 and np.allclose(p.b(got.x), p.b(other.x), atol=1e-6)
+
+
+def test_components_are_found_among_the_fewest_levels(spark, monkeypatch):
+    import numpy as np
+
+    from triweave.local.problem import Local
+    from triweave.operators import components as comp
+    from triweave.plans.scratch import Scratch
+
+    rng, seen = np.random.default_rng(6), []
+    part = rng.integers(0, 12, 400)  # components that share no level, some of them joined only through later factors
+    keys = np.unique(np.column_stack((part * 9 + rng.integers(0, 9, 400), part * 5 + rng.integers(0, 5, 400), part * 2 + rng.integers(0, 2, 400))), axis=0)
+    codes = [np.unique(keys[:, q], return_inverse=True)[1] for q in range(3)]
+    whole = comp.connected_components
+    monkeypatch.setattr(comp, "connected_components", lambda edges, s: seen.append(edges) or whole(edges, s))
+    with Scratch(spark, "labels") as s:
+        for order in ((0, 1, 2), (2, 0, 1), (1, 2, 0)):  # the factor with the fewest levels in each place
+            p = Local(np.column_stack([codes[q] for q in order]), np.ones(len(keys)))
+            tuples = s.table(spark.createDataFrame([(i, *map(int, k)) for i, k in enumerate(p.keys)], "tid long, a int, b int, c int"))
+            got = {(r.q, r.l): r.component for r in comp.component_labels(tuples, s).collect()}
+            assert got == {(q, l): int(p.components[p.offsets[q] + l]) for q in range(3) for l in range(p.sizes[q])}
+            nodes = {v for r in seen[-1].collect() for v in r}
+            assert len(nodes) <= min(p.sizes)
+
+
+def test_lsmr_on_tables_writes_no_tuple(spark, monkeypatch):
+    import numpy as np
+
+    from triweave.operators import components as comp
+    from triweave.plans import batch
+    from triweave.plans.scratch import Scratch
+
+    rng = np.random.default_rng(8)
+    keys = np.unique(np.column_stack([rng.integers(0, n, 60) for n in (6, 5, 4)]), axis=0)
+    keys = np.column_stack([np.unique(keys[:, q], return_inverse=True)[1] for q in range(3)])
+    rows = [(i, *map(int, k), float(1 + i % 3), float(i % 7)) for i, k in enumerate(keys)]
+    with Scratch(spark, "lsmr") as s:
+        tuples = s.table(spark.createDataFrame(rows, "tid long, a int, b int, c int, w double, y double"))
+        labels, made = s.table(comp.component_labels(tuples, s)), []
+        whole = Scratch.table
+        monkeypatch.setattr(Scratch, "table", lambda self, df: made.append(df.columns) or whole(self, df))
+        run = batch.lsmr(tuples, labels, ["y"], s, tol=1e-11, certificate=1e-10, most=40)
+        assert run.converged == [True] and made and not any("tid" in c for c in made)
