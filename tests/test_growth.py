@@ -135,3 +135,19 @@ def test_lsmr_on_tables_writes_no_tuple(spark, monkeypatch):
         monkeypatch.setattr(Scratch, "table", lambda self, df: made.append(df.columns) or whole(self, df))
         run = batch.lsmr(tuples, labels, ["y"], s, tol=1e-11, certificate=1e-10, most=40)
         assert run.converged == [True] and made and not any("tid" in c for c in made)
+
+
+def test_many_distinct_rows_are_dealt_once_for_sums_and_numbers(spark, obs, monkeypatch):
+    want = sorted((r.a, r.b, r.c, r.w, r.tid) for r in Loaded(spark, obs, 3000).tuples.collect())
+    for module in (ranks, enc, queries):
+        monkeypatch.setattr(module, "ONE_TASK_ROWS", 500)
+    dealt = []
+    whole = queries.enc.canonical_tuples
+    monkeypatch.setattr(queries.enc, "canonical_tuples", lambda rows, *a, **k: dealt.append(_plan(rows)) or whole(rows, *a, **k))
+    twice = obs.unionByName(obs).withColumn("w", F.lit(1.0))  # each tuple twice or more: summed before the shuffle
+    for rows, exchange in ((obs, "rangepartitioning"), (twice.unionByName(twice), "hashpartitioning")):
+        t = Loaded(spark, rows.select(*DESIGN.factors, "w"), 3000).tuples
+        assert dealt[-1].count("Exchange") - dealt[-1].count("BroadcastExchange") == 1 and f"Exchange {exchange}" in dealt[-1]
+        got = sorted((r.a, r.b, r.c, r.w, r.tid) for r in t.collect())
+        assert [g[:3] + g[4:] for g in got] == [g[:3] + g[4:] for g in want]
+        assert sum(g[3] for g in got) == rows.agg(F.sum("w")).first()[0]
