@@ -15,9 +15,10 @@ PAIRS = (("12", 0, 1), ("13", 0, 2), ("23", 1, 2))
 
 
 def pair_marginals(tuples: DataFrame) -> DataFrame:
-    """(pair, u, v, w): the weights summed over the third factor, all three pairs from one expansion."""
-    cells = F.array(*(F.struct(F.lit(p).alias("pair"), F.col(CODES[i]).alias("u"), F.col(CODES[j]).alias("v")) for p, i, j in PAIRS))
-    return tuples.select(F.explode(cells).alias("e"), "w").groupBy("e.pair", "e.u", "e.v").agg(F.sum("w").alias("w"))
+    """(pair, u, v, w): the weights summed over the third factor, all three pairs from one expansion; rows may repeat a tuple."""
+    cells = F.array(*(F.struct(F.lit(n).alias("pair"), F.col(CODES[i]).alias("u"), F.col(CODES[j]).alias("v")) for n, (_, i, j) in enumerate(PAIRS)))
+    sums = tuples.select(F.explode(cells).alias("e"), "w").groupBy("e.pair", "e.u", "e.v").agg(F.sum("w").alias("w"))
+    return sums.withColumn("pair", F.get(F.array(*(F.lit(p) for p, _, _ in PAIRS)), F.col("pair")))  # names only after the shuffle
 
 
 def pair_degrees(marginals: DataFrame) -> DataFrame:
