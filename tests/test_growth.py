@@ -151,3 +151,20 @@ def test_many_distinct_rows_are_dealt_once_for_sums_and_numbers(spark, obs, monk
         got = sorted((r.a, r.b, r.c, r.w, r.tid) for r in t.collect())
         assert [g[:3] + g[4:] for g in got] == [g[:3] + g[4:] for g in want]
         assert sum(g[3] for g in got) == rows.agg(F.sum("w")).first()[0]
+
+
+def test_composed_maps_and_marginals_of_repeated_rows(spark):
+    from triweave.operators import pairs, transfer
+
+    rows = spark.range(500).select((F.col("id") % 9).cast("int").alias("a"), (F.col("id") * 5 % 14).cast("int").alias("b"), (F.col("id") * 3 % 11).cast("int").alias("c"), (F.col("id") % 4 + 1.0).alias("w"))
+    rows = rows.unionByName(rows)
+    tuples = rows.groupBy("a", "b", "c").agg(F.sum("w").alias("w"))
+    of = lambda df: sorted(map(tuple, df.collect()))
+    assert of(pairs.pair_marginals(rows)) == of(pairs.pair_marginals(tuples))
+    assert {r.pair for r in pairs.pair_marginals(rows).collect()} == {"12", "13", "23"}
+    levels = tuples.select(F.posexplode(F.array("a", "b", "c")).alias("q", "l")).distinct()
+    m = transfer.halving_map(levels)
+    n = transfer.halving_map(m.select("q", F.col("parent").alias("l")).distinct())
+    once = transfer.coarsen(rows, transfer.composed(m, n))
+    assert _plan(once).count("Exchange hashpartitioning(p") <= 1
+    assert of(once) == of(transfer.coarsen(transfer.coarsen(tuples, m), n))
