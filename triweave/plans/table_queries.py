@@ -58,7 +58,7 @@ query("fitted_balanced_pcg_tables", "D6", _balanced_sql(3))(lambda d: _fitted(d,
 def batch_certificates(d: Loaded) -> DataFrame:
     """Four columns' residuals of given coefficients in one job."""
     with Scratch(d.spark, "certificates") as s:
-        t = s.table(d.tuples.select("tid", "a", "b", "c", "w", *((F.col("tid") % (k + 11) - 5).cast("double").alias(f"y{k}") for k in range(4))))
+        t = d.tuples.select("tid", "a", "b", "c", "w", *((F.col("tid") % (k + 11) - 5).cast("double").alias(f"y{k}") for k in range(4)))
         x = d.x(t).select("q", "l", F.array(*(F.col("x") * (k + 1) for k in range(4))).alias("x"))
         row = batch.certificate_sums(t, x, [f"y{k}" for k in range(4)], s)
         each = F.array(*(F.struct(F.lit(k).alias("k"), F.round(F.sqrt(f"r{k}"), 5).alias("residual_norm"), F.round(F.sqrt(f"b{k}"), 5).alias("rhs_norm")) for k in range(4)))
