@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from triweave.model import ModelError
 from triweave.operators import components, linear, transfer
 from triweave.operators.columns import Columns
-from triweave.plans import batch, screening
-from triweave.plans.multilevel import VCycle
+from triweave.plans import batch, screening, solve
+from triweave.plans.multilevel import VCycle, terminal_map
 from triweave.plans.scratch import Scratch
 from triweave.sources import fixtures
 
@@ -149,3 +149,37 @@ def test_learned_scores_equal_the_rule_for_the_same_vectors(spark):
         m, relaxed = screening.learned_map(t, labels, s, rounds=2, factor=0.01, k=2)
         transfer.validate_map(m, labels)
         assert 0 <= relaxed.factor < 1 and m.select("q", "parent").distinct().count() < 12
+
+
+def two_small_factors(spark, s, parts=2, large=300):
+    """``parts`` components of 3 and 4 levels beside ``large`` ones, most of whose weight lies with one level of the second factor."""
+    rng = np.random.default_rng(5)
+    keys = np.unique(np.array([(3 * p + rng.integers(3), 4 * p + (i % 4 if rng.integers(4) else rng.integers(4)), large * p + i) for p in range(parts) for i in range(large) for _ in range(5)]), axis=0)
+    w = rng.integers(1, 9, len(keys)).astype(float)
+    y = rng.standard_normal(len(keys)) * 100
+    t = s.table(spark.createDataFrame([(i, *map(int, k), float(v), float(z)) for i, (k, v, z) in enumerate(zip(keys, w, y, strict=True))], "tid long, a int, b int, c int, w double, y double"))
+    return t, s.table(components.component_labels(t, s)), keys, w, y
+
+
+def test_components_beyond_a_task_go_by_a_hierarchy_on_tables(spark):
+    with Scratch(spark, "beyond") as s:
+        t, labels, keys, w, y = two_small_factors(spark, s)
+        m = terminal_map(t, labels, s)
+        transfer.validate_map(m, labels)
+        parent = {(r.q, r.l): r.parent for r in m.collect()}
+        counts = [len({v for (q, _), v in parent.items() if q == f}) for f in range(3)]
+        assert len(parent) == labels.count() and counts[:2] == [6, 8] and 200 < sum(counts) <= 256
+        sizes = np.bincount([v for (q, _), v in parent.items() if q == 2])
+        assert sizes.max() <= sizes.min() + 1
+        assert terminal_map(t, labels, s, terminal=20) is None  # the small factors alone are over half of it
+        assert terminal_map(t, labels, s, terminal=labels.count()) is None  # nothing to merge
+        options = solve.Options(task_tuples=100, table_hierarchy=100)
+        coefficients, report = solve.fit(t, labels, ["y"], s, options)
+        made = report.first()
+        assert made.routes == "hierarchy" and made.accepted and not made.global_fallback
+        b = np.zeros((len(keys), sum(keys.max(axis=0) + 1)))
+        for q, at in enumerate(np.cumsum([0, *(keys.max(axis=0) + 1)])[:3]):
+            b[np.arange(len(keys)), at + keys[:, q]] = 1
+        want = b @ np.linalg.lstsq(b * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
+        got = {r.tid: r.fitted for r in solve.fitted_values(t, coefficients).collect()}
+        assert np.allclose([got[i] for i in range(len(keys))], want, atol=1e-6)
