@@ -1,4 +1,4 @@
-"""What a fit writes of its tuples."""
+"""What a fit writes of its tuples, and which components a task takes beyond a hierarchy's memory."""
 
 import numpy as np
 
@@ -29,3 +29,13 @@ def test_a_fit_of_a_table_writes_no_tuple_again(spark, monkeypatch):
         sizes = solve.component_tuples(t, labels.where("q = 0").selectExpr("l AS a", "component"))
         assert {r.component: r.n for r in sizes.collect()} == {0: t.count()}
     assert {k: spark.conf.get(k) for k in before} == before
+
+
+def test_components_beyond_a_hierarchy_stay_in_a_task_by_a_fixed_preconditioner(spark):
+    with Scratch(spark, "plain") as s:
+        t, labels = crossed(spark, s)
+        options = solve.Options(dense_most=0, task_tuples=20, table_hierarchy=20)
+        _, report = solve.fit(t, labels, ["y"], s, options)
+        assert report.first().routes == "map" and report.first().accepted and not report.first().global_fallback
+        _, report = solve.fit(t, labels, ["y"], s, solve.Options(dense_most=0, task_tuples=0))
+        assert report.first().routes == "distributed" and report.first().accepted
